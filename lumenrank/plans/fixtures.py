@@ -30,3 +30,67 @@ def known_set(spark: SparkSession, sf_dir: str) -> RetrievalSet:
     queries = (bench.join(hits.select("item_id").distinct(), "item_id", "left_semi")
                .select(F.col("item_id").cast("string").alias("id"), "text"))
     return RetrievalSet(corpus, queries, qrels)
+
+
+def _as_double(c):
+    return F.transform(c, lambda x: x.cast("double"))
+
+
+def _mean_with_next(e: DataFrame, key: str, vec: str) -> DataFrame:
+    """Each vector replaced by the element-wise mean with the vector of
+    ``key + 1``; the last one keeps its own vector (double precision)."""
+    nxt = e.select((F.col(key) - 1).alias(key), F.col(vec).alias("_next"))
+    return (e.join(nxt, key, "left")
+            .withColumn("qv", F.when(F.col("_next").isNull(), _as_double(F.col(vec)))
+                        .otherwise(F.zip_with(vec, "_next",
+                                              lambda x, y: (x.cast("double") + y.cast("double")) / 2.0)))
+            .drop("_next"))
+
+
+def vec_set(spark: SparkSession, sf_dir: str):
+    """VEC: corpus = every embedding; query i = mean of vector i and i+1;
+    relevant = document i.  Returns (doc_vecs, query_vecs, qrels, n_queries)."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    doc_vecs = e.select(F.col("vec_id").cast("string").alias("doc_id"),
+                        F.col("embedding").alias("vector"))
+    q = _mean_with_next(e, "vec_id", "embedding")
+    query_vecs = q.select(F.col("vec_id").cast("string").alias("query_id"), F.col("qv").alias("vector"))
+    qrels = e.select(F.col("vec_id").cast("string").alias("query_id"),
+                     F.col("vec_id").cast("string").alias("corpus_id"), F.lit(1.0).alias("score"))
+    return doc_vecs, query_vecs, qrels
+
+
+def hyb_vectors(rs: RetrievalSet):
+    """HYB: KNOWN texts embedded with the default hashing encoder."""
+    from pyspark import StorageLevel
+
+    from lumenrank.operators import embed
+
+    doc_vecs = embed.embed(rs.corpus).persist(StorageLevel.MEMORY_AND_DISK)
+    query_vecs = embed.embed(rs.queries, out_id="query_id").persist(StorageLevel.MEMORY_AND_DISK)
+    return doc_vecs, query_vecs
+
+
+def tok_set(spark: SparkSession, sf_dir: str):
+    """TOK: multi-vector document d = embeddings with vec_id div 4 = d; the
+    query of d uses each vector's mean with the next vec_id; relevant = d.
+    Texts for the lexical side: document d's text for both.
+    Returns (doc_vecs, query_vecs, qrels, corpus, queries)."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    q = _mean_with_next(e, "vec_id", "embedding")
+    grp = F.floor(F.col("vec_id") / 4).cast("long")
+    doc_vecs = (e.groupBy(grp.alias("d"))
+                .agg(F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("s"))
+                .select(F.col("d").cast("string").alias("doc_id"),
+                        F.transform("s", lambda x: x["embedding"]).alias("vectors")))
+    query_vecs = (q.groupBy(grp.alias("d"))
+                  .agg(F.sort_array(F.collect_list(F.struct("vec_id", "qv"))).alias("s"))
+                  .select(F.col("d").cast("string").alias("query_id"),
+                          F.transform("s", lambda x: x["qv"]).alias("vectors")))
+    ids = doc_vecs.select("doc_id")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
+    corpus = docs.join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+    queries = corpus
+    qrels = ids.select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("corpus_id"),
+                       F.lit(1.0).alias("score"))
+    return doc_vecs, query_vecs, qrels, corpus, queries

@@ -1,5 +1,194 @@
-"""Further DuckDB oracles (dense, hybrid, late interaction, sampling, comparison…)."""
+"""DuckDB oracles for dense, hybrid, late-interaction and encoder keys.
+
+These score every query-document pair with a plain cross join: an oracle may be
+brute force, the Spark plans may not.
+"""
 
 from __future__ import annotations
 
-from lumenrank.plans.oracles import _SQL  # noqa: F401
+from lumenrank.plans.oracles import _SQL, KNOWN, bm25, ranked
+
+TOKENS = r"list_filter(regexp_split_to_array(lower({t}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+
+def hashing_vectors(p: str, src: str, dim: int = 64) -> str:
+    """Default single-vector encoder: signed md5 feature hashing, L2 norm, FLOAT."""
+    tok = TOKENS.format(t="text")
+    return f"""
+{p}_tok AS (SELECT id, unnest({tok}) AS term FROM {src}),
+{p}_b AS (
+  SELECT id, ('0x' || substr(md5(term), 1, 8))::BIGINT % {dim} AS b,
+         CASE WHEN ('0x' || substr(md5(term), 9, 1))::INT < 8 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS s
+  FROM {p}_tok
+),
+{p}_sum AS (SELECT id, b, sum(s) AS v FROM {p}_b GROUP BY id, b),
+{p}_nrm AS (SELECT id, sqrt(sum(v * v)) AS nrm FROM {p}_sum GROUP BY id),
+{p}_full AS (
+  SELECT i.id, r.b,
+         CASE WHEN n.nrm > 0 AND s.v IS NOT NULL THEN (s.v / n.nrm)::FLOAT ELSE 0.0::FLOAT END AS x
+  FROM (SELECT id FROM {src}) i CROSS JOIN range({dim}) r(b)
+  LEFT JOIN {p}_sum s ON s.id = i.id AND s.b = r.b
+  LEFT JOIN {p}_nrm n ON n.id = i.id
+),
+{p}_vec AS (SELECT id, list(x ORDER BY b) AS v FROM {p}_full GROUP BY id)"""
+
+
+def grid_metrics(rank_cte: str, qrels: str, queries_count: str, docs_count: str,
+                 model_expr: str) -> str:
+    return f"""
+g_frr AS (
+  SELECT r.alpha, r.query_id, min(r.rank) AS frr
+  FROM {rank_cte} r JOIN {qrels} p ON r.query_id = p.query_id AND r.doc_id = p.corpus_id
+  WHERE p.score > 0 GROUP BY r.alpha, r.query_id
+),
+g_alpha AS (SELECT DISTINCT alpha FROM {rank_cte})
+SELECT {model_expr} AS model, a.alpha,
+  round(coalesce(sum(CASE WHEN frr <= 1 THEN 1.0::DOUBLE / frr ELSE 0.0 END), 0) / {queries_count}, 6) AS "mrr@1",
+  round(coalesce(sum(CASE WHEN frr <= 3 THEN 1.0::DOUBLE / frr ELSE 0.0 END), 0) / {queries_count}, 6) AS "mrr@3",
+  round(coalesce(sum(CASE WHEN frr <= 10 THEN 1.0::DOUBLE / frr ELSE 0.0 END), 0) / {queries_count}, 6) AS "mrr@10",
+  round(coalesce(sum(CASE WHEN frr <= 3 THEN 1.0::DOUBLE ELSE 0.0 END), 0) / {queries_count}, 6) AS "hit_rate@3",
+  {queries_count} AS num_queries, {docs_count} AS num_documents
+FROM g_alpha a LEFT JOIN g_frr f ON f.alpha = a.alpha
+GROUP BY a.alpha"""
+
+
+def fusion(lex_scores: str, sem: str, n_docs: str, alphas: list[float], with_ends: bool) -> str:
+    """Reference fusion over brute-force semantic scores ``{sem}(query_id, doc_id, sem)``."""
+    arr = ", ".join(repr(a) for a in alphas)
+    parts = f"""
+f_lexc AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn
+    FROM {lex_scores}) WHERE rn <= least(1000, {n_docs})
+),
+f_lexn AS (
+  SELECT query_id, doc_id,
+         CASE WHEN mx = mn THEN 1.0::DOUBLE ELSE (score - mn) / (mx - mn) END AS nl
+  FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS mn,
+                  max(score) OVER (PARTITION BY query_id) AS mx FROM f_lexc)
+),
+f_semn AS (
+  SELECT query_id, doc_id, sem,
+         CASE WHEN mx = mn THEN 1.0::DOUBLE ELSE (sem - mn) / (mx - mn) END AS ns
+  FROM (SELECT *, min(sem) OVER (PARTITION BY query_id) AS mn,
+                  max(sem) OVER (PARTITION BY query_id) AS mx FROM {sem})
+),
+f_alpha AS (SELECT unnest([{arr}]::DOUBLE[]) AS alpha),
+f_fused AS (
+  SELECT a.alpha, s.query_id, s.doc_id,
+         round(a.alpha * s.ns + (1.0::DOUBLE - a.alpha) * coalesce(l.nl, 0.0::DOUBLE), 9) AS score
+  FROM f_semn s CROSS JOIN f_alpha a
+  LEFT JOIN f_lexn l ON l.query_id = s.query_id AND l.doc_id = s.doc_id
+),
+f_all AS (
+  SELECT alpha, query_id, doc_id, score FROM f_fused"""
+    if with_ends:
+        parts += f"""
+  UNION ALL SELECT 1.0::DOUBLE, query_id, doc_id, round(sem, 9) FROM {sem}
+  UNION ALL SELECT 0.0::DOUBLE, query_id, doc_id, score FROM {lex_scores}"""
+    parts += """
+),
+f_rank AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY score DESC, doc_id) AS rank
+    FROM f_all) WHERE rank <= 10
+)"""
+    return parts
+
+
+# --- VEC -------------------------------------------------------------------
+
+VEC = r"""
+v_e AS (SELECT vec_id, embedding FROM embeddings),
+v_q AS (
+  SELECT vec_id,
+         CASE WHEN b IS NULL THEN a::DOUBLE[]
+              ELSE list_transform(range(1, len(a) + 1), lambda i: (a[i]::DOUBLE + b[i]::DOUBLE) / 2.0) END AS v
+  FROM (SELECT e.vec_id, e.embedding AS a, n.embedding AS b
+        FROM v_e e LEFT JOIN v_e n ON n.vec_id = e.vec_id + 1)
+),
+v_sem AS (
+  SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(d.vec_id AS VARCHAR) AS doc_id,
+         list_dot_product(q.v, d.embedding::DOUBLE[]) AS sem
+  FROM v_q q CROSS JOIN v_e d
+),
+v_scores AS (SELECT query_id, doc_id, round(sem, 9) AS score FROM v_sem)"""
+
+_SQL["dense_topk"] = "WITH " + VEC + "," + ranked("v_ranked", "v_scores", 10) + """
+SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, score FROM v_ranked"""
+
+_SQL["dense_metrics"] = "WITH " + VEC + "," + ranked("v_ranked0", "v_scores", 10) + """,
+v_ranked AS (SELECT 1.0::DOUBLE AS alpha, * FROM v_ranked0),
+v_qrels AS (SELECT CAST(vec_id AS VARCHAR) AS query_id, CAST(vec_id AS VARCHAR) AS corpus_id,
+                   1.0::DOUBLE AS score FROM v_e),""" + grid_metrics(
+    "v_ranked", "v_qrels", "(SELECT count(*) FROM v_e)", "(SELECT count(*) FROM v_e)", "'embeddings'")
+
+# --- HYB -------------------------------------------------------------------
+
+HYB = "WITH " + KNOWN + "," + bm25("b", "k_corpus", "k_queries") + "," + \
+    hashing_vectors("hd", "k_corpus") + "," + hashing_vectors("hq", "k_queries") + """,
+h_sem AS (
+  SELECT q.id AS query_id, d.id AS doc_id, list_dot_product(q.v::DOUBLE[], d.v::DOUBLE[]) AS sem
+  FROM hq_vec q CROSS JOIN hd_vec d
+),"""
+
+_SQL["hybrid_topk"] = HYB + fusion("b_scores", "h_sem", "(SELECT count(*) FROM k_corpus)", [0.5], False) + """
+SELECT alpha, query_id, CAST(rank AS BIGINT) AS rank, doc_id, score FROM f_rank"""
+
+_SQL["hybrid_alpha_metrics"] = HYB + fusion(
+    "b_scores", "h_sem", "(SELECT count(*) FROM k_corpus)", [0.25, 0.5, 0.75], True) + "," + grid_metrics(
+    "f_rank", "k_qrels", "(SELECT count(*) FROM k_queries)", "(SELECT count(*) FROM k_corpus)",
+    "CASE WHEN a.alpha = 0.0 THEN 'BM25' ELSE 'hashing-64' END")
+
+_SQL["minmax_scores"] = "WITH " + KNOWN + "," + bm25("b", "k_corpus", "k_queries") + """,
+m_c AS (
+  SELECT * FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn
+    FROM b_scores) WHERE rn <= least(1000, (SELECT count(*) FROM k_corpus))
+)
+SELECT query_id, doc_id, score,
+       round(CASE WHEN mx = mn THEN 1.0::DOUBLE ELSE (score - mn) / (mx - mn) END, 9) AS norm
+FROM (SELECT *, min(score) OVER (PARTITION BY query_id) AS mn,
+                max(score) OVER (PARTITION BY query_id) AS mx FROM m_c)"""
+
+_SQL["embed_documents"] = "WITH d_src AS (SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents)," + \
+    hashing_vectors("hd", "d_src") + """
+SELECT id AS doc_id, v AS vector FROM hd_vec"""
+
+# --- TOK -------------------------------------------------------------------
+
+TOK = r"""
+t_e AS (SELECT vec_id, embedding FROM embeddings),
+t_q AS (
+  SELECT vec_id, vec_id // 4 AS d,
+         CASE WHEN b IS NULL THEN a::DOUBLE[]
+              ELSE list_transform(range(1, len(a) + 1), lambda i: (a[i]::DOUBLE + b[i]::DOUBLE) / 2.0) END AS v
+  FROM (SELECT e.vec_id, e.embedding AS a, n.embedding AS b
+        FROM t_e e LEFT JOIN t_e n ON n.vec_id = e.vec_id + 1)
+),
+t_pair AS (
+  SELECT q.d AS qd, q.vec_id AS qtok, t.vec_id // 4 AS dd,
+         max(list_dot_product(q.v, t.embedding::DOUBLE[])) AS mx
+  FROM t_q q CROSS JOIN t_e t GROUP BY q.d, q.vec_id, t.vec_id // 4
+),
+t_sem AS (
+  SELECT CAST(qd AS VARCHAR) AS query_id, CAST(dd AS VARCHAR) AS doc_id, sum(mx) AS sem
+  FROM t_pair GROUP BY qd, dd
+),
+t_scores AS (SELECT query_id, doc_id, round(sem, 9) AS score FROM t_sem),
+t_corpus AS (
+  SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents
+  WHERE doc_id IN (SELECT DISTINCT vec_id // 4 FROM t_e)
+),
+t_qrels AS (
+  SELECT DISTINCT CAST(vec_id // 4 AS VARCHAR) AS query_id, CAST(vec_id // 4 AS VARCHAR) AS corpus_id,
+         1.0::DOUBLE AS score FROM t_e
+)"""
+
+_SQL["maxsim_topk"] = "WITH " + TOK + "," + ranked("t_ranked", "t_scores", 10) + """
+SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, score FROM t_ranked"""
+
+_SQL["late_hybrid_metrics"] = "WITH " + TOK + "," + bm25("b", "t_corpus", "t_corpus") + "," + fusion(
+    "b_scores", "t_sem", "(SELECT count(*) FROM t_corpus)", [0.25, 0.5, 0.75], True) + "," + grid_metrics(
+    "f_rank", "t_qrels", "(SELECT count(*) FROM t_corpus)", "(SELECT count(*) FROM t_corpus)",
+    "'token-hashing-16'")

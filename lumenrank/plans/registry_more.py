@@ -1,3 +1,110 @@
-"""Further query keys (dense, hybrid, late interaction, sampling, comparison…)."""
+"""Further query keys: dense, hybrid, late interaction, encoders."""
 
 from __future__ import annotations
+
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenrank.operators import embed, fusion, lexical, metrics
+from lumenrank.plans import fixtures
+from lumenrank.plans.registry import METRIC_COLS, register, round_metrics
+
+HASH_MODEL = "hashing-64"
+TOKEN_MODEL = "token-hashing-16"
+VEC_MODEL = "embeddings"
+HYBRID_ALPHAS = (0.25, 0.5, 0.75, 1.0)
+
+
+def _grid_metrics(spark, ranked: DataFrame, qrels: DataFrame, n_queries: int, n_docs: int,
+                  alphas, model: str, baseline_label: str | None = "BM25") -> DataFrame:
+    runs = spark.createDataFrame([(float(a),) for a in alphas], "alpha double")
+    m = metrics.compute_metrics(ranked, qrels, n_queries, runs=runs, run_cols=["alpha"])
+    label = F.lit(model) if baseline_label is None else \
+        F.when(F.col("alpha") == 0.0, F.lit(baseline_label)).otherwise(F.lit(model))
+    out = m.select(label.alias("model"), "*",
+                   F.lit(n_queries).cast("long").alias("num_queries"),
+                   F.lit(n_docs).cast("long").alias("num_documents"))
+    return round_metrics(out, METRIC_COLS)
+
+
+@register("dense_topk")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R3 + R4 + R9: exact dot-product top 10 per query vector."""
+    doc_vecs, query_vecs, _ = fixtures.vec_set(spark, sf_dir)
+    return fusion.semantic_ranking(doc_vecs, query_vecs, 10).select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+@register("dense_metrics")
+def dense_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R4 + M5: MRR / Hit Rate of the dense ranking."""
+    doc_vecs, query_vecs, qrels = fixtures.vec_set(spark, sf_dir)
+    doc_vecs = doc_vecs.persist(StorageLevel.MEMORY_AND_DISK)
+    n_q, n_d = query_vecs.count(), doc_vecs.count()
+    ranked = fusion.semantic_ranking(doc_vecs, query_vecs, 10).withColumn("alpha", F.lit(1.0))
+    return _grid_metrics(spark, ranked, qrels, n_q, n_d, [1.0], VEC_MODEL, None)
+
+
+def _hyb(spark, sf_dir):
+    rs = fixtures.known_set(spark, sf_dir)
+    rs.queries = rs.queries.persist(StorageLevel.MEMORY_AND_DISK)
+    idx = lexical.build_index(rs.corpus)
+    doc_vecs, query_vecs = fixtures.hyb_vectors(rs)
+    return rs, idx, doc_vecs, query_vecs
+
+
+@register("hybrid_topk")
+def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alpha 0.5 fusion of BM25 and hashed dense scores, top 10."""
+    rs, idx, dv, qv = _hyb(spark, sf_dir)
+    r = fusion.hybrid_ranking(idx, rs.queries, dv, qv, alphas=[0.5], max_k=10)
+    return r.select("alpha", "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+@register("hybrid_alpha_metrics")
+def hybrid_alpha_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J7 + R10 + R13 + M5: the whole alpha grid and the BM25 row in one job."""
+    rs, idx, dv, qv = _hyb(spark, sf_dir)
+    alphas = (0.0,) + HYBRID_ALPHAS
+    ranked = fusion.hybrid_ranking(idx, rs.queries, dv, qv, alphas=alphas, max_k=10)
+    return _grid_metrics(spark, ranked, rs.qrels, rs.queries.count(), idx.n_docs, alphas, HASH_MODEL)
+
+
+@register("minmax_scores")
+def minmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R7 + R11: BM25 candidates (cap 1000) min-max normalised per query."""
+    rs = fixtures.known_set(spark, sf_dir)
+    idx = lexical.build_index(rs.corpus)
+    cand = fusion.lexical_candidates(idx, rs.queries, fusion.DEFAULT_CANDIDATE_CAP)
+    n = fusion.minmax_normalise(cand, "score", "norm")
+    return n.select("query_id", "doc_id", "score", F.round("norm", 9).alias("norm"))
+
+
+@register("maxsim_topk")
+def maxsim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R6 + J6: late-interaction MaxSim over every query-document pair, top 10."""
+    dv, qv, _, _, _ = fixtures.tok_set(spark, sf_dir)
+    return fusion.semantic_ranking(dv, qv, 10, kind="maxsim").select(
+        "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
+
+
+@register("late_hybrid_metrics")
+def late_hybrid_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MaxSim alone (alpha 1), BM25 at max K (alpha 0), fused in between."""
+    dv, qv, qrels, corpus, queries = fixtures.tok_set(spark, sf_dir)
+    dv = dv.persist(StorageLevel.MEMORY_AND_DISK)
+    qv = qv.persist(StorageLevel.MEMORY_AND_DISK)
+    queries = queries.persist(StorageLevel.MEMORY_AND_DISK)
+    idx = lexical.build_index(corpus)
+    alphas = (0.0, 0.25, 0.5, 0.75, 1.0)
+    ranked = fusion.hybrid_ranking(idx, queries, dv, qv, alphas=alphas, max_k=10, kind="maxsim")
+    return _grid_metrics(spark, ranked, qrels, queries.count(), idx.n_docs, alphas, TOKEN_MODEL, None)
+
+
+@register("embed_documents")
+def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Default hashing encoder over every document (batched mapInPandas)."""
+    docs = fixtures.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), "text")
+    return embed.embed(docs).select("doc_id", "vector")
