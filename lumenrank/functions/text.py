@@ -15,7 +15,7 @@ WHITESPACE = r"\s+"
 def tokens(text: Column | str) -> Column:
     """``array<string>`` of lexical tokens of ``text``."""
     c = F.col(text) if isinstance(text, str) else text
-    return F.filter(F.split(F.lower(c), TOKEN_SPLIT), lambda t: t != F.lit(""))
+    return F.array_remove(F.split(F.lower(c), TOKEN_SPLIT), "")
 
 
 def words(text: Column | str) -> Column:

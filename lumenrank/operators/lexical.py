@@ -44,21 +44,39 @@ class LexicalIndex:
 
 
 def term_frequencies(corpus: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, term, tf, dl)`` from a corpus; one row per distinct term of a document."""
-    toks = corpus.select(F.col(id_col).alias("doc_id"), tokens(text_col).alias("toks"))
-    return (toks.select("doc_id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-            .groupBy("doc_id", "dl", "term")
-            .agg(F.count(F.lit(1)).alias("tf")))
+    """``(doc_id, dl, term, tf)``: one row per distinct term of a document.
+
+    All tokens of a document are in one row, so term counts are computed in
+    the row (sort, then run-length encode) instead of a ``groupBy(doc, term)``:
+    the postings come out of a map-only stage with no shuffle at all.
+    """
+    sorted_toks = corpus.select(F.col(id_col).alias("doc_id"),
+                                F.sort_array(tokens(text_col)).alias("s"))
+    s = F.col("s")
+    n = F.size(s)
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
+                      lambda i: (i <= n) & ((i == 1) | (F.element_at(s, i) != F.element_at(s, i - 1))))
+    ends = F.concat(F.slice(F.col("starts"), 2, F.greatest(n, F.lit(1))), F.array(n + 1))
+    runs = F.zip_with("starts", ends, lambda a, e: F.struct(F.element_at(s, a).alias("term"),
+                                                              (e - a).cast("long").alias("tf")))
+    return (sorted_toks.select("doc_id", "s", starts.alias("starts"))
+            .select("doc_id", n.alias("dl"), F.explode(runs).alias("r"))
+            .select("doc_id", "dl", "r.term", "r.tf"))
 
 
 def build_index(corpus: DataFrame, id_col: str = "id", text_col: str = "text",
                 k1: float = K1, b: float = B, persist: bool = True) -> LexicalIndex:
-    """Tokenise once, derive corpus statistics, materialise the postings."""
-    stats = (corpus.select(F.size(tokens(text_col)).alias("dl"))
-             .agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-             .first())
-    n_docs, avgdl = int(stats["n"]), float(stats["avgdl"] or 0.0)
+    """Tokenise once, derive corpus statistics, materialise the postings.
+
+    ``avgdl`` = total tokens / documents, both read from the (cached) term
+    frequencies plus a plain row count; documents without tokens count in N.
+    """
     tf = term_frequencies(corpus, id_col, text_col)
+    if persist:
+        tf = tf.persist(StorageLevel.MEMORY_AND_DISK)
+    n_docs = corpus.count()
+    total = tf.agg(F.sum("tf").alias("t")).first()["t"] or 0
+    avgdl = float(total) / n_docs if n_docs else 0.0
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.lit(avgdl)) if avgdl > 0 \
         else F.lit(k1 * (1.0 - b))
     postings = tf.withColumn(
@@ -67,7 +85,6 @@ def build_index(corpus: DataFrame, id_col: str = "id", text_col: str = "text",
              .withColumn("idf", F.log(F.lit(1.0) + (F.lit(float(n_docs)) - F.col("df") + 0.5)
                                       / (F.col("df") + 0.5))))
     if persist:
-        postings = postings.persist(StorageLevel.MEMORY_AND_DISK)
         terms = terms.persist(StorageLevel.MEMORY_AND_DISK)
     return LexicalIndex(postings, terms, n_docs, avgdl)
 

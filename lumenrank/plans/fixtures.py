@@ -6,6 +6,7 @@ Ids are strings (X2), relevance judgments use ``(query_id, corpus_id, score)``.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +23,7 @@ def known_set(spark: SparkSession, sf_dir: str) -> RetrievalSet:
     that occurs verbatim in at least one document; those documents are relevant."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    hits = containment.pairs(docs, bench)
+    hits = containment.pairs(docs, bench).persist(StorageLevel.MEMORY_AND_DISK)
     corpus = docs.select(F.col("doc_id").cast("string").alias("id"), "text")
     qrels = hits.select(F.col("item_id").cast("string").alias("query_id"),
                         F.col("doc_id").cast("string").alias("corpus_id"),

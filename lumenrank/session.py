@@ -28,9 +28,18 @@ def get_spark(master: str | None = None, app: str = "lumenrank",
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # no broadcast from static (pre-run) size estimates: they undercount
+        # exploded rows.  AQE still broadcasts a side whose *measured* shuffle
+        # output is small, and explicit hints are placed only behind a count.
+        .config("spark.sql.autoBroadcastJoinThreshold", "-1")
+        .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
+        # text rows explode ~10x into tokens: keep scan splits modest so a
+        # task's exploded rows stay small and every core gets work.
+        .config("spark.sql.files.maxPartitionBytes", "32MB")
+        .config("spark.sql.files.openCostInBytes", "1MB")
         .config("spark.driver.memory", os.environ.get("LUMENRANK_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
