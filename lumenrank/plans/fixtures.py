@@ -95,3 +95,41 @@ def tok_set(spark: SparkSession, sf_dir: str):
     qrels = ids.select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("corpus_id"),
                        F.lit(1.0).alias("score"))
     return doc_vecs, query_vecs, qrels, corpus, queries
+
+
+def dirty_set(spark: SparkSession, sf_dir: str) -> RetrievalSet:
+    """DIRTY: every documents/labels row, with deterministic defects injected:
+    null text where doc_id mod 97 = 5, rows with doc_id mod 101 = 7 repeated,
+    queries = labelled documents except doc_id mod 73 = 4 (dangling qrels),
+    corpus id shifted by 10,000,000 where doc_id mod 89 = 3, score 'high'
+    where mod 83 = 1, 'NaN' where mod 79 = 2, else the quality label."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lab = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    base = d.select(F.col("doc_id").alias("id"),
+                    F.when(F.col("doc_id") % 97 == 5, F.lit(None).cast("string"))
+                    .otherwise(F.col("text")).alias("text"))
+    corpus = base.unionByName(base.where(F.col("id") % 101 == 7))
+    queries = (lab.where(F.col("doc_id") % 73 != 4)
+               .join(d, "doc_id").select(F.col("doc_id").alias("id"), "text"))
+    qrels = lab.select(
+        F.col("doc_id").alias("query_id"),
+        F.when(F.col("doc_id") % 89 == 3, F.col("doc_id") + 10_000_000)
+        .otherwise(F.col("doc_id")).alias("corpus_id"),
+        F.when(F.col("doc_id") % 83 == 1, F.lit("high"))
+        .when(F.col("doc_id") % 79 == 2, F.lit("NaN"))
+        .otherwise(F.col("quality").cast("string")).alias("score"))
+    return RetrievalSet(corpus, queries, qrels)
+
+
+def greedy_set(spark: SparkSession, sf_dir: str):
+    """GREEDY: every order is a query whose positives are its distinct parts;
+    corpus = part; returns (RetrievalSet, budget = 10 % of the corpus)."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    corpus = part.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("text"))
+    qrels = (li.select(F.col("l_orderkey").cast("string").alias("query_id"),
+                       F.col("l_partkey").cast("string").alias("corpus_id")).distinct()
+             .withColumn("score", F.lit(1.0)))
+    queries = qrels.select(F.col("query_id").alias("id")).distinct().withColumn("text", F.col("id"))
+    n = part.count()
+    return RetrievalSet(corpus, queries, qrels), max(1, n // 10)

@@ -192,3 +192,120 @@ _SQL["late_hybrid_metrics"] = "WITH " + TOK + "," + bm25("b", "t_corpus", "t_cor
     "b_scores", "t_sem", "(SELECT count(*) FROM t_corpus)", [0.25, 0.5, 0.75], True) + "," + grid_metrics(
     "f_rank", "t_qrels", "(SELECT count(*) FROM t_corpus)", "(SELECT count(*) FROM t_corpus)",
     "'token-hashing-16'")
+
+# --- DIRTY -------------------------------------------------------------------
+
+DIRTY = r"""
+d_base AS (SELECT doc_id AS id, CASE WHEN doc_id % 97 = 5 THEN NULL ELSE text END AS text FROM documents),
+d_corpus AS (SELECT * FROM d_base UNION ALL SELECT * FROM d_base WHERE id % 101 = 7),
+d_queries AS (
+  SELECT l.doc_id AS id, d.text FROM labels l JOIN documents d ON d.doc_id = l.doc_id
+  WHERE l.doc_id % 73 <> 4
+),
+d_qrels AS (
+  SELECT CAST(doc_id AS VARCHAR) AS query_id,
+         CAST(CASE WHEN doc_id % 89 = 3 THEN doc_id + 10000000 ELSE doc_id END AS VARCHAR) AS corpus_id,
+         TRY_CAST(CASE WHEN doc_id % 83 = 1 THEN 'high' WHEN doc_id % 79 = 2 THEN 'NaN'
+                       ELSE CAST(quality AS VARCHAR) END AS DOUBLE) AS score
+  FROM labels
+)"""
+
+
+def _id_rules(table: str, src: str) -> str:
+    return f"""
+SELECT '{table}' AS table_name, 'not_empty' AS rule, CASE WHEN count(*) = 0 THEN 1 ELSE 0 END::BIGINT AS n,
+       NULL::VARCHAR AS sample_id FROM {src}
+UNION ALL SELECT '{table}', 'text_present', count(*) FILTER (WHERE text IS NULL),
+       min(CAST(id AS VARCHAR)) FILTER (WHERE text IS NULL) FROM {src}
+UNION ALL SELECT '{table}', 'id_not_null', count(*) FILTER (WHERE id IS NULL), NULL FROM {src}
+UNION ALL SELECT '{table}', 'id_unique', count(*), min(sid)
+  FROM (SELECT CAST(id AS VARCHAR) AS sid FROM {src} WHERE id IS NOT NULL GROUP BY 1 HAVING count(*) > 1)"""
+
+
+_SQL["dataset_violations"] = "WITH " + DIRTY + ",\n" + r"""
+fin AS (SELECT *, score IS NOT NULL AND NOT isnan(score) AND NOT isinf(score) AS ok FROM d_qrels),
+qids AS (SELECT DISTINCT CAST(id AS VARCHAR) AS query_id FROM d_queries),
+cids AS (SELECT DISTINCT CAST(id AS VARCHAR) AS corpus_id FROM d_corpus)
+""" + _id_rules("corpus", "d_corpus") + "\nUNION ALL" + _id_rules("queries", "d_queries") + r"""
+UNION ALL SELECT 'qrels', 'not_empty', CASE WHEN count(*) = 0 THEN 1 ELSE 0 END, NULL FROM d_qrels
+UNION ALL SELECT 'qrels', 'query_id_not_null', count(*) FILTER (WHERE query_id IS NULL), NULL FROM d_qrels
+UNION ALL SELECT 'qrels', 'corpus_id_not_null', count(*) FILTER (WHERE corpus_id IS NULL), NULL FROM d_qrels
+UNION ALL SELECT 'qrels', 'score_finite', count(*) FILTER (WHERE NOT ok), min(query_id) FILTER (WHERE NOT ok) FROM fin
+UNION ALL SELECT 'qrels', 'query_id_exists', count(*), min(query_id)
+  FROM d_qrels q WHERE query_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM qids i WHERE i.query_id = q.query_id)
+UNION ALL SELECT 'qrels', 'corpus_id_exists', count(*), min(corpus_id)
+  FROM d_qrels q WHERE corpus_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM cids i WHERE i.corpus_id = q.corpus_id)
+UNION ALL SELECT 'queries', 'has_positive', count(*), min(query_id)
+  FROM qids i WHERE NOT EXISTS (SELECT 1 FROM fin f WHERE f.query_id = i.query_id AND f.ok AND f.score > 0)"""
+
+CLEAN = "WITH " + DIRTY + r""",
+c_corpus AS (SELECT DISTINCT CAST(id AS VARCHAR) AS id, text FROM d_corpus WHERE id IS NOT NULL AND text IS NOT NULL),
+c_qrels AS (
+  SELECT query_id, corpus_id, score FROM d_qrels
+  WHERE score IS NOT NULL AND NOT isnan(score) AND NOT isinf(score)
+    AND corpus_id IN (SELECT id FROM c_corpus)
+    AND query_id IN (SELECT CAST(id AS VARCHAR) FROM d_queries)
+)"""
+
+_SQL["clean_dataset"] = CLEAN + "\nSELECT query_id, corpus_id, score FROM c_qrels"
+
+_SQL["query_bank"] = CLEAN + """
+SELECT CAST(id AS VARCHAR) AS id, text FROM d_queries
+WHERE CAST(id AS VARCHAR) IN (SELECT query_id FROM c_qrels)"""
+
+# --- sampling -------------------------------------------------------------------
+
+SAMPLE = "WITH " + KNOWN + r""",
+s_sel AS (SELECT id AS query_id FROM k_queries ORDER BY md5(id || ':42'), id LIMIT 10),
+s_pos AS (
+  SELECT DISTINCT corpus_id AS doc_id FROM k_qrels
+  WHERE score > 0 AND query_id IN (SELECT query_id FROM s_sel)
+),
+s_dis AS (
+  SELECT id AS doc_id FROM k_corpus WHERE id NOT IN (SELECT doc_id FROM s_pos)
+  QUALIFY row_number() OVER (ORDER BY md5(id || ':42'), id) <= greatest(0, 100 - (SELECT count(*) FROM s_pos))
+),
+s_keep AS (SELECT doc_id FROM s_pos UNION SELECT doc_id FROM s_dis),
+s_qrels AS (
+  SELECT * FROM k_qrels WHERE query_id IN (SELECT query_id FROM s_sel)
+    AND corpus_id IN (SELECT doc_id FROM s_keep)
+)"""
+
+_SQL["sample_fixed_queries"] = SAMPLE + """
+SELECT 'corpus' AS kind, id FROM k_corpus WHERE id IN (SELECT doc_id FROM s_keep)
+UNION ALL
+SELECT 'query', id FROM k_queries WHERE id IN (SELECT query_id FROM s_sel)"""
+
+_SQL["sample_stats"] = SAMPLE + """
+SELECT 42::BIGINT AS seed, 100::BIGINT AS requested_corpus_size, 10::BIGINT AS requested_query_size,
+  (SELECT count(*) FROM k_corpus) AS original_corpus_size,
+  (SELECT count(*) FROM k_queries) AS original_query_size,
+  (SELECT count(*) FROM k_qrels) AS original_qrels_size,
+  (SELECT count(*) FROM s_keep) AS sampled_corpus_size,
+  (SELECT count(*) FROM s_sel) AS sampled_query_size,
+  (SELECT count(*) FROM s_qrels) AS sampled_qrels_size,
+  (SELECT count(*) FROM s_pos) AS selected_positive_documents,
+  round((SELECT count(*) FROM s_pos)::DOUBLE
+        / (SELECT count(DISTINCT corpus_id) FROM k_qrels WHERE score > 0), 6) AS positive_document_coverage,
+  1.0::DOUBLE AS selected_query_positive_document_coverage,
+  round((SELECT count(*) FROM s_qrels)::DOUBLE / (SELECT count(*) FROM s_sel), 6) AS judgments_per_query"""
+
+# Sequential greedy scan as a recursive CTE: one step per query in seeded order.
+_SQL["sample_greedy"] = r"""
+WITH RECURSIVE
+g_q AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS query_id, list(DISTINCT CAST(l_partkey AS VARCHAR)) AS pos
+  FROM lineitem GROUP BY l_orderkey
+),
+g_o AS (SELECT query_id, pos, row_number() OVER (ORDER BY md5(query_id || ':42'), query_id) AS i FROM g_q),
+g_b AS (SELECT greatest(1, count(*) // 10) AS b FROM part),
+walk(i, sel, took) AS (
+  SELECT i, pos, true FROM g_o WHERE i = 1
+  UNION ALL
+  SELECT o.i,
+         CASE WHEN len(list_distinct(list_concat(w.sel, o.pos))) <= (SELECT b FROM g_b)
+              THEN list_distinct(list_concat(w.sel, o.pos)) ELSE w.sel END,
+         len(list_distinct(list_concat(w.sel, o.pos))) <= (SELECT b FROM g_b)
+  FROM walk w JOIN g_o o ON o.i = w.i + 1
+)
+SELECT o.query_id FROM walk w JOIN g_o o ON o.i = w.i WHERE w.took"""

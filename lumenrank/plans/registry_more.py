@@ -108,3 +108,62 @@ def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = fixtures.table(spark, sf_dir, "documents").select(
         F.col("doc_id").cast("string").alias("id"), "text")
     return embed.embed(docs).select("doc_id", "vector")
+
+
+# --- validation ---------------------------------------------------------------
+
+@register("dataset_violations")
+def dataset_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2-V10 + J4: one row per rule with count and smallest offending id."""
+    from lumenrank.operators import validate
+    return validate.violations(fixtures.dirty_set(spark, sf_dir))
+
+
+@register("clean_dataset")
+def clean_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgments that survive coercion and both-end resolution."""
+    from lumenrank.operators import validate
+    return validate.clean(fixtures.dirty_set(spark, sf_dir)).qrels.select("query_id", "corpus_id", "score")
+
+
+@register("query_bank")
+def query_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries restricted to those with at least one clean judgment."""
+    from lumenrank.operators import validate
+    q = validate.clean(fixtures.dirty_set(spark, sf_dir)).queries
+    return q.select("id", "text")
+
+
+# --- sampling -----------------------------------------------------------------
+
+SAMPLE_SEED = 42
+SAMPLE_CORPUS = 100
+SAMPLE_QUERIES = 10
+
+
+def _fixed_sample(spark, sf_dir):
+    from lumenrank.operators import sampling
+    rs = fixtures.known_set(spark, sf_dir)
+    return sampling.sample(rs, SAMPLE_CORPUS, SAMPLE_SEED, SAMPLE_QUERIES)
+
+
+@register("sample_fixed_queries")
+def sample_fixed_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retained corpus and query ids of a seeded sample."""
+    s = _fixed_sample(spark, sf_dir)
+    return (s.data.corpus.select(F.lit("corpus").alias("kind"), "id")
+            .unionByName(s.data.queries.select(F.lit("query").alias("kind"), "id")))
+
+
+@register("sample_stats")
+def sample_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P9 + M14: statistics row of the seeded sample."""
+    return _fixed_sample(spark, sf_dir).stats
+
+
+@register("sample_greedy")
+def sample_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P5: budgeted greedy query choice, exact, in distributed rounds."""
+    from lumenrank.operators import sampling
+    rs, budget = fixtures.greedy_set(spark, sf_dir)
+    return sampling.greedy_queries(rs.queries, metrics.positives(rs.qrels), budget, SAMPLE_SEED)
