@@ -7,7 +7,7 @@ Ids are strings (X2), relevance judgments use ``(query_id, corpus_id, score)``.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenrank.operators import containment
@@ -133,3 +133,34 @@ def greedy_set(spark: SparkSession, sf_dir: str):
     queries = qrels.select(F.col("query_id").alias("id")).distinct().withColumn("text", F.col("id"))
     n = part.count()
     return RetrievalSet(corpus, queries, qrels), max(1, n // 10)
+
+
+def runs_set(spark: SparkSession, sf_dir: str):
+    """RUNS: one evaluation result row per part: project = brand, model = 'm'
+    + partkey (or 'BM25' where partkey mod 40 = 0), model_short = type,
+    alpha = ((partkey mod 4) + 1) / 4, mrr@10 = retailprice / 2500 (null where
+    partkey mod 37 = 0), latency = size, total = size * 1000, 1000 documents.
+    Memory: one row per type, 100 x its alphabetical position, the first
+    negative, the last missing.  Returns (results, memory)."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_size", "p_retailprice")
+    bm = F.col("p_partkey") % 40 == 0
+    results = p.select(
+        F.col("p_brand").alias("project"),
+        F.when(bm, F.lit("BM25")).otherwise(F.concat(F.lit("m"), F.col("p_partkey").cast("string"))).alias("model"),
+        F.when(bm, F.lit("BM25")).otherwise(F.col("p_type")).alias("model_short"),
+        F.when(bm, F.lit(0.0)).otherwise(((F.col("p_partkey") % 4) + 1) / 4.0).alias("alpha"),
+        F.when(F.col("p_partkey") % 37 == 0, F.lit(None).cast("double"))
+        .otherwise(F.col("p_retailprice") / 2500.0).alias("mrr@10"),
+        F.when(bm, F.lit(0.0)).otherwise(F.col("p_size").cast("double")).alias("avg_embed_time_ms"),
+        F.when(bm, F.lit(0.0)).otherwise(F.col("p_size") * 1000.0).alias("total_embed_time_ms"),
+        F.lit(1000).cast("long").alias("num_documents"),
+        F.col("p_partkey"))
+    types = p.select("p_type").distinct()
+    # a handful of distinct types: ranking them needs no partitioning
+    ranked = types.withColumn("pos", F.dense_rank().over(Window.orderBy("p_type")))
+    n = types.count()
+    memory = (ranked.where(F.col("pos") < n)
+              .select(F.col("p_type").alias("model_short"),
+                      F.when(F.col("pos") == 1, F.col("pos") * -100.0)
+                      .otherwise(F.col("pos") * 100.0).alias("peak_memory_mb")))
+    return results, memory

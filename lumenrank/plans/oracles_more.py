@@ -309,3 +309,89 @@ walk(i, sel, took) AS (
   FROM walk w JOIN g_o o ON o.i = w.i + 1
 )
 SELECT o.query_id FROM walk w JOIN g_o o ON o.i = w.i WHERE w.took"""
+
+# --- RUNS -------------------------------------------------------------------------
+
+RUNS = r"""
+r_res AS (
+  SELECT p_brand AS project,
+         CASE WHEN p_partkey % 40 = 0 THEN 'BM25' ELSE 'm' || CAST(p_partkey AS VARCHAR) END AS model,
+         CASE WHEN p_partkey % 40 = 0 THEN 'BM25' ELSE p_type END AS model_short,
+         CASE WHEN p_partkey % 40 = 0 THEN 0.0::DOUBLE ELSE ((p_partkey % 4) + 1) / 4.0::DOUBLE END AS alpha,
+         CASE WHEN p_partkey % 37 = 0 THEN NULL ELSE p_retailprice / 2500.0::DOUBLE END AS "mrr@10",
+         CASE WHEN p_partkey % 40 = 0 THEN 0.0::DOUBLE ELSE p_size::DOUBLE END AS avg_embed_time_ms,
+         CASE WHEN p_partkey % 40 = 0 THEN 0.0::DOUBLE ELSE p_size * 1000.0::DOUBLE END AS total_embed_time_ms,
+         1000::BIGINT AS num_documents, p_partkey
+  FROM part
+),
+r_types AS (SELECT p_type, dense_rank() OVER (ORDER BY p_type) AS pos FROM (SELECT DISTINCT p_type FROM part)),
+r_mem AS (
+  SELECT p_type AS model_short, CASE WHEN pos = 1 THEN pos * -100.0::DOUBLE ELSE pos * 100.0::DOUBLE END AS peak_memory_mb
+  FROM r_types WHERE pos < (SELECT count(*) FROM r_types)
+),
+r_cmp AS (
+  SELECT *, model <> 'BM25' AND "mrr@10" IS NOT NULL AND NOT isnan("mrr@10") AND NOT isinf("mrr@10")
+            AND avg_embed_time_ms IS NOT NULL AND NOT isinf(avg_embed_time_ms) AS cmp FROM r_res
+),
+r_flag AS (
+  SELECT a.*, CASE WHEN NOT a.cmp THEN NULL ELSE NOT EXISTS (
+      SELECT 1 FROM r_cmp b
+      WHERE b.cmp AND b.project = a.project AND b.model <> a.model
+        AND b."mrr@10" >= a."mrr@10" AND b.avg_embed_time_ms <= a.avg_embed_time_ms
+        AND (b."mrr@10" > a."mrr@10" OR b.avg_embed_time_ms < a.avg_embed_time_ms)) END AS is_pareto
+  FROM r_cmp a
+)"""
+
+_SQL["pareto_flags"] = "WITH " + RUNS + "\nSELECT project, model, is_pareto FROM r_flag"
+
+_SQL["pareto_frontier"] = "WITH " + RUNS + """
+SELECT project, model, avg_embed_time_ms, "mrr@10",
+       row_number() OVER (PARTITION BY project ORDER BY avg_embed_time_ms, model)::BIGINT AS position
+FROM r_flag
+WHERE is_pareto AND project IN (SELECT project FROM r_flag WHERE is_pareto GROUP BY project HAVING count(*) > 1)"""
+
+_SQL["cost_per_model"] = "WITH " + RUNS + """
+SELECT model_short, max(total_embed_time_ms) AS total_embed_time_ms, max(num_documents) AS num_documents
+FROM r_res WHERE model <> 'BM25' GROUP BY model_short"""
+
+_SQL["cost_percent"] = "WITH " + RUNS + """,
+c AS (SELECT model_short, max(total_embed_time_ms) AS t FROM r_res WHERE model <> 'BM25' GROUP BY model_short)
+SELECT model_short, t AS total_embed_time_ms, round(t / (SELECT max(t) FROM c) * 100.0, 6) AS cost_percent FROM c"""
+
+_SQL["report_rows"] = "WITH " + RUNS + """
+SELECT model, printf('%s (α=%.1f)', model_short, alpha) AS label,
+       CASE WHEN isnan("mrr@10") THEN NULL ELSE "mrr@10" END AS "mrr@10",
+       CASE WHEN model = 'BM25' THEN NULL ELSE avg_embed_time_ms END AS avg_embed_time_ms
+FROM r_res
+WHERE contains(lower(model_short), 'standard') OR contains(lower(model), 'standard')"""
+
+_SQL["report_bars"] = "WITH " + RUNS + """,
+j AS (SELECT r.*, greatest(0.0, m.peak_memory_mb) AS memory_mb FROM r_res r LEFT JOIN r_mem m USING (model_short)),
+g AS (
+  SELECT min("mrr@10") AS qmn, max("mrr@10") AS qmx,
+         min(avg_embed_time_ms) FILTER (WHERE avg_embed_time_ms > 0) AS lmn,
+         max(avg_embed_time_ms) FILTER (WHERE avg_embed_time_ms > 0) AS lmx,
+         min(memory_mb) FILTER (WHERE memory_mb > 0) AS mmn,
+         max(memory_mb) FILTER (WHERE memory_mb > 0) AS mmx
+  FROM j
+)
+SELECT model, model_short,
+  round(CASE WHEN "mrr@10" IS NULL OR qmx = qmn THEN 0.0 ELSE ("mrr@10" - qmn) / (qmx - qmn) * 100.0 END, 6) AS quality_bar,
+  round(CASE WHEN NOT (avg_embed_time_ms > 0) OR lmx = lmn THEN 0.0
+             ELSE (avg_embed_time_ms - lmn) / (lmx - lmn) * 100.0 END, 6) AS latency_bar,
+  memory_mb,
+  round(CASE WHEN memory_mb IS NULL THEN 300.0 WHEN mmx = mmn OR mmn IS NULL THEN 500.0
+             ELSE 100.0 + (memory_mb - mmn) / (mmx - mmn) * 1900.0 END, 6) AS bubble_size
+FROM j, g"""
+
+_SQL["axis_limits"] = "WITH " + RUNS + """
+SELECT project, round(greatest(0.0, min("mrr@10") * 0.9), 6) AS lo, round(least(1.0, max("mrr@10") * 1.1), 6) AS hi
+FROM r_res WHERE "mrr@10" IS NOT NULL GROUP BY project"""
+
+_SQL["results_wide"] = "WITH " + RUNS + """
+SELECT p_partkey, model, alpha,
+       max(CASE WHEN "mrr@10" IS NOT NULL THEN "mrr@10" END) AS "mrr@10",
+       max(CASE WHEN p_partkey % 3 = 0 THEN avg_embed_time_ms / 50.0 END) AS "hit_rate@3"
+FROM r_res
+WHERE "mrr@10" IS NOT NULL OR p_partkey % 3 = 0
+GROUP BY p_partkey, model, alpha"""

@@ -167,3 +167,82 @@ def sample_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lumenrank.operators import sampling
     rs, budget = fixtures.greedy_set(spark, sf_dir)
     return sampling.greedy_queries(rs.queries, metrics.positives(rs.qrels), budget, SAMPLE_SEED)
+
+
+# --- comparison -----------------------------------------------------------------
+
+QUALITY = "mrr@10"
+
+
+@register("pareto_flags")
+def pareto_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K2: Pareto optimality per project (quality up, latency down)."""
+    from lumenrank.operators import compare
+    results, _ = fixtures.runs_set(spark, sf_dir)
+    return compare.pareto_flags(results, QUALITY).select("project", "model", "is_pareto")
+
+
+@register("pareto_frontier")
+def pareto_frontier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: frontier points per project in latency order (projects with > 1 point)."""
+    from lumenrank.operators import compare
+    results, _ = fixtures.runs_set(spark, sf_dir)
+    return compare.pareto_frontier(compare.pareto_flags(results, QUALITY), QUALITY)
+
+
+@register("cost_per_model")
+def cost_per_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M8: embedding cost per model, BM25 excluded."""
+    from lumenrank.operators import compare
+    results, _ = fixtures.runs_set(spark, sf_dir)
+    return compare.cost_per_model(results).orderBy(F.col("total_embed_time_ms").desc())
+
+
+@register("cost_percent")
+def cost_percent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: cost as a percentage of the most expensive model."""
+    from lumenrank.operators import compare
+    results, _ = fixtures.runs_set(spark, sf_dir)
+    return compare.cost_percent(compare.cost_per_model(results))
+
+
+@register("report_rows")
+def report_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered, null-normalised report rows with display labels."""
+    from lumenrank.operators import compare
+    results, _ = fixtures.runs_set(spark, sf_dir)
+    r = compare.report_query(compare.report_columns(results, QUALITY), text="standard",
+                             sort_col=QUALITY, descending=True)
+    return r.select("model", compare.display_label(F.col("model_short"), F.col("alpha")).alias("label"),
+                    F.col(f"`{QUALITY}`"), "avg_embed_time_ms")
+
+
+@register("report_bars")
+def report_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bar widths, memory clamp, bubble sizes."""
+    from lumenrank.operators import compare
+    results, memory = fixtures.runs_set(spark, sf_dir)
+    return compare.report_bars(results, memory, QUALITY)
+
+
+@register("axis_limits")
+def axis_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality axis limits per project."""
+    from lumenrank.operators import compare
+    results, _ = fixtures.runs_set(spark, sf_dir)
+    a = compare.axis_limits(results, QUALITY)
+    return a.select("project", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
+@register("results_wide")
+def results_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long metric rows pivoted to one column per metric@k."""
+    from lumenrank.operators import compare
+    results, _ = fixtures.runs_set(spark, sf_dir)
+    mrr = results.where(F.col(f"`{QUALITY}`").isNotNull()).select(
+        "p_partkey", "model", "alpha", F.lit("mrr").alias("metric"), F.lit(10).alias("k"),
+        F.col(f"`{QUALITY}`").alias("value"))
+    hit = results.where(F.col("p_partkey") % 3 == 0).select(
+        "p_partkey", "model", "alpha", F.lit("hit_rate").alias("metric"), F.lit(3).alias("k"),
+        (F.col("avg_embed_time_ms") / 50.0).alias("value"))
+    return compare.results_wide(mrr.unionByName(hit), ["p_partkey", "model", "alpha"])
