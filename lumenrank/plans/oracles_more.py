@@ -395,3 +395,82 @@ SELECT p_partkey, model, alpha,
 FROM r_res
 WHERE "mrr@10" IS NOT NULL OR p_partkey % 3 = 0
 GROUP BY p_partkey, model, alpha"""
+
+# --- text, prompts, generation -------------------------------------------------
+
+def trunc(t: str, n: int = 512) -> str:
+    """Cut after token ``n``: join the leading alternating word / separator runs."""
+    toks = TOKENS.format(t=t)
+    runs = "regexp_extract_all(" + t + r", '[\p{L}\p{N}]+|[^\p{L}\p{N}]+')"
+    k = f"CASE WHEN regexp_matches({t}, '^[\\p{{L}}\\p{{N}}]') THEN {2 * n - 1} ELSE {2 * n} END"
+    return (f"CASE WHEN len({toks}) <= {n} THEN {t} "
+            f"ELSE array_to_string(({runs})[1:{k}], '') END")
+
+
+_SQL["truncate_tokens"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, " + trunc("text") + " AS text FROM documents"
+
+_SQL["prefix_text"] = """SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'passage: ' || text AS embed_text,
+text AS lexical_text FROM documents"""
+
+_PROMPT_HEAD = "Document: "
+_PROMPT_MID = ("\nGenerate exactly ")
+_PROMPT_TAIL = (" diverse search queries that a user might enter to find this document. Ensure variety "
+                "in length, style, and specificity across all queries.\nReturn ONLY the queries as plain "
+                "text, one per line, without numbering or additional formatting  or commentary. Always "
+                "match the document's language.")
+
+
+def _sql_str(s: str) -> str:
+    return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+_SQL["prompts"] = ("SELECT CAST(doc_id AS VARCHAR) AS doc_id, " + _sql_str(_PROMPT_HEAD) + " || " + trunc("text") +
+                   " || " + _sql_str(_PROMPT_MID) + " || '5' || " + _sql_str(_PROMPT_TAIL) +
+                   " AS prompt FROM documents")
+
+PY_SPACE = r"[\t\n\x{0b}\f\r \x{1c}-\x{1f}\x{85}\p{Z}]"
+
+
+def parsed(t: str, limit: int = 5) -> str:
+    strip = "regexp_replace({x}, '^" + PY_SPACE + "+|" + PY_SPACE + "+$', '', 'g')"
+    return ("list_transform(list_filter(list_transform(string_split(" + strip.replace("{x}", t) +
+            ", chr(10)), lambda x: " + strip.replace("{x}", "x") + "), lambda x: x <> ''), "
+            "lambda x: regexp_replace(x, '^[0-9.\\- ]+', ''))[1:" + str(limit) + "]")
+
+
+_SQL["parse_generated_lines"] = """
+SELECT conv_id, turn, unnest(range(1, len(l) + 1)) AS position, unnest(l) AS query
+FROM (SELECT conv_id, turn, """ + parsed("text") + """ AS l FROM conversations WHERE role = 'assistant')"""
+
+GEN = """
+gen_l AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, """ + parsed(trunc("text")) + """ AS l FROM documents),
+gen_x AS (SELECT doc_id, unnest(range(0, len(l))) AS position, unnest(l) AS text FROM gen_l),
+gen_q AS (SELECT 'query_' || CAST(row_number() OVER (ORDER BY doc_id, position) - 1 AS VARCHAR) AS query_id,
+                 row_number() OVER (ORDER BY doc_id, position) - 1 AS i, text, doc_id FROM gen_x)"""
+
+_SQL["generated_queries_qrels"] = "WITH " + GEN + """
+SELECT query_id, text, doc_id AS corpus_id, 1::BIGINT AS score FROM gen_q"""
+
+_SQL["generation_stats"] = "WITH " + GEN + """
+SELECT query_id, substr(text, 1, 60) || CASE WHEN length(text) > 60 THEN '...' ELSE '' END AS preview,
+       (SELECT count(*) FROM gen_q) AS num_queries, (SELECT count(*) FROM documents) AS num_documents,
+       round((SELECT count(*) FROM gen_q)::DOUBLE / (SELECT count(*) FROM documents), 6) AS queries_per_document
+FROM gen_q ORDER BY i LIMIT 5"""
+
+# --- cache keys -------------------------------------------------------------------
+
+KEYED = "WITH " + RUNS + r""",
+k AS (
+  SELECT p_partkey, model, alpha,
+    project || '_' || model || '_documents_' || substr(md5(project || '_' || model || '_documents'), 1, 8) AS embedding_key,
+    project || '_' || model_short || '_a' || CAST(alpha AS VARCHAR) || '_k10_' ||
+      substr(md5(project || '_' || model || '_' || model_short || '_alpha' || CAST(alpha AS VARCHAR) || '_k10'
+                 || '_metrics[(''hit_rate'', [3]), (''mrr'', [1, 3, 10])]'), 1, 8) AS eval_key
+  FROM r_res WHERE model <> 'BM25'
+)"""
+
+_SQL["cache_keys"] = KEYED + "\nSELECT model, alpha, embedding_key, eval_key FROM k"
+
+_SQL["pending_work"] = KEYED + """
+SELECT model, alpha, eval_key FROM k
+WHERE eval_key NOT IN (SELECT eval_key FROM k WHERE p_partkey % 2 = 0)"""

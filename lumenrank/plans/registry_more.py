@@ -246,3 +246,101 @@ def results_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey", "model", "alpha", F.lit("hit_rate").alias("metric"), F.lit(3).alias("k"),
         (F.col("avg_embed_time_ms") / 50.0).alias("value"))
     return compare.results_wide(mrr.unionByName(hit), ["p_partkey", "model", "alpha"])
+
+
+# --- text, prompts, generation -------------------------------------------------
+
+def _docs(spark, sf_dir):
+    return fixtures.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), "text")
+
+
+@register("truncate_tokens")
+def truncate_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X3 + X4: document view with text cut after 512 tokens."""
+    from lumenrank.functions.text import truncate_tokens as tt
+    return _docs(spark, sf_dir).select(F.col("id").alias("doc_id"), tt(F.col("text"), 512).alias("text"))
+
+
+@register("prefix_text")
+def prefix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding-side passage prefix (lexical text stays raw)."""
+    from lumenrank.functions.text import with_prefix
+    return _docs(spark, sf_dir).select(F.col("id").alias("doc_id"),
+                                       with_prefix(F.col("text"), "passage: ").alias("embed_text"),
+                                       F.col("text").alias("lexical_text"))
+
+
+@register("prompts")
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generation prompt per document (512-token document, 5 queries)."""
+    from lumenrank.operators import generate
+    return _docs(spark, sf_dir).select(F.col("id").alias("doc_id"),
+                                       generate.prompt(F.col("text")).alias("prompt"))
+
+
+@register("parse_generated_lines")
+def parse_generated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Assistant turns of ``conversations`` parsed as model output."""
+    from lumenrank.operators import generate
+    c = fixtures.table(spark, sf_dir, "conversations").where(F.col("role") == "assistant")
+    return c.select("conv_id", "turn", F.posexplode(generate.parse_lines(F.col("text"))).alias("pos", "query")
+                    ).select("conv_id", "turn", (F.col("pos") + 1).cast("long").alias("position"), "query")
+
+
+@register("generated_queries_qrels")
+def generated_queries_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """U4 + X1: queries and judgments generated from every document."""
+    from lumenrank.operators import generate
+    q, r = generate.generated_sets(_docs(spark, sf_dir), generate.echo_generator)
+    return q.join(r.withColumnRenamed("query_id", "id"), "id").select(
+        F.col("id").alias("query_id"), "text", "corpus_id", F.col("score").cast("long").alias("score"))
+
+
+@register("generation_stats")
+def generation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M15 + T4: queries per document and the first five generated queries."""
+    from lumenrank.operators import generate
+    docs = _docs(spark, sf_dir)
+    q, _ = generate.generated_sets(docs, generate.echo_generator)
+    q = q.persist(StorageLevel.MEMORY_AND_DISK)
+    n_q, n_d = q.count(), docs.count()
+    first5 = (q.withColumn("i", F.split_part("id", F.lit("_"), F.lit(2)).cast("long"))
+              .orderBy("i").limit(5))
+    return first5.select(F.col("id").alias("query_id"),
+                         F.concat(F.substring("text", 1, 60),
+                                  F.when(F.length("text") > 60, F.lit("...")).otherwise(F.lit("")))
+                         .alias("preview"),
+                         F.lit(n_q).cast("long").alias("num_queries"),
+                         F.lit(n_d).cast("long").alias("num_documents"),
+                         F.round(F.lit(n_q / n_d), 6).alias("queries_per_document"))
+
+
+# --- cache keys and incremental work ----------------------------------------
+
+CACHE_CUTOFFS = {"mrr": [1, 3, 10], "hit_rate": [3]}
+
+
+def _keyed(spark, sf_dir):
+    from lumenrank.functions import keys
+    results, _ = fixtures.runs_set(spark, sf_dir)
+    r = results.where(F.col("model") != "BM25")
+    return r.select("p_partkey", "model", "alpha",
+                    keys.embedding_key(F.col("project"), F.col("model"), "documents").alias("embedding_key"),
+                    keys.eval_key(F.col("project"), F.col("model"), F.col("alpha"), 10,
+                                  F.col("model_short"), CACHE_CUTOFFS).alias("eval_key"))
+
+
+@register("cache_keys")
+def cache_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """X8 + X9: embedding and evaluation cache keys for every run."""
+    return _keyed(spark, sf_dir).drop("p_partkey")
+
+
+@register("pending_work")
+def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The grid minus runs whose evaluation key is already stored
+    (stored = runs of even part keys)."""
+    k = _keyed(spark, sf_dir)
+    stored = k.where(F.col("p_partkey") % 2 == 0).select("eval_key")
+    return k.join(stored, "eval_key", "left_anti").select("model", "alpha", "eval_key")
