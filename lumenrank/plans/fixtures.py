@@ -164,3 +164,38 @@ def runs_set(spark: SparkSession, sf_dir: str):
                       F.when(F.col("pos") == 1, F.col("pos") * -100.0)
                       .otherwise(F.col("pos") * 100.0).alias("peak_memory_mb")))
     return results, memory
+
+
+TASK_TYPES = ["Retrieval", "InstructionRetrieval", "Any2AnyRetrieval",
+              "Any2AnyMultilingualRetrieval", "Reranking"]
+VERSIONS = ["v1", "v2", "v3", "classic"]
+
+
+def catalog_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CATALOG: one task record per document: path = source, language = lang,
+    task = lang-(doc_id mod 7), revision r(doc_id mod 3), type by doc_id mod 5,
+    version by doc_id mod 4."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    types = F.array(*[F.lit(t) for t in TASK_TYPES])
+    vers = F.array(*[F.lit(v) for v in VERSIONS])
+    return d.select(
+        F.col("source").alias("path"), F.col("lang"),
+        F.concat(F.col("lang"), F.lit("-"), (F.col("doc_id") % 7).cast("string")).alias("task_name"),
+        F.concat(F.lit("r"), (F.col("doc_id") % 3).cast("string")).alias("revision"),
+        F.element_at(types, (F.col("doc_id") % 5 + 1).cast("int")).alias("task_type"),
+        F.element_at(vers, (F.col("doc_id") % 4 + 1).cast("int")).alias("version"))
+
+
+def catalog_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configs per (source, lang): corpus always, queries when any doc_id is
+    even, qrels when any document is labelled."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    lab = table(spark, sf_dir, "labels").select("doc_id").distinct().withColumn("labelled", F.lit(True))
+    g = (d.join(lab, "doc_id", "left").groupBy("source", "lang")
+         .agg(F.max(F.col("doc_id") % 2 == 0).alias("has_even"),
+              F.max(F.coalesce("labelled", F.lit(False))).alias("has_label")))
+    roles = F.array(F.lit("corpus"), F.when(F.col("has_even"), F.lit("queries")),
+                    F.when(F.col("has_label"), F.lit("qrels")))
+    return (g.select(F.col("source").alias("dataset"), "lang", F.explode(roles).alias("role"))
+            .where(F.col("role").isNotNull())
+            .select("dataset", F.concat(F.col("lang"), F.lit("-"), F.col("role")).alias("config")))

@@ -474,3 +474,55 @@ _SQL["cache_keys"] = KEYED + "\nSELECT model, alpha, embedding_key, eval_key FRO
 _SQL["pending_work"] = KEYED + """
 SELECT model, alpha, eval_key FROM k
 WHERE eval_key NOT IN (SELECT eval_key FROM k WHERE p_partkey % 2 = 0)"""
+
+# --- catalog -------------------------------------------------------------------------
+
+CATALOG = r"""
+ct AS (
+  SELECT source AS dataset_path, lang, lang || '-' || CAST(doc_id % 7 AS VARCHAR) AS task_name,
+         'r' || CAST(doc_id % 3 AS VARCHAR) AS dataset_revision,
+         (['Retrieval', 'InstructionRetrieval', 'Any2AnyRetrieval', 'Any2AnyMultilingualRetrieval',
+           'Reranking'])[doc_id % 5 + 1] AS task_type,
+         (['v1', 'v2', 'v3', 'classic'])[doc_id % 4 + 1] AS version
+  FROM documents
+),
+ctf AS (SELECT * FROM ct WHERE task_type IN ('Retrieval', 'InstructionRetrieval', 'Any2AnyRetrieval',
+                                              'Any2AnyMultilingualRetrieval'))"""
+
+_SQL["catalog_tasks"] = "WITH " + CATALOG + """
+SELECT DISTINCT task_name, task_type, dataset_path, dataset_revision FROM ctf"""
+
+_SQL["catalog_dedupe"] = "WITH " + CATALOG + """
+SELECT dataset_path, dataset_revision, list_sort(list(DISTINCT task_name)) AS tasks,
+       array_to_string(list_sort(list(DISTINCT task_name)), ';') AS tasks_csv,
+       count(DISTINCT task_name) AS n_tasks
+FROM ctf GROUP BY dataset_path, dataset_revision"""
+
+_SQL["catalog_complete_groups"] = """
+WITH g AS (
+  SELECT source, lang, bool_or(doc_id % 2 = 0) AS has_even,
+         bool_or(doc_id IN (SELECT doc_id FROM labels)) AS has_label
+  FROM documents GROUP BY source, lang
+)
+SELECT source AS dataset, lang FROM g WHERE has_even AND has_label"""
+
+_SQL["catalog_best_version"] = "WITH " + CATALOG + """,
+names AS (SELECT DISTINCT lang, version FROM ct),
+norm AS (
+  SELECT 'MTEB(' || lang || ', ' || version || ')' AS name, 'MTEB' AS suite,
+         CASE WHEN lower(trim(lang)) = 'ger' THEN 'deu'
+              WHEN length(lower(trim(lang))) = 2 THEN coalesce(map_extract_value(MAP {
+                'en': 'eng', 'de': 'deu', 'fr': 'fra', 'es': 'spa', 'it': 'ita', 'pt': 'por',
+                'nl': 'nld', 'sv': 'swe', 'no': 'nor', 'da': 'dan', 'fi': 'fin', 'ru': 'rus',
+                'pl': 'pol', 'cs': 'ces', 'tr': 'tur', 'ar': 'ara', 'he': 'heb', 'hi': 'hin',
+                'ja': 'jpn', 'ko': 'kor', 'zh': 'cmn'}, lower(trim(lang))), lower(trim(lang)))
+              ELSE lower(trim(lang)) END AS lang_n,
+         CASE WHEN lower(trim(version)) LIKE 'v%'
+                THEN coalesce(100 + TRY_CAST(substr(lower(trim(version)), 2) AS INTEGER), 10)
+              WHEN lower(trim(version)) = 'classic' THEN 1 ELSE 0 END AS rank
+  FROM names
+)
+SELECT suite, lang_n AS lang, best_name, best_rank FROM (
+  SELECT suite, lang_n, name AS best_name, rank AS best_rank,
+         row_number() OVER (PARTITION BY suite, lang_n ORDER BY rank DESC, name DESC) AS rn
+  FROM norm) WHERE rn = 1"""

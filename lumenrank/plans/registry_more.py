@@ -344,3 +344,38 @@ def pending_work(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = _keyed(spark, sf_dir)
     stored = k.where(F.col("p_partkey") % 2 == 0).select("eval_key")
     return k.join(stored, "eval_key", "left_anti").select("model", "alpha", "eval_key")
+
+
+# --- catalog --------------------------------------------------------------------
+
+@register("catalog_tasks")
+def catalog_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval-type tasks, one row per task record."""
+    from lumenrank.operators import catalog
+    t = catalog.record_fields(fixtures.catalog_tasks(spark, sf_dir))
+    return catalog.task_rows(catalog.filter_types(t))
+
+
+@register("catalog_dedupe")
+def catalog_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique (path, revision) with their sorted task names."""
+    from lumenrank.operators import catalog
+    t = catalog.record_fields(fixtures.catalog_tasks(spark, sf_dir))
+    return catalog.dedupe(catalog.filter_types(t))
+
+
+@register("catalog_complete_groups")
+def catalog_complete_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages with corpus, queries and qrels configs."""
+    from lumenrank.operators import catalog
+    return catalog.complete_groups(fixtures.catalog_configs(spark, sf_dir))
+
+
+@register("catalog_best_version")
+def catalog_best_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best available version per suite and language."""
+    from lumenrank.operators import catalog
+    t = fixtures.catalog_tasks(spark, sf_dir)
+    names = t.select(F.concat(F.lit("MTEB("), F.col("lang"), F.lit(", "), F.col("version"),
+                              F.lit(")")).alias("name")).distinct()
+    return catalog.best_versions(names)
