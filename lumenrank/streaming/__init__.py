@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference programs run once over files: there is no stream source, event
+time, watermark or stateful operator to re-express.  Incremental evaluation
+(only run what is not stored yet) is handled by the keyed result store and the
+pending-work anti-join in ``lumenrank.sources.stores``.
+"""
