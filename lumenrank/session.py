@@ -84,3 +84,27 @@ def bounded_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lumenrank`` importable on executors (``addPyFile`` of a zip).
+
+    Python workers import the functions used inside ``mapInPandas`` by module
+    name; on a cluster (or from another working directory) the package must
+    travel with the job.  Done once per SparkContext.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    if getattr(sc, "_lumenrank_shipped", False):
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="lumenrank-pkg-"), "lumenrank.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    sc._lumenrank_shipped = True
