@@ -103,3 +103,33 @@ def dedupe(tasks: DataFrame) -> DataFrame:
                     F.concat_ws(";", "tasks").alias("tasks_csv"),
                     F.size("tasks").cast("long").alias("n_tasks"))
             .orderBy("dataset_path", "dataset_revision"))
+
+
+def resolve_names(requests: DataFrame, benchmarks: DataFrame, default_version: str = "v2") -> DataFrame:
+    """K6: ``requests(user_value)`` -> ``resolved`` against ``benchmarks(name, alias)``.
+
+    ``Suite(lang[, ver])`` (language normalised for MTEB), a bare 2-3 letter
+    language (``MTEB(lang, default)``) or an exact name; an existing name or
+    alias wins, else the best available MTEB version for that language (K5),
+    else the candidate unchanged.  Joins only, no driver-side lookups.
+    """
+    raw = F.trim(F.col("user_value"))
+    suite, lang, ver = parse_benchmark(raw)
+    is_a = suite != F.lit("")
+    is_b = ~is_a & raw.rlike(r"^[A-Za-z]{2,3}$")
+    lang_n = F.when(is_a, normalise_lang(lang)).when(is_b, normalise_lang(raw))
+    mteb = (is_a & (suite == F.lit("MTEB"))) | is_b
+    cand = (F.when(is_a & (suite == F.lit("MTEB")),
+                   F.concat(F.lit("MTEB("), lang_n, F.lit(", "), F.coalesce(ver, F.lit(default_version)), F.lit(")")))
+            .when(is_a, raw)
+            .when(is_b, F.concat(F.lit("MTEB("), lang_n, F.lit(f", {default_version})")))
+            .otherwise(raw))
+    req = requests.select("user_value", cand.alias("candidate"), F.when(mteb, lang_n).alias("lang"))
+    lookup = (benchmarks.select(F.col("name").alias("key"), "name")
+              .unionByName(benchmarks.where(F.col("alias").isNotNull())
+                           .select(F.col("alias").alias("key"), "name")).distinct())
+    best = best_versions(benchmarks.select("name").distinct()).where(F.col("suite") == "MTEB")
+    return (req.join(lookup.withColumnRenamed("key", "candidate").withColumnRenamed("name", "hit"),
+                     "candidate", "left")
+            .join(best.select("lang", "best_name"), "lang", "left")
+            .select("user_value", F.coalesce("hit", "best_name", "candidate").alias("resolved")))

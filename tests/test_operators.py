@@ -173,3 +173,21 @@ def test_default_score_added(spark):
     qrels = spark.createDataFrame([("q1", "d1")], "query_id string, corpus_id string")
     rs = validate.validated(RetrievalSet(corpus, queries, qrels))
     assert rs.qrels.first()["score"] == 1.0
+
+
+def test_catalog_codes_and_resolution(spark):
+    from lumenrank.operators import catalog
+    df = spark.createDataFrame([("de",), (" GER ",), ("zh",), ("eng",), ("xx",)], "c string")
+    assert [r.n for r in df.select(catalog.normalise_lang(F.col("c")).alias("n")).collect()] == \
+        ["deu", "deu", "cmn", "eng", "xx"]
+    v = spark.createDataFrame([("v2",), ("vx",), ("classic",), ("other",)], "v string")
+    assert [r.r for r in v.select(catalog.version_rank(F.col("v")).alias("r")).collect()] == [102, 10, 1, 0]
+    bench = spark.createDataFrame([("MTEB(deu, v1)", None), ("MTEB(eng, v2)", "MTEB(en)"), ("BEIR", None)],
+                                  "name string, alias string")
+    req = spark.createDataFrame([("de",), ("MTEB(en, v2)",), ("MTEB(en)",), ("BEIR",), ("fr",)], "user_value string")
+    got = {r.user_value: r.resolved for r in catalog.resolve_names(req, bench).collect()}
+    assert got == {"de": "MTEB(deu, v1)", "MTEB(en, v2)": "MTEB(eng, v2)", "MTEB(en)": "MTEB(eng, v2)",
+                   "BEIR": "BEIR", "fr": "MTEB(fra, v2)"}
+    cfg = spark.createDataFrame([("d", c) for c in ["en-corpus", "en-queries", "en-qrels", "de-corpus",
+                                                    "de-queries", "incomplete-corpus"]], "dataset string, config string")
+    assert [r.lang for r in catalog.complete_groups(cfg).collect()] == ["en"]
