@@ -8,9 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .chat import OP7_SQL, op7_chat_formatting
 from .decontaminate import OP4_SQL, op4_benchmark_decontamination
+from .near_duplicates import OP8_SQL, op8_near_duplicates
 from .packing import op2_best_fit_packing
+from .quality import op5_quality_classifier
 from .secrets import op6_secret_scan
+from .toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_best_fit_packing, op4_benchmark_decontamination, op6_secret_scan, op7_chat_formatting)}
-ORACLE_SQL: dict[str, str] = {"op4_benchmark_decontamination": OP4_SQL, "op7_chat_formatting": OP7_SQL}
+    f.__name__: f for f in (op2_best_fit_packing, op4_benchmark_decontamination, op5_quality_classifier,
+                            op6_secret_scan, op7_chat_formatting, op8_near_duplicates, op9_toxicity)}
+ORACLE_SQL: dict[str, str] = {"op4_benchmark_decontamination": OP4_SQL, "op8_near_duplicates": OP8_SQL,
+                              "op7_chat_formatting": OP7_SQL}
