@@ -24,7 +24,7 @@ id are in the class of their text; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import comb
 
 import numpy as np
@@ -34,14 +34,13 @@ from pyspark.sql import functions as F
 
 from .arrays import chunks, distinct_per_row, mix, ngrams, words
 from .components import components
-from .tables import documents, keep, read
+from .tables import documents, keep, read, sent_if_small
 
 SHINGLE = 5             # words; the contract of op8 asks for 2
 THRESHOLD = (80, 100)   # link if 100 * intersection >= 80 * union
 BANDS, ROWS, VALUES, BATCH = 24, 4, 128, 32
 MISS = 1e-6
 LEADER_ROUNDS = 2
-BROADCAST_IDS = 2_000_000   # 16 MB of ids
 _FACTORS = mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -131,9 +130,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
                     [batch.column("doc_id").slice(c.first, c.rows),
                      pa.array([values[i:j].tobytes() for i, j in zip(offsets, offsets[1:])], pa.binary())], names=["id", "set"])
 
-    wanted = ids.select(F.col("id").alias("doc_id"))
-    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    wanted = sent_if_small(ids.select(F.col("id").alias("doc_id")))
     return documents(docs).join(wanted, "doc_id", "left_semi").mapInArrow(collect_sets, "id long, set binary")
 
 
@@ -160,18 +157,15 @@ def _ordered(pairs: DataFrame, one: str, two: str) -> DataFrame:
     return pairs.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD,
-                    rounds: int = LEADER_ROUNDS) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept, one row per document."""
-    signed = keep(signatures(docs, shingle), "signatures")
-    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    firsts = keep(signed.where(~alone).groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "classes")
-    # a document id that several rows share may carry several sets: one row per (id, set)
-    classes = keep(signed.where(~alone).select(F.col("doc_id").alias("id"), "k1", "k2", "n_shingles", "signature")
-                   .join(firsts, ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"]), "members")
-    banded = classes.select("id", "signature").mapInArrow(_bands, "bucket long, id long")
-    sizes = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = keep(banded.join(sizes, "bucket").select("bucket", "id", "n"), "buckets")
+def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
+                    rounds: int = LEADER_ROUNDS) -> DataFrame | None:
+    """Labels (id, label) of the components that ``verify`` finds among members of equal buckets.
+
+    ``members`` has bucket and id; ``verify`` gets pairs (a, b) and returns those linked.
+    None if no two members share a bucket.
+    """
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = keep(members.join(sizes, "bucket").select("bucket", "id", "n"), "buckets")
     met = keep(crowded.groupBy("id").agg(F.sum("n").alias("met")), "met")
     crowded = keep(crowded.join(met, "id").select("bucket", "id", "met"), "buckets")
     links = labels = compared = None
@@ -183,8 +177,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
             spread = named.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi")
             open_ = keep(named.join(spread.select("bucket"), "bucket"), "open")
         if turn < rounds:
-            # the leader is new in each round: it has another label than the last one, which
-            # now bears the most common label if it was linked with many
+            # a later leader comes from outside the bucket's most common label, which the
+            # earlier leader bears if it was linked with many
             heads = open_ if labels is None else open_.join(
                 _most_common(open_), "bucket").where("label <> common").select("bucket", "id", "met", "label")
             heads = heads.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("_low"), "label")).alias("_h")).select(
@@ -202,12 +196,28 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
         if pairs.isEmpty():
             break
         compared = pairs if compared is None else compared.unionByName(pairs)
-        left = keep(surviving(pairs, classes, threshold), "survivors")
-        ids = keep(left.select(F.col("a").alias("id")).union(left.select("b")).distinct(), "ids")
-        sets = keep(full_sets(docs, ids, shingle).join(ids, "id", "left_semi"), "sets")
-        good = keep(verified(left, sets, threshold), "verified")
+        good = keep(verify(pairs), "verified")
         links = good if links is None else links.unionByName(good)
         labels = components(links)
+    return labels
+
+
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[int, int] = THRESHOLD,
+                    rounds: int = LEADER_ROUNDS) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept, one row per document."""
+    signed = keep(signatures(docs, shingle), "signatures")
+    alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    firsts = keep(signed.where(~alone).groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "classes")
+    # a document id that several rows share may carry several sets: one row per (id, set)
+    classes = keep(signed.where(~alone).select(F.col("doc_id").alias("id"), "k1", "k2", "n_shingles", "signature")
+                   .join(firsts, ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"]), "members")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        left = keep(surviving(pairs, classes, threshold), "survivors")
+        ids = keep(left.select(F.col("a").alias("id")).union(left.select("b")).distinct(), "ids")
+        return verified(left, keep(full_sets(docs, ids, shingle), "sets"), threshold)
+
+    labels = link_in_buckets(classes.select("id", "signature").mapInArrow(_bands, "bucket long, id long"), verify, rounds)
     named = classes.select("id", "k1", "k2")
     if labels is not None:
         named = named.join(labels, "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("label"))

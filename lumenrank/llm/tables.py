@@ -47,6 +47,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return folder
 
 
+BROADCAST_IDS = 2_000_000   # 16 MB of ids
+
+
+def sent_if_small(ids: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
+    """A table of ids with a broadcast hint if it is proven to have at most ``rows`` rows, else as it is."""
+    return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, outlives executors."""
     folder = shared_folder(df.sparkSession, name)
