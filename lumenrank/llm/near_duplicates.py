@@ -41,6 +41,8 @@ THRESHOLD = (80, 100)   # link if 100 * intersection >= 80 * union
 BANDS, ROWS, VALUES, BATCH = 24, 4, 128, 32
 MISS = 1e-6
 LEADER_ROUNDS = 2
+PAIRED_BUCKET = 32
+BLOCK_FEW, BLOCK_MANY = 128, 512    # members of a block on either side
 _FACTORS = mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -157,11 +159,72 @@ def _ordered(pairs: DataFrame, one: str, two: str) -> DataFrame:
     return pairs.select(F.least(one, two).alias("a"), F.greatest(one, two).alias("b")).distinct()
 
 
+def compare_blocks(open_: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: tuple[int, int] = THRESHOLD,
+                   miss: float = MISS, few: int = BLOCK_FEW, many: int = BLOCK_MANY) -> DataFrame:
+    """Links (a, b) between members of a bucket with different labels, found block against block.
+
+    ``open_`` has bucket, id and label.  Members outside the bucket's most common label are
+    dealt into blocks of about ``few``, all members into blocks of about ``many``; each
+    pair of blocks is a group with the sets of both.
+    """
+    part, whole = threshold
+    steps = [(n, _least_equal(n, part / whole, miss)) for n in range(BATCH, VALUES + 1, BATCH)]
+
+    def compare(group: pa.Table) -> pa.Table:
+        label, side, ids = (group.column(x).to_numpy() for x in ("label", "side", "id"))
+        sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
+        signed = group.column("signature").to_pylist()
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found: list[tuple[int, int]] = []
+        if len(left) and len(right):
+            size = np.array([len(x) for x in sets])
+            known, number = np.unique(np.concatenate(sets), return_inverse=True)
+            at = np.concatenate([[0], np.cumsum(size)])
+            there = np.concatenate([number[at[j]:at[j + 1]] for j in right])
+            begin = np.concatenate([[0], np.cumsum(size[right])])[:-1]
+            values = np.stack([np.frombuffer(signed[j], np.uint32) for j in right])
+            for i in left:
+                alive = (label[right] != label[i]) & (whole * np.minimum(size[right], size[i]) >= part * np.maximum(size[right], size[i]))
+                if values.shape[1]:
+                    own, equal, done = np.frombuffer(signed[i], np.uint32), np.zeros(len(right), np.int64), 0
+                    for upto, least in steps:
+                        at_alive = np.flatnonzero(alive)
+                        equal[at_alive] += (values[at_alive, done:upto] == own[done:upto]).sum(axis=1)
+                        alive &= equal >= least
+                        done = upto
+                if alive.any():
+                    flag = np.zeros(len(known), np.int64)
+                    flag[number[at[i]:at[i + 1]]] = 1
+                    both = np.add.reduceat(flag[there], begin)
+                    alive &= whole * both >= part * (size[right] + size[i] - both)
+                    found += [(int(ids[i]), int(ids[j])) for j in right[alive]]
+        a, b = zip(*found) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    shared = open_.groupBy("bucket").agg(F.count("*").alias("_all"))
+    named = keep(open_.join(shared, "bucket").join(_most_common(open_), "bucket"), "blocks")
+    outside = named.where("label <> common").groupBy("bucket").agg(F.count("*").alias("_few"))
+    named = named.join(outside, "bucket").select(
+        "bucket", "id", "label", (F.col("label") != F.col("common")).alias("_out"), F.xxhash64("id").alias("_h"),
+        F.ceil(F.col("_few") / few).cast("int").alias("_zs"), F.ceil(F.col("_all") / many).cast("int").alias("_ms"))
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = named.where("_out").select("bucket", "id", "label", F.lit(0).alias("side"),
+                                     F.pmod("_h", F.col("_zs")).cast("int").alias("z"), to("_ms").alias("m"))
+    two = named.select("bucket", "id", "label", F.lit(1).alias("side"), to("_zs").alias("z"),
+                       F.pmod("_h", F.col("_ms")).cast("int").alias("m"))
+    dealt = keep(one.unionByName(two), "dealt")
+    sets = keep(sets_of(keep(dealt.select("id").distinct(), "ids")), "sets")
+    return _ordered(dealt.join(sets, "id").select("bucket", "z", "m", "id", "label", "side", "set", "signature")
+                    .groupBy("bucket", "z", "m").applyInArrow(compare, "a long, b long"), "a", "b")
+
+
 def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
-                    rounds: int = LEADER_ROUNDS) -> DataFrame | None:
-    """Labels (id, label) of the components that ``verify`` finds among members of equal buckets.
+                    sets_of: Callable[[DataFrame], DataFrame], rounds: int = LEADER_ROUNDS,
+                    paired: int = PAIRED_BUCKET) -> DataFrame | None:
+    """Labels (id, label) of the components found among members of equal buckets.
 
-    ``members`` has bucket and id; ``verify`` gets pairs (a, b) and returns those linked.
+    ``members`` has bucket and id; ``verify`` gets pairs (a, b) and returns those linked;
+    ``sets_of`` gets ids and returns id, set and signature (which may be empty bytes).
     None if no two members share a bucket.
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
@@ -186,10 +249,17 @@ def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
             found = open_.join(keep(heads, "heads"), "bucket").where("label <> head_label")
             pairs = _ordered(found, "id", "head")
         else:
-            rest = keep(open_.join(_most_common(open_), "bucket").where("label <> common")
+            crowd = open_.groupBy("bucket").agg((F.count("*") > paired).alias("many"))
+            open_ = keep(open_.join(crowd, "bucket"), "sized")
+            few, many = open_.where("not many"), open_.where("many").select("bucket", "id", "label")
+            rest = keep(few.join(_most_common(few), "bucket").where("label <> common")
                         .select("bucket", F.col("id").alias("x"), F.col("label").alias("x_label")), "rest")
-            found = open_.join(rest, "bucket").where("label <> x_label")
+            found = few.join(rest, "bucket").where("label <> x_label")
             pairs = _ordered(found, "id", "x")
+            if not many.isEmpty():
+                more = keep(compare_blocks(many, sets_of), "linked")
+                links = more if links is None else links.unionByName(more)
+                labels = components(links)
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
@@ -217,7 +287,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
         ids = keep(left.select(F.col("a").alias("id")).union(left.select("b")).distinct(), "ids")
         return verified(left, keep(full_sets(docs, ids, shingle), "sets"), threshold)
 
-    labels = link_in_buckets(classes.select("id", "signature").mapInArrow(_bands, "bucket long, id long"), verify, rounds)
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return full_sets(docs, ids, shingle).join(classes.select("id", "signature"), "id")
+
+    banded = classes.select("id", "signature").mapInArrow(_bands, "bucket long, id long")
+    labels = link_in_buckets(banded, verify, sets_of, rounds)
     named = classes.select("id", "k1", "k2")
     if labels is not None:
         named = named.join(labels, "id", "left").select("k1", "k2", F.coalesce("label", "id").alias("label"))

@@ -136,12 +136,15 @@ def repeated_paragraphs(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     shared = keep(banded.join(wide.select("bucket", (F.col("_a") != F.col("_b")).alias("mixed")), "bucket"), "shared")
     seen = keep(shared.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high")), "seen")
 
+    def sets_of(ids: DataFrame) -> DataFrame:
+        sets = docs.mapInArrow(_sets, "id long, set binary").join(sent_if_small(ids), "id", "left_semi")
+        return sets.groupBy("id").agg(F.first("set").alias("set")).withColumn("signature", F.lit(b""))
+
     def verify(pairs: DataFrame) -> DataFrame:
         ids = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-        sets = docs.mapInArrow(_sets, "id long, set binary").join(sent_if_small(ids), "id", "left_semi")
-        return verified(pairs, keep(sets.dropDuplicates(["id"]), "sets"), threshold)
+        return verified(pairs, keep(sets_of(ids), "sets"), threshold)
 
-    labels = link_in_buckets(shared.where("mixed").select("bucket", "id").distinct(), verify)
+    labels = link_in_buckets(shared.where("mixed").select("bucket", "id").distinct(), verify, sets_of)
     if labels is not None:
         seen = seen.join(labels, "id", "left").select("id", "low", "high", F.coalesce("label", "id").alias("label"))
     else:
