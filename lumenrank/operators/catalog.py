@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenrank.functions.text import py_strip
+
 # Task types kept by default.
 DEFAULT_RETRIEVAL_TYPES = ("Retrieval", "InstructionRetrieval", "Any2AnyRetrieval",
                            "Any2AnyMultilingualRetrieval")
@@ -26,8 +28,8 @@ ROLES = ("corpus", "queries", "qrels")
 
 
 def normalise_lang(c: Column) -> Column:
-    """X11: trim + lower; ``ger`` -> ``deu``; two-letter codes mapped, others unchanged."""
-    v = F.lower(F.trim(c))
+    """X11: strip + lower; ``ger`` -> ``deu``; two-letter codes mapped, others unchanged."""
+    v = F.lower(py_strip(c))
     m = F.create_map(*[F.lit(x) for x in chain.from_iterable(ISO639_1_TO_3.items())])
     return (F.when(v == F.lit("ger"), F.lit("deu"))
             .when(F.length(v) == 2, F.coalesce(F.element_at(m, v), v))
@@ -36,7 +38,7 @@ def normalise_lang(c: Column) -> Column:
 
 def version_rank(c: Column) -> Column:
     """``vN`` -> 100+N, malformed ``v…`` -> 10, ``classic`` -> 1, else 0."""
-    v = F.lower(F.trim(c))
+    v = F.lower(py_strip(c))
     n = F.substring(v, 2, 1 << 20).try_cast("int")
     return (F.when(v.startswith("v"), F.coalesce(F.lit(100) + n, F.lit(10)))
             .when(v == F.lit("classic"), F.lit(1)).otherwise(F.lit(0)))
@@ -89,8 +91,8 @@ def record_fields(tasks: DataFrame) -> DataFrame:
 
 
 def task_rows(tasks: DataFrame) -> DataFrame:
-    """C5 per-task mode + T3 order."""
-    return (tasks.select("task_name", "task_type", "dataset_path", "dataset_revision").distinct()
+    """C5 per-task mode (a row per task record) + T3 order."""
+    return (tasks.select("task_name", "task_type", "dataset_path", "dataset_revision")
             .orderBy("dataset_path", "dataset_revision", "task_name"))
 
 
@@ -113,7 +115,7 @@ def resolve_names(requests: DataFrame, benchmarks: DataFrame, default_version: s
     alias wins, else the best available MTEB version for that language (K5),
     else the candidate unchanged.  Joins only, no driver-side lookups.
     """
-    raw = F.trim(F.col("user_value"))
+    raw = py_strip(F.col("user_value"))
     suite, lang, ver = parse_benchmark(raw)
     is_a = suite != F.lit("")
     is_b = ~is_a & raw.rlike(r"^[A-Za-z]{2,3}$")
@@ -125,10 +127,13 @@ def resolve_names(requests: DataFrame, benchmarks: DataFrame, default_version: s
             .when(is_b, F.concat(F.lit("MTEB("), lang_n, F.lit(f", {default_version})")))
             .otherwise(raw))
     req = requests.select("user_value", cand.alias("candidate"), F.when(mteb, lang_n).alias("lang"))
-    lookup = (benchmarks.select(F.col("name").alias("key"), "name")
+    # one answer per key: a benchmark's own name, else the last name (in order) with that alias
+    lookup = (benchmarks.select(F.col("name").alias("key"), "name", F.lit(1).alias("own"))
               .unionByName(benchmarks.where(F.col("alias").isNotNull())
-                           .select(F.col("alias").alias("key"), "name")).distinct())
-    best = best_versions(benchmarks.select("name").distinct()).where(F.col("suite") == "MTEB")
+                           .select(F.col("alias").alias("key"), "name", F.lit(0).alias("own")))
+              .groupBy("key").agg(F.max(F.struct("own", "name")).alias("last")).select("key", "last.name"))
+    versioned = benchmarks.select("name").distinct().where(parse_benchmark(F.col("name"))[2].isNotNull())
+    best = best_versions(versioned).where(F.col("suite") == "MTEB")
     return (req.join(lookup.withColumnRenamed("key", "candidate").withColumnRenamed("name", "hit"),
                      "candidate", "left")
             .join(best.select("lang", "best_name"), "lang", "left")

@@ -26,7 +26,6 @@ from lumenrank.operators import lexical, ranking, vector_search
 from lumenrank.operators.lexical import SCORE_DECIMALS
 
 DEFAULT_ALPHAS = (0.25, 0.5, 0.75, 1.0)
-DEFAULT_CANDIDATE_CAP = 1000
 
 
 def minmax_normalise(scores: DataFrame, score_col: str = "score",
@@ -76,10 +75,12 @@ def semantic_ranking(doc_vecs: DataFrame, query_vecs: DataFrame, k: int,
 
 
 def lexical_candidates(index: lexical.LexicalIndex, queries: DataFrame,
-                       cap: int | None) -> DataFrame:
-    """BM25 top ``min(cap, corpus)`` per query (``None`` = whole corpus)."""
-    limit = index.n_docs if cap is None else min(cap, index.n_docs)
+                       cap: int | None = None) -> DataFrame:
+    """Every BM25 match of a query, or with ``cap`` the top ``min(cap, corpus)``."""
     scores = lexical.bm25_scores(index, queries)
+    if cap is None:
+        return scores
+    limit = min(cap, index.n_docs)
     if limit <= 0:
         return scores.limit(0).withColumn("rank", F.lit(0))
     return ranking.top_k(scores, limit)
@@ -87,7 +88,7 @@ def lexical_candidates(index: lexical.LexicalIndex, queries: DataFrame,
 
 def hybrid_ranking(index: lexical.LexicalIndex, queries: DataFrame, doc_vecs: DataFrame,
                    query_vecs: DataFrame, alphas: Sequence[float] = DEFAULT_ALPHAS,
-                   max_k: int = 10, cap: int | None = DEFAULT_CANDIDATE_CAP,
+                   max_k: int = 10, cap: int | None = None,
                    kind: str = "dense") -> DataFrame:
     """R5/R10 for a whole alpha grid: ``(alpha, query_id, rank, doc_id, score)``."""
     alphas = [float(a) for a in alphas]

@@ -57,9 +57,7 @@ def fusion(lex_scores: str, sem: str, n_docs: str, alphas: list[float], with_end
     arr = ", ".join(repr(a) for a in alphas)
     parts = f"""
 f_lexc AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn
-    FROM {lex_scores}) WHERE rn <= least(1000, {n_docs})
+  SELECT * FROM {lex_scores}
 ),
 f_lexn AS (
   SELECT query_id, doc_id,
@@ -142,9 +140,7 @@ _SQL["hybrid_alpha_metrics"] = HYB + fusion(
 
 _SQL["minmax_scores"] = "WITH " + KNOWN + "," + bm25("b", "k_corpus", "k_queries") + """,
 m_c AS (
-  SELECT * FROM (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn
-    FROM b_scores) WHERE rn <= least(1000, (SELECT count(*) FROM k_corpus))
+  SELECT * FROM b_scores
 )
 SELECT query_id, doc_id, score,
        round(CASE WHEN mx = mn THEN 1.0::DOUBLE ELSE (score - mn) / (mx - mn) END, 9) AS norm
@@ -351,12 +347,14 @@ FROM r_flag
 WHERE is_pareto AND project IN (SELECT project FROM r_flag WHERE is_pareto GROUP BY project HAVING count(*) > 1)"""
 
 _SQL["cost_per_model"] = "WITH " + RUNS + """
-SELECT model_short, max(total_embed_time_ms) AS total_embed_time_ms, max(num_documents) AS num_documents
-FROM r_res WHERE model <> 'BM25' GROUP BY model_short"""
+SELECT model, max(model_short) AS model_short, max(total_embed_time_ms) AS total_embed_time_ms,
+       max(num_documents) AS num_documents
+FROM r_res WHERE model <> 'BM25' GROUP BY model"""
 
 _SQL["cost_percent"] = "WITH " + RUNS + """,
-c AS (SELECT model_short, max(total_embed_time_ms) AS t FROM r_res WHERE model <> 'BM25' GROUP BY model_short)
-SELECT model_short, t AS total_embed_time_ms, round(t / (SELECT max(t) FROM c) * 100.0, 6) AS cost_percent FROM c"""
+c AS (SELECT model, max(model_short) AS model_short, max(total_embed_time_ms) AS t
+      FROM r_res WHERE model <> 'BM25' GROUP BY model)
+SELECT model, model_short, t AS total_embed_time_ms, round(t / (SELECT max(t) FROM c) * 100.0, 6) AS cost_percent FROM c"""
 
 _SQL["report_rows"] = "WITH " + RUNS + """
 SELECT model, printf('%s (α=%.1f)', model_short, alpha) AS label,
@@ -412,30 +410,27 @@ _SQL["truncate_tokens"] = "SELECT CAST(doc_id AS VARCHAR) AS doc_id, " + trunc("
 _SQL["prefix_text"] = """SELECT CAST(doc_id AS VARCHAR) AS doc_id, 'passage: ' || text AS embed_text,
 text AS lexical_text FROM documents"""
 
-_PROMPT_HEAD = "Document: "
-_PROMPT_MID = ("\nGenerate exactly ")
-_PROMPT_TAIL = (" diverse search queries that a user might enter to find this document. Ensure variety "
-                "in length, style, and specificity across all queries.\nReturn ONLY the queries as plain "
-                "text, one per line, without numbering or additional formatting  or commentary. Always "
-                "match the document's language.")
+_PROMPT_HEAD = "Text to be found:\n"
+_PROMPT_MID = "\n\nWrite "
+_PROMPT_TAIL = (" searches, each on its own line, with which different people could look for this text. "
+                "Mix short keywords with full questions, use the language of the text, and add nothing else.")
 
 
 def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
 
 
-_SQL["prompts"] = ("SELECT CAST(doc_id AS VARCHAR) AS doc_id, " + _sql_str(_PROMPT_HEAD) + " || " + trunc("text") +
-                   " || " + _sql_str(_PROMPT_MID) + " || '5' || " + _sql_str(_PROMPT_TAIL) +
+_SQL["prompts"] = ("SELECT CAST(doc_id AS VARCHAR) AS doc_id, " + _sql_str(_PROMPT_HEAD) + " || text || " + _sql_str(_PROMPT_MID) + " || '5' || " + _sql_str(_PROMPT_TAIL) +
                    " AS prompt FROM documents")
 
 PY_SPACE = r"[\t\n\x{0b}\f\r \x{1c}-\x{1f}\x{85}\p{Z}]"
 
 
-def parsed(t: str, limit: int = 5) -> str:
+def parsed(t: str) -> str:
     strip = "regexp_replace({x}, '^" + PY_SPACE + "+|" + PY_SPACE + "+$', '', 'g')"
     return ("list_transform(list_filter(list_transform(string_split(" + strip.replace("{x}", t) +
             ", chr(10)), lambda x: " + strip.replace("{x}", "x") + "), lambda x: x <> ''), "
-            "lambda x: regexp_replace(x, '^[0-9.\\- ]+', ''))[1:" + str(limit) + "]")
+            "lambda x: regexp_replace(x, '^[0-9.\\- ]+', ''))")
 
 
 _SQL["parse_generated_lines"] = """
@@ -443,7 +438,7 @@ SELECT conv_id, turn, unnest(range(1, len(l) + 1)) AS position, unnest(l) AS que
 FROM (SELECT conv_id, turn, """ + parsed("text") + """ AS l FROM conversations WHERE role = 'assistant')"""
 
 GEN = """
-gen_l AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, """ + parsed(trunc("text")) + """ AS l FROM documents),
+gen_l AS (SELECT CAST(doc_id AS VARCHAR) AS doc_id, """ + parsed("text") + """ AS l FROM documents),
 gen_x AS (SELECT doc_id, unnest(range(0, len(l))) AS position, unnest(l) AS text FROM gen_l),
 gen_q AS (SELECT 'query_' || CAST(row_number() OVER (ORDER BY doc_id, position) - 1 AS VARCHAR) AS query_id,
                  row_number() OVER (ORDER BY doc_id, position) - 1 AS i, text, doc_id FROM gen_x)"""
@@ -490,7 +485,7 @@ ctf AS (SELECT * FROM ct WHERE task_type IN ('Retrieval', 'InstructionRetrieval'
                                               'Any2AnyMultilingualRetrieval'))"""
 
 _SQL["catalog_tasks"] = "WITH " + CATALOG + """
-SELECT DISTINCT task_name, task_type, dataset_path, dataset_revision FROM ctf"""
+SELECT task_name, task_type, dataset_path, dataset_revision FROM ctf"""
 
 _SQL["catalog_dedupe"] = "WITH " + CATALOG + """
 SELECT dataset_path, dataset_revision, list_sort(list(DISTINCT task_name)) AS tasks,

@@ -73,10 +73,10 @@ def hybrid_alpha_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("minmax_scores")
 def minmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """R7 + R11: BM25 candidates (cap 1000) min-max normalised per query."""
+    """R7 + R11: all BM25 matches min-max normalised per query."""
     rs = fixtures.known_set(spark, sf_dir)
     idx = lexical.build_index(rs.corpus)
-    cand = fusion.lexical_candidates(idx, rs.queries, fusion.DEFAULT_CANDIDATE_CAP)
+    cand = fusion.lexical_candidates(idx, rs.queries)
     n = fusion.minmax_normalise(cand, "score", "norm")
     return n.select("query_id", "doc_id", "score", F.round("norm", 9).alias("norm"))
 
@@ -273,7 +273,7 @@ def prefix_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("prompts")
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Generation prompt per document (512-token document, 5 queries)."""
+    """Generation prompt per whole document (5 queries)."""
     from lumenrank.operators import generate
     return _docs(spark, sf_dir).select(F.col("id").alias("doc_id"),
                                        generate.prompt(F.col("text")).alias("prompt"))

@@ -40,7 +40,7 @@ def load_keyed(spark: SparkSession, root: str, key_col: str, key: str) -> DataFr
     """Load one key; a missing key is an error."""
     if not exists(spark, root, key_col, key):
         raise FileNotFoundError(f"no entry {key!r} in {root}")
-    return spark.read.parquet(root).where(F.col(key_col) == key).drop(key_col)
+    return spark.read.parquet(f"{root}/{key_col}={key}")  # the path itself: keys are never read as numbers
 
 
 # Vectors (``doc_id, vector`` or ``doc_id, vectors``) plus metadata row

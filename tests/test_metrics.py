@@ -8,16 +8,14 @@ def _ranking(spark, rows):
     return spark.createDataFrame(rows, "query_id string, rank int, doc_id string")
 
 
-def test_two_query_cutoffs(spark):
-    ranked = _ranking(spark, [("q1", 1, "d1"), ("q1", 2, "d2"), ("q1", 3, "d3"),
-                              ("q2", 1, "d4"), ("q2", 2, "d5"), ("q2", 3, "d6")])
-    qrels = spark.createDataFrame([("q1", "d2", 1.0), ("q2", "d6", 1.0)],
+def test_cutoffs_over_three_queries(spark):
+    # first relevant ranks 1, 4 and none
+    rows = [(q, r, f"{q}-{r}") for q in "xyz" for r in range(1, 6)]
+    qrels = spark.createDataFrame([("x", "x-1", 1.0), ("x", "x-5", 1.0), ("y", "y-4", 2.0), ("z", "z-9", 1.0)],
                                   "query_id string, corpus_id string, score double")
-    m = metrics.compute_metrics(ranked, qrels, 2, {"mrr": [1, 3], "hit_rate": [2, 3]}).first()
-    assert m["mrr@1"] == 0.0
-    assert m["mrr@3"] == pytest.approx(5 / 12)
-    assert m["hit_rate@2"] == 0.5
-    assert m["hit_rate@3"] == 1.0
+    m = metrics.compute_metrics(_ranking(spark, rows), qrels, 3, {"mrr": [1, 5], "hit_rate": [3, 4]}).first()
+    assert m["mrr@1"] == pytest.approx(1 / 3) and m["mrr@5"] == pytest.approx((1 + 1 / 4) / 3)
+    assert m["hit_rate@3"] == pytest.approx(1 / 3) and m["hit_rate@4"] == pytest.approx(2 / 3)
 
 
 def test_queries_without_hits_count(spark):

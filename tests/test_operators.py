@@ -4,18 +4,50 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumenrank.operators import compare, containment, fusion, generate, sampling, validate
+from lumenrank.operators import catalog, compare, containment, fusion, generate, sampling, validate
 from lumenrank.operators.ids import dense_ids
 from lumenrank.sources.io import RetrievalSet
 
 
-def test_pareto_reference_rows(spark):
-    rows = [("p", "a", "a", 0.70, 2.0), ("p", "b", "b", 0.60, 4.0), ("p", "c", "c", 0.85, 6.0),
-            ("p", "BM25", "BM25", 0.90, 0.0), ("p", "e", "e", None, 3.0)]
+def test_pareto_equal_and_missing(spark):
+    rows = [("p", "m1", "m1", 0.5, 10.0), ("p", "m2", "m2", 0.5, 10.0), ("p", "m3", "m3", 0.5, 11.0),
+            ("p", "m4", "m4", 0.9, 40.0), ("p", "BM25", "BM25", 1.0, 0.0), ("p", "m5", "m5", None, 1.0)]
     df = spark.createDataFrame(rows, "project string, model string, model_short string, "
                                      "`mrr@10` double, avg_embed_time_ms double")
     got = {r.model: r.is_pareto for r in compare.pareto_flags(df, "mrr@10").collect()}
-    assert got == {"a": True, "b": False, "c": True, "BM25": None, "e": None}
+    assert got == {"m1": True, "m2": True, "m3": False, "m4": True, "BM25": None, "m5": None}
+
+
+def test_quality_choice():
+    assert compare.select_quality_metric(["model", "mrr@1", "hit_rate@50", "mrr@20"]) == "mrr@20"
+    assert compare.select_quality_metric(["hit_rate@3", "hit_rate@10"]) == "hit_rate@10"
+    assert compare.select_quality_metric(["mrr@1", "x"], "x") == "x"
+    for bad in (["model"], None), (["mrr@1"], "mrr@3"):
+        with pytest.raises(ValueError):
+            compare.select_quality_metric(*bad)
+
+
+def test_costs_keep_models_of_one_label_apart(spark):
+    runs = spark.createDataFrame([("a/e5", "e5", 10.0, 5), ("b/e5", "e5", 90.0, 5), ("BM25", "BM25", 0.0, 5)],
+                                 "model string, model_short string, total_embed_time_ms double, num_documents long")
+    got = {r.model: r.cost_percent for r in compare.cost_percent(compare.cost_per_model(runs)).collect()}
+    assert got == {"a/e5": pytest.approx(100 / 9, abs=1e-6), "b/e5": 100.0}
+
+
+def test_names_strip_versions_and_aliases(spark):
+    bench = spark.createDataFrame([("MTEB(deu, v1)", None), ("MTEB(deu)", None), ("A", "same"), ("B", "same")],
+                                  "name string, alias string")
+    asked = spark.createDataFrame([("\tde\n",), ("same",)], "user_value string")
+    got = sorted((r.user_value, r.resolved) for r in catalog.resolve_names(asked, bench).collect())
+    assert got == [("\tde\n", "MTEB(deu, v1)"), ("same", "B")]
+
+
+def test_explicit_limits(spark):
+    df = spark.createDataFrame([("one two three four\nb\nc",)], "t string")
+    row = df.select(generate.prompt(F.col("t"), 2, max_tokens=2, template="{document_text}|{num_queries}").alias("p"),
+                    generate.parse_lines(F.col("t")).alias("all"), generate.parse_lines(F.col("t"), 2).alias("two")).first()
+    assert row.p.startswith("one two") and "three" not in row.p and row.p.endswith("|2")
+    assert row["all"] == ["one two three four", "b", "c"] and row.two == ["one two three four", "b"]
 
 
 def test_pareto_matches_pairwise(spark):
