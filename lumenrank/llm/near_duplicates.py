@@ -40,7 +40,7 @@ SHINGLE = 5             # words; the contract of op8 asks for 2
 THRESHOLD = (80, 100)   # link if 100 * intersection >= 80 * union
 BANDS, ROWS, VALUES, BATCH = 24, 4, 128, 32
 MISS = 1e-6
-LEADER_ROUNDS = 2
+LEADER_ROUNDS = 1
 PAIRED_BUCKET = 32
 BLOCK_FEW, BLOCK_MANY = 128, 512    # members of a block on either side
 _FACTORS = mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -259,12 +259,15 @@ def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
             if not many.isEmpty():
                 more = keep(compare_blocks(many, sets_of), "linked")
                 links = more if links is None else links.unionByName(more)
-                labels = components(links)
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")
         pairs = keep(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            if links is not None and turn == rounds:
+                labels = components(links)
+            if labels is None or turn == rounds:
+                break
+            continue
         compared = pairs if compared is None else compared.unionByName(pairs)
         good = keep(verify(pairs), "verified")
         links = good if links is None else links.unionByName(good)
