@@ -24,13 +24,12 @@ def _roots(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id, label (smallest id reachable) of every node in ``links`` (a, b).
+    """id, label (smallest id reachable) of every node in ``links`` (a, b), a kept table.
 
     Each round joins every node with its smallest neighbour's tree, names the trees by
     their roots and keeps the links between different ones; trees at least halve.
     """
-    links = keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-                 .where("a <> b").distinct(), "links")
+    links = links.where("a <> b")
     labels = None
     while not links.isEmpty():
         roots = _roots(links)

@@ -163,7 +163,7 @@ def compare_blocks(open_: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
                    miss: float = MISS, few: int = BLOCK_FEW, many: int = BLOCK_MANY) -> DataFrame:
     """Links (a, b) between members of a bucket with different labels, found block against block.
 
-    ``open_`` has bucket, id and label.  Members outside the bucket's most common label are
+    ``open_`` has bucket, id, label and the figures of ``_spread``.  Members outside the bucket's most common label are
     dealt into blocks of about ``few``, all members into blocks of about ``many``; each
     pair of blocks is a group with the sets of both.
     """
@@ -201,20 +201,16 @@ def compare_blocks(open_: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    shared = open_.groupBy("bucket").agg(F.count("*").alias("_all"))
-    named = keep(open_.join(shared, "bucket").join(_most_common(open_), "bucket"), "blocks")
-    outside = named.where("label <> common").groupBy("bucket").agg(F.count("*").alias("_few"))
-    named = named.join(outside, "bucket").select(
+    named = open_.select(
         "bucket", "id", "label", (F.col("label") != F.col("common")).alias("_out"), F.xxhash64("id").alias("_h"),
-        F.ceil(F.col("_few") / few).cast("int").alias("_zs"), F.ceil(F.col("_all") / many).cast("int").alias("_ms"))
+        F.ceil(F.col("outside") / few).cast("int").alias("_zs"), F.ceil(F.col("members") / many).cast("int").alias("_ms"))
     to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     one = named.where("_out").select("bucket", "id", "label", F.lit(0).alias("side"),
                                      F.pmod("_h", F.col("_zs")).cast("int").alias("z"), to("_ms").alias("m"))
     two = named.select("bucket", "id", "label", F.lit(1).alias("side"), to("_zs").alias("z"),
                        F.pmod("_h", F.col("_ms")).cast("int").alias("m"))
-    dealt = keep(one.unionByName(two), "dealt")
-    sets = keep(sets_of(keep(dealt.select("id").distinct(), "ids")), "sets")
-    return _ordered(dealt.join(sets, "id").select("bucket", "z", "m", "id", "label", "side", "set", "signature")
+    sets = sets_of(keep(open_.select("id").distinct(), "ids"))
+    return _ordered(one.unionByName(two).join(sets, "id").select("bucket", "z", "m", "id", "label", "side", "set", "signature")
                     .groupBy("bucket", "z", "m").applyInArrow(compare, "a long, b long"), "a", "b")
 
 
@@ -229,32 +225,28 @@ def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
     """
     sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     crowded = keep(members.join(sizes, "bucket").select("bucket", "id", "n"), "buckets")
-    met = keep(crowded.groupBy("id").agg(F.sum("n").alias("met")), "met")
-    crowded = keep(crowded.join(met, "id").select("bucket", "id", "met"), "buckets")
+    met = crowded.groupBy("id").agg(F.sum("n").alias("met"))
+    crowded = keep(crowded.select("bucket", "id").join(met, "id"), "met")
     links = labels = compared = None
     for turn in range(rounds + 1):
         if labels is None:
             open_ = crowded.withColumn("label", F.col("id"))
         else:
             named = crowded.join(labels, "id", "left").select("bucket", "id", "met", F.coalesce("label", "id").alias("label"))
-            spread = named.groupBy("bucket").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).where("_lo <> _hi")
-            open_ = keep(named.join(spread.select("bucket"), "bucket"), "open")
+            open_ = named.join(_spread(named), "bucket")
         if turn < rounds:
             # a later leader comes from outside the bucket's most common label, which the
             # earlier leader bears if it was linked with many
-            heads = open_ if labels is None else open_.join(
-                _most_common(open_), "bucket").where("label <> common").select("bucket", "id", "met", "label")
+            heads = open_ if labels is None else open_.where("label <> common")
             heads = heads.groupBy("bucket").agg(F.max(F.struct("met", (-F.col("id")).alias("_low"), "label")).alias("_h")).select(
                 "bucket", (-F.col("_h._low")).alias("head"), F.col("_h.label").alias("head_label"))
-            found = open_.join(keep(heads, "heads"), "bucket").where("label <> head_label")
+            found = open_.join(heads, "bucket").where("label <> head_label")
             pairs = _ordered(found, "id", "head")
         else:
-            crowd = open_.groupBy("bucket").agg((F.count("*") > paired).alias("many"))
-            open_ = keep(open_.join(crowd, "bucket"), "sized")
-            few, many = open_.where("not many"), open_.where("many").select("bucket", "id", "label")
-            rest = keep(few.join(_most_common(few), "bucket").where("label <> common")
-                        .select("bucket", F.col("id").alias("x"), F.col("label").alias("x_label")), "rest")
-            found = few.join(rest, "bucket").where("label <> x_label")
+            open_ = keep(open_ if labels is not None else open_.join(_spread(open_), "bucket"), "open")
+            few, many = open_.where(F.col("members") <= paired), open_.where(F.col("members") > paired)
+            rest = few.where("label <> common").select("bucket", F.col("id").alias("x"), F.col("label").alias("x_label"))
+            found = few.select("bucket", "id", "label").join(rest, "bucket").where("label <> x_label")
             pairs = _ordered(found, "id", "x")
             if not many.isEmpty():
                 more = keep(compare_blocks(many, sets_of), "linked")
@@ -280,10 +272,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
     """doc_id, n_shingles, component_id and kept, one row per document."""
     signed = keep(signatures(docs, shingle), "signatures")
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    firsts = keep(signed.where(~alone).groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "classes")
-    # a document id that several rows share may carry several sets: one row per (id, set)
-    classes = keep(signed.where(~alone).select(F.col("doc_id").alias("id"), "k1", "k2", "n_shingles", "signature")
-                   .join(firsts, ["id", "k1", "k2"]).dropDuplicates(["id", "k1", "k2"]), "members")
+    # one row per set: the smallest id stands for it, its size and signature are those of any copy
+    classes = keep(signed.where(~alone).groupBy("k1", "k2").agg(
+        F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = keep(surviving(pairs, classes, threshold), "survivors")
@@ -308,11 +299,14 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: tuple[in
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _most_common(members: DataFrame) -> DataFrame:
-    """bucket, common: the label that most members of a bucket bear (the smallest of several)."""
+def _spread(members: DataFrame) -> DataFrame:
+    """Figures of each bucket that holds several labels: its members, the label that most of
+    them bear (``common``, the smallest of several), and how many bear another (``outside``)."""
     counts = members.groupBy("bucket", "label").agg(F.count("*").alias("_n"))
-    return counts.groupBy("bucket").agg(F.max(F.struct("_n", (-F.col("label")).alias("_low"))).alias("_m")).select(
-        "bucket", (-F.col("_m._low")).alias("common"))
+    most = F.max(F.struct("_n", (-F.col("label")).alias("_low")))
+    return counts.groupBy("bucket").agg(F.sum("_n").alias("members"), F.count("*").alias("_labels"), most.alias("_m")).where(
+        "_labels > 1").select("bucket", "members", (-F.col("_m._low")).alias("common"),
+                              (F.col("members") - F.col("_m._n")).alias("outside"))
 
 
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
