@@ -13,6 +13,11 @@ from pyspark.sql import functions as F
 # measured size of the shuffle stage).
 DEFAULT_BROADCAST_ROWS = 2_000_000
 
+# A batch that goes to a Python worker is held by the JVM and by the worker, once
+# per running task; the default of 64 MB of wide rows is too much for small executors.
+ARROW_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+ARROW_BYTES = "8m"
+
 
 def get_spark(master: str | None = None, app: str = "lumenrank",
               shuffle_partitions: int | None = None) -> SparkSession:
@@ -91,11 +96,14 @@ def ship_package(spark: SparkSession) -> None:
 
     Python workers import the functions used inside ``mapInPandas`` by module
     name; on a cluster (or from another working directory) the package must
-    travel with the job.  Done once per SparkContext.
+    travel with the job.  Done once per SparkContext.  Also bounds the bytes of
+    Arrow batches, unless the session's builder set that bound itself.
     """
     import zipfile
 
     sc = spark.sparkContext
+    if not sc.getConf().contains(ARROW_BYTES_KEY):
+        spark.conf.set(ARROW_BYTES_KEY, ARROW_BYTES)
     if getattr(sc, "_lumenrank_shipped", False):
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
