@@ -43,6 +43,7 @@ MISS = 1e-6
 LEADER_ROUNDS = 1
 PAIRED_BUCKET = 32
 BLOCK_FEW, BLOCK_MANY = 128, 512    # members of a block on either side
+CHUNK = 1 << 18                     # bytes of text hashed at once
 _FACTORS = mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -50,7 +51,7 @@ def signatures(docs: DataFrame, shingle: int) -> DataFrame:
     """doc_id, n_shingles, the set's 128-bit digest (k1, k2), and its MinHash values."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch.column("text")):
+            for c in chunks(batch.column("text"), CHUNK):
                 values, offsets = distinct_per_row(*ngrams(words(c), shingle, short=True))
                 n = np.diff(offsets)
                 some = n > 0
@@ -126,7 +127,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """
     def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch.column("text")):
+            for c in chunks(batch.column("text"), CHUNK):
                 values, offsets = distinct_per_row(*ngrams(words(c), shingle, short=True))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(c.first, c.rows),
