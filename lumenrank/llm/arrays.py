@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18   # arrays over a chunk take some 60 bytes a byte of text
+WIDE = 1 << 20          # where a chunk's rows are added up before they leave it
 
 # Byte classes.  White space is 0x20 and 0x09-0x0D; letters and digits are
 # 0-9, a-z (after lower-casing) and every byte of a non-ASCII code point.

@@ -115,7 +115,8 @@ def word_counts(docs: DataFrame, wanted: np.ndarray) -> dict[int, int]:
             for c in chunks(batch.column("text")):
                 h = words(c, LETTER_OR_DIGIT).hash
                 at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                total += np.bincount(at[keys[at] == h], minlength=len(keys))
+                met, n = np.unique(at[keys[at] == h], return_counts=True)
+                total[met] += n
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(keys[some].view(np.int64)), pa.array(total[some])], names=["h", "n"])
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import Words, chunks, join_hash, mix, words
+from .arrays import WIDE, Words, chunks, join_hash, mix, words
 from .tables import documents, fold, keep, read, shared_folder
 
 BEGIN, END = (mix(np.array([x], np.uint64))[0] for x in (0xB16B00B5, 0xE2D))
@@ -105,7 +105,7 @@ def count_pairs(docs: DataFrame, bits: int) -> DataFrame:
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for c in chunks(batch.column("text")):
+            for c in chunks(batch.column("text"), WIDE):
                 word, before, _ = tokens(words(c))
                 held.append((before, word))
                 size += len(word)
@@ -281,7 +281,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of every text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for c in chunks(batch.column("text")):
+            for c in chunks(batch.column("text"), WIDE):
                 word, before, offsets = tokens(words(c))
                 count, logs = token_scores(model, word, before)
                 base = np.log10((count + 1) / (model.tokens + model.words + 1))

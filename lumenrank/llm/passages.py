@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import Chunk, Words, chunks, distinct_per_row, mix, ngrams, words
+from .arrays import WIDE, Chunk, Words, chunks, distinct_per_row, mix, ngrams, words
 from .near_duplicates import THRESHOLD, link_in_buckets, verified
 from .tables import documents, keep, read, sent_if_small
 
@@ -103,7 +103,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for c in chunks(batch.column("text")):
+        for c in chunks(batch.column("text"), WIDE):
             p = paragraphs(c)
             digest, one = np.unique(p.digest, return_index=True)
             yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(
@@ -113,7 +113,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, paragraph number, range of code points, words, digest."""
     for batch in batches:
-        for c in chunks(batch.column("text")):
+        for c in chunks(batch.column("text"), WIDE):
             p = paragraphs(c)
             points = np.concatenate([[0], np.cumsum((c.data & 0xC0) != 0x80)])
             begin = points[c.offsets[p.row]]

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .arrays import BYTE_VALUE, LETTER_OR_DIGIT, LOWER, Chunk, Words, _powers, chunks, mix, words
+from .arrays import WIDE, BYTE_VALUE, LETTER_OR_DIGIT, LOWER, Chunk, Words, _powers, chunks, mix, words
 from .quality import _logistic, _sigmoid, labelled
 from .tables import documents, fold, pick, read
 
@@ -197,7 +197,7 @@ def fit(texts: list[str], label: np.ndarray) -> Field:
         flat = np.array([0, 0, np.log((share + 1e-3) / (1 - share + 1e-3))])
         return Field(np.zeros(1 << BITS), np.zeros((2, 2)), -30.0, flat)
     buckets, bounds, doc, offsets = [], [0], [], [0]
-    for c in chunks(pa.array(texts, pa.string())):
+    for c in chunks(pa.array(texts, pa.string()), WIDE):
         w = words(c, LETTER_OR_DIGIT)
         buckets.append(spellings(c, w))
         bounds += (chains(c, w)[1:] + offsets[-1]).tolist() if len(w.start) else []
@@ -228,7 +228,7 @@ def tag(docs: DataFrame, field: Field) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = sent.value
         for batch in batches:
-            for c in chunks(batch.column("text")):
+            for c in chunks(batch.column("text"), WIDE):
                 w = words(c, LETTER_OR_DIGIT)
                 p = marginals(f, spellings(c, w), chains(c, w))
                 score = _sigmoid(evidence(p, w.offsets) @ f.curve)
