@@ -37,7 +37,7 @@ CAPACITY = 2048
 END_ID = 0
 SALTS = 64
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 250_000
+CACHED_WORDS = 200_000
 
 # What may be encoded by itself.  The vocabulary's rule cuts between letters and other
 # characters, so an ASCII or Latin-1 letter run and an ASCII sign run are whole units if
