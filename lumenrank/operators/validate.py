@@ -131,11 +131,41 @@ def validated(rs: RetrievalSet) -> RetrievalSet:
     return rs
 
 
+def _usable(corpus: DataFrame) -> DataFrame:
+    return corpus.where(F.col("id").isNotNull() & F.col("text").isNotNull())
+
+
+def rejected_rows(rs: RetrievalSet) -> DataFrame:
+    """What ``clean`` leaves out: (table_name, rule, query_id, corpus_id, n).
+
+    A corpus row is named by its id; ``n`` counts its rows (for ``id_unique``, those
+    beyond the one that stays).  A judgment has the first rule that it breaks, in the
+    order score, document, query; a document without text does not exist for it.
+    """
+    rs = normalised(rs)
+    none = F.lit(None).cast("string")
+    bad = F.when(F.col("id").isNull(), F.lit("id_not_null")).when(F.col("text").isNull(), F.lit("text_present"))
+    broken = (rs.corpus.select("id", bad.alias("rule")).where(F.col("rule").isNotNull())
+              .groupBy("rule", "id").agg(F.count(F.lit(1)).alias("n")))
+    usable = _usable(rs.corpus).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    corpus = broken.unionByName(usable.where("n > 1").select(F.lit("id_unique").alias("rule"), "id", (F.col("n") - 1).alias("n"))).select(
+        F.lit("corpus").alias("table_name"), "rule", none.alias("query_id"), F.col("id").alias("corpus_id"), "n")
+    there = usable.select(F.col("id").alias("corpus_id"), F.lit(True).alias("_c"))
+    asked = rs.queries.select(F.col("id").alias("query_id")).distinct().withColumn("_q", F.lit(True))
+    rule = (F.when(~_finite(F.col("score")), F.lit("score_finite")).when(F.col("_c").isNull(), F.lit("corpus_id_exists"))
+            .when(F.col("_q").isNull(), F.lit("query_id_exists")))
+    qrels = rs.qrels.select("query_id", "corpus_id", "score").join(there, "corpus_id", "left").join(asked, "query_id", "left")
+    return corpus.unionByName(qrels.select(F.lit("qrels").alias("table_name"), rule.alias("rule"), "query_id", "corpus_id",
+                                           F.lit(1).cast("long").alias("n")).where(F.col("rule").isNotNull()))
+
+
 def clean(rs: RetrievalSet) -> RetrievalSet:
     """Coerce and keep what the rules allow: finite scores, both ends resolved,
-    queries restricted to those with a judgment (V12 / J3)."""
+    queries restricted to those with a judgment (V12 / J3).  ``rejected_rows`` lists the rest."""
     rs = normalised(rs)
-    corpus = rs.corpus.where(F.col("id").isNotNull() & F.col("text").isNotNull()).dropDuplicates(["id"])
+    corpus = _usable(rs.corpus)
+    corpus = (corpus.groupBy("id").agg(F.min(F.struct("text", *[c for c in corpus.columns if c not in ("id", "text")])).alias("_r"))
+              .select("id", "_r.*"))  # the smallest of several rows, not an arbitrary one
     qrels = (rs.qrels.where(_finite(F.col("score")))
              .join(corpus.select(F.col("id").alias("corpus_id")), "corpus_id", "left_semi")
              .join(rs.queries.select(F.col("id").alias("query_id")), "query_id", "left_semi"))

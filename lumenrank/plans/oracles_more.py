@@ -245,6 +245,18 @@ c_qrels AS (
 
 _SQL["clean_dataset"] = CLEAN + "\nSELECT query_id, corpus_id, score FROM c_qrels"
 
+_SQL["rejected_rows"] = CLEAN + """
+SELECT 'corpus' AS table_name, CASE WHEN id IS NULL THEN 'id_not_null' ELSE 'text_present' END AS rule,
+       NULL::VARCHAR AS query_id, CAST(id AS VARCHAR) AS corpus_id, count(*) AS n
+FROM d_corpus WHERE id IS NULL OR text IS NULL GROUP BY 2, id
+UNION ALL SELECT 'corpus', 'id_unique', NULL, CAST(id AS VARCHAR), count(*) - 1
+  FROM d_corpus WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'qrels', rule, query_id, corpus_id, 1 FROM (
+  SELECT *, CASE WHEN score IS NULL OR isnan(score) OR isinf(score) THEN 'score_finite'
+                 WHEN corpus_id NOT IN (SELECT id FROM c_corpus) THEN 'corpus_id_exists'
+                 WHEN query_id NOT IN (SELECT CAST(id AS VARCHAR) FROM d_queries) THEN 'query_id_exists' END AS rule
+  FROM d_qrels) WHERE rule IS NOT NULL"""
+
 _SQL["query_bank"] = CLEAN + """
 SELECT CAST(id AS VARCHAR) AS id, text FROM d_queries
 WHERE CAST(id AS VARCHAR) IN (SELECT query_id FROM c_qrels)"""

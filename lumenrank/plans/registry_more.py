@@ -126,6 +126,13 @@ def clean_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.clean(fixtures.dirty_set(spark, sf_dir)).qrels.select("query_id", "corpus_id", "score")
 
 
+@register("rejected_rows")
+def rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V3-V9: the rows that cleaning leaves out, each with its rule."""
+    from lumenrank.operators import validate
+    return validate.rejected_rows(fixtures.dirty_set(spark, sf_dir))
+
+
 @register("query_bank")
 def query_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries restricted to those with at least one clean judgment."""

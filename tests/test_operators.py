@@ -191,6 +191,23 @@ def test_violations_rules(spark):
         validate.validated(RetrievalSet(corpus, queries, qrels))
 
 
+def test_rejected_rows_name_every_row_left_out(spark):
+    corpus = spark.createDataFrame([("x", "1", "b"), ("y", "1", "a"), ("z", "2", None), ("z", None, "t"), ("z", "3", "c")],
+                                   "id string, _id string, text string")
+    queries = spark.createDataFrame([("q1", "x")], "_id string, text string")
+    qrels = spark.createDataFrame([("q1", "1", "1"), ("q1", "2", "1"), ("q1", "3", "inf"), ("q9", "3", "1"), ("q9", "7", "no")],
+                                  "query_id string, corpus_id string, score string")
+    rs = RetrievalSet(corpus, queries, qrels)
+    got = {(r.table_name, r.rule, r.query_id, r.corpus_id): r.n for r in validate.rejected_rows(rs).collect()}
+    assert got == {("corpus", "text_present", None, "2"): 1, ("corpus", "id_not_null", None, None): 1,
+                   ("corpus", "id_unique", None, "1"): 1, ("qrels", "corpus_id_exists", "q1", "2"): 1,
+                   ("qrels", "score_finite", "q1", "3"): 1, ("qrels", "query_id_exists", "q9", "3"): 1,
+                   ("qrels", "score_finite", "q9", "7"): 1}
+    kept = validate.clean(rs)
+    assert sorted(map(tuple, kept.corpus.select("id", "text").collect())) == [("1", "a"), ("3", "c")]
+    assert kept.qrels.count() == 1
+
+
 def test_missing_columns(spark):
     corpus = spark.createDataFrame([(1,)], "id long")
     queries = spark.createDataFrame([("q1", "x")], "id string, text string")
