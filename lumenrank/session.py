@@ -16,7 +16,7 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 # A batch that goes to a Python worker is held by the JVM and by the worker, once
 # per running task; the default of 64 MB of wide rows is too much for small executors.
 ARROW_BYTES_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
-ARROW_BYTES = "8m"
+ARROW_BYTES = "4m"
 
 
 def get_spark(master: str | None = None, app: str = "lumenrank",
