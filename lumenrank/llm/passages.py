@@ -1,9 +1,12 @@
 """Repeated passages by MinHash banding of paragraphs.
 
-A text is cut into paragraphs by its content alone: at line breaks, at the ends of
-sentences, and after words of a certain hash; a piece of under ``LEAST_WORDS`` words goes
-with the next one of its line.  So a passage is cut the same way wherever it stands, also
-in the middle of a line, but for its two ends.
+A text is cut into paragraphs by its content alone: at line breaks, and after a word whose
+rank is the smallest among the words less than ``LEAST_WORDS`` before and after it in its
+line.  The ends of sentences rank before other words, else a hash of the word and the one
+before it decides.  Of equal ranks that close to each other the first is a cut, then each
+one ``LEAST_WORDS`` or more behind the last cut.  No cut depends on words further away than
+the run of such equal ranks, so a passage is cut the same way wherever it stands, also in
+the middle of a line, but for ``LEAST_WORDS`` words at its two ends.
 
 Paragraphs' distinct shingles of ``SHINGLE`` words give ``ROWS * BANDS`` MinHash values.
 Copies collapse to one digest, with the smallest and largest document id, before the
@@ -14,7 +17,7 @@ repeated paragraphs of a document make a passage, reported from ``LEAST_PASSAGE`
 on; the smallest document id of a component keeps its copy, the others are removed.
 
 A paragraph's band recall at the threshold is 1 - (1 - 0.8**2)**3 = 0.95, of a copy 1; a
-passage of over 50 words has about four paragraphs.
+paragraph has about 11 words where sentences are long, so a passage of over 50 has four.
 
 Defined results: null and word-less texts have no paragraphs; repeats inside one document
 only are no removals; rows that share an id count as one document; a null id takes part
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import WIDE, Chunk, Words, chunks, distinct_per_row, mix, ngrams, words
+from .arrays import WIDE, Chunk, Words, chunks, distinct_per_row, join_hash, mix, ngrams, words
 from .near_duplicates import THRESHOLD, link_in_buckets, verified
 from .tables import documents, keep, read, sent_if_small
 
@@ -39,7 +42,6 @@ SHINGLE = 5
 BANDS, ROWS = 3, 2
 LEAST_WORDS = 6
 LEAST_PASSAGE = 25
-CUT_EVERY = 24      # words, on average, between cuts inside long sentences
 _FACTORS = mix(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
 _STOP = np.zeros(256, bool)
 _STOP[[ord(x) for x in ".!?"]] = True
@@ -54,6 +56,26 @@ class Paragraphs(NamedTuple):
     digest: np.ndarray
 
 
+def _soft(rank: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """If a word is a cut inside its line."""
+    least = np.ones(len(rank), bool)
+    for k in range(1, min(LEAST_WORDS, len(rank))):
+        other = line[k:] != line[:-k]
+        least[k:] &= other | (rank[k:] <= rank[:-k])
+        least[:-k] &= other | (rank[:-k] <= rank[k:])
+    at = np.flatnonzero(least)
+    near = (np.diff(at) < LEAST_WORDS) & (line[at[1:]] == line[at[:-1]])     # equal ranks
+    last = -1
+    for i in np.flatnonzero(near).tolist():
+        if not i or not near[i - 1]:
+            last = at[i]
+        if at[i + 1] - last < LEAST_WORDS:
+            least[at[i + 1]] = False
+        else:
+            last = at[i + 1]
+    return least
+
+
 def paragraphs(c: Chunk) -> Paragraphs:
     w = words(c)
     n, row = len(w.start), w.row
@@ -63,10 +85,10 @@ def paragraphs(c: Chunk) -> Paragraphs:
     line = np.concatenate([[0], np.cumsum(c.data == 10)])[w.start]
     hard = np.ones(n, bool)     # the word ends its line or text
     hard[:-1] = (line[1:] != line[:-1]) | (row[1:] != row[:-1])
-    soft = _STOP[c.data[w.end - 1]] | (w.hash % np.uint64(CUT_EVERY) == 0)
-    ends = np.flatnonzero(hard | soft)
-    long_enough = np.diff(np.append(-1, ends)) >= LEAST_WORDS
-    ends = ends[hard[ends] | long_enough]
+    rank = w.hash.copy()
+    rank[1:] = np.where(hard[:-1], rank[1:], join_hash(w.hash[:-1], w.hash[1:]))
+    rank = (rank >> np.uint64(1)) | (~_STOP[c.data[w.end - 1]]).astype(np.uint64) << np.uint64(63)
+    ends = np.flatnonzero(hard | _soft(rank, np.cumsum(hard) - hard))
     bounds = np.append(0, ends + 1)
     cut = w._replace(offsets=bounds)
     sets, offsets = distinct_per_row(*ngrams(cut, SHINGLE, short=True))

@@ -228,6 +228,26 @@ def test_passages(spark):
     assert all(texts[r.doc_id][r.start:r.end] in shared for r in out if r.n_words < 12)
 
 
+@pytest.mark.parametrize("sentence", [3, 5])
+def test_passages_of_short_sentences(spark, sentence):
+    random.seed(5)
+    word = lambda k: f"v{random.randrange(5000)}" + "." * (k % sentence == sentence - 1)
+    prose = lambda n: " ".join(word(k) for k in range(n))
+    shared = [prose(n) for n in (51, 60, 80, 120) for _ in range(20)]
+    rows = [(2 * i + k, f"{prose(40 + k)} {x} {prose(40)}") for i, x in enumerate(shared) for k in range(2)]
+    out = passages.repeated_paragraphs(frame(spark, rows)).collect()
+    caught = {r.doc_id for r in out if r.removed}
+    assert caught <= {2 * i + 1 for i in range(len(shared))} and len(caught) >= 0.95 * len(shared)
+
+
+def test_passages_of_repeated_words(spark):
+    random.seed(6)
+    prose = lambda n: " ".join(f"v{random.randrange(5000)}" for _ in range(n))
+    rows = [(i, f"{prose(40 + i)} {'one two three ' * 20}{prose(40)}") for i in range(2)]
+    out = passages.repeated_paragraphs(frame(spark, rows)).collect()
+    assert {r.doc_id for r in out if r.removed} == {1}
+
+
 def test_fingerprints(spark, families):
     rows = [*families[:60], (900, None), (901, "Ab"), (902, ""), (903, "ab")]
     out = fingerprints.with_fingerprints(frame(spark, rows)).orderBy("doc_id").collect()
