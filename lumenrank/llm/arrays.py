@@ -148,11 +148,13 @@ def ngrams(w: Words, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarra
     for k in range(1, n):
         h = join_hash(h, w.hash[at + k])
     out[full] = h
-    for i in np.flatnonzero(few):
-        h = w.hash[w.offsets[i]:w.offsets[i] + 1]
-        for k in range(w.offsets[i] + 1, w.offsets[i + 1]):
-            h = join_hash(h, w.hash[k:k + 1])
-        out[offsets[i]] = mix(h + np.uint64(count[i]))[0]
+    for size in range(1, n):
+        rows = np.flatnonzero(few & (count == size))
+        if len(rows):
+            h = w.hash[w.offsets[rows]]
+            for k in range(1, size):
+                h = join_hash(h, w.hash[w.offsets[rows] + k])
+            out[offsets[rows]] = mix(h + np.uint64(size))
     return out, offsets
 
 

@@ -12,9 +12,13 @@ Paragraphs' distinct shingles of ``SHINGLE`` words give ``ROWS * BANDS`` MinHash
 Copies collapse to one digest, with the smallest and largest document id, before the
 shuffle; buckets with one digest from one document go.  Colliding digests are compared
 by the leader rounds of ``near_duplicates`` and verified on their full sets; components
-of digests that reach over two documents or more are repeated paragraphs.  Neighbouring
-repeated paragraphs of a document make a passage, reported from ``LEAST_PASSAGE`` words
-on; the smallest document id of a component keeps its copy, the others are removed.
+of digests that reach over two documents or more are repeated paragraphs.  Neighbours are
+linked if their components follow each other in another document too; linked paragraphs
+make a passage.  Where a passage ends it goes on word by word into the neighbouring
+paragraph, as far as another document has the same words beside the same component; that
+part is a row of its own, ``group_id`` the hash of its words.  Passages are reported from
+``LEAST_PASSAGE`` words on, their ends included; the smallest document id of a component
+(of a part: that has its words) keeps its copy, the others are removed.
 
 A paragraph's band recall at the threshold is 1 - (1 - 0.8**2)**3 = 0.95, of a copy 1; a
 paragraph has about 11 words where sentences are long, so a passage of over 50 has four.
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import WIDE, Chunk, Words, chunks, distinct_per_row, join_hash, mix, ngrams, words
+from .arrays import WIDE, Chunk, Words, _powers, chunks, distinct_per_row, join_hash, mix, ngrams, words
 from .near_duplicates import THRESHOLD, link_in_buckets, verified
 from .tables import documents, keep, read, sent_if_small
 
@@ -133,25 +137,99 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, paragraph number, range of code points, words, digest."""
+    """doc_id, text's key, paragraph number, range of code points, words of it and of its neighbours, digest."""
     for batch in batches:
         for c in chunks(batch.column("text"), WIDE):
             p = paragraphs(c)
             points = np.concatenate([[0], np.cumsum((c.data & 0xC0) != 0x80)])
             begin = points[c.offsets[p.row]]
             lo, hi = p.words.offsets[:-1], p.words.offsets[1:] - 1
+            size = (hi - lo + 1).astype(np.int32)
+            before, after = np.zeros_like(size), np.zeros_like(size)
+            inner = p.row[1:] == p.row[:-1]
+            before[1:], after[:-1] = size[:-1] * inner, size[1:] * inner
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_ids(batch, c)[p.row]), pa.array(p.number.astype(np.int32)),
+                [pa.array(_ids(batch, c)[p.row]), batch.column("text_key").slice(c.first, c.rows).take(pa.array(p.row)),
+                 pa.array(p.number.astype(np.int32)),
                  pa.array((points[p.words.start[lo]] - begin).astype(np.int32)),
                  pa.array((points[p.words.end[hi]] - begin).astype(np.int32)),
-                 pa.array((hi - lo + 1).astype(np.int32)), pa.array(p.digest)],
-                names=["doc_id", "paragraph", "start", "end", "n_words", "id"])
+                 pa.array(size), pa.array(before), pa.array(after), pa.array(p.digest)],
+                names=["doc_id", "text_key", "paragraph", "start", "end", "n_words", "before", "after", "id"])
+
+
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words before (side 0) or after (side 1) the paragraphs listed in ``beside``, one row for each number
+    of words up to ``LEAST_WORDS`` beyond the next paragraph: its key, from component and words, and range of code points."""
+    for batch in batches:
+        for c in chunks(batch.column("text")):
+            p, w = (q := paragraphs(c)), q.words
+            if not len(p.row):
+                continue
+            points = np.concatenate([[0], np.cumsum((c.data & 0xC0) != 0x80)])
+            up, down = _powers(len(w.hash))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.hash) * up[:len(w.hash)])])
+            first = np.searchsorted(p.row, np.arange(c.rows))
+            beside = batch.column("beside").slice(c.first, c.rows)
+            flat = beside.flatten()
+            of = np.repeat(np.arange(c.rows), beside.value_lengths().to_numpy(zero_copy_only=False))
+            paragraph, side, group = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            at = first[of] + paragraph + 2 * side - 1
+            # cuts less than LEAST_WORDS before a passage's end may differ from copy to copy
+            lo = np.where(side == 1, w.offsets[at], np.maximum(w.offsets[at] - LEAST_WORDS, w.offsets[first[of]]))
+            row_end = w.offsets[np.append(first[1:], len(p.row))[of]]
+            size = np.where(side == 1, np.minimum(w.offsets[at + 1] + LEAST_WORDS, row_end), w.offsets[at + 1]) - lo
+            one = np.repeat(np.arange(len(at)), size)
+            k = np.arange(len(one)) - np.repeat(np.cumsum(size) - size, size) + 1
+            right = side[one] == 1
+            begin = np.where(right, lo[one], (lo + size)[one] - k)
+            end = np.where(right, lo[one] + k, (lo + size)[one])
+            key = mix((total[end] - total[begin]) * down[begin] ^ mix(group.astype(np.int64).view(np.uint64) * np.uint64(2) + side.astype(np.uint64))[one])
+            zero = points[c.offsets[of[one]]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_ids(batch, c)[of[one]]), batch.column("text_key").slice(c.first, c.rows).take(pa.array(of[one])),
+                 pa.array(paragraph[one].astype(np.int32)), pa.array(side[one].astype(np.int32)), pa.array(k.astype(np.int32)),
+                 pa.array((points[w.start[begin]] - zero).astype(np.int32)),
+                 pa.array((points[w.end[end - 1]] - zero).astype(np.int32)), pa.array(key.view(np.int64))],
+                names=["doc_id", "text_key", "paragraph", "side", "n_words", "start", "end", "key"])
+
+
+def _parts(docs: DataFrame, found: DataFrame, least_passage: int) -> DataFrame:
+    """doc_id, text_key, paragraph, and ``parts``: the longest repeated part on either side where its passage ends."""
+    passage = Window.partitionBy("doc_id", "text_key", "passage")
+    reach = F.sum(F.col("n_words") + F.when(F.col("after_linked"), 0).otherwise(F.col("before") + LEAST_WORDS)
+                  + F.when(F.col("linked"), 0).otherwise(F.col("after") + LEAST_WORDS)).over(passage)
+    place = ["doc_id", "text_key", "paragraph"]
+    may = found.withColumn("_reach", reach).where(F.col("_reach") >= least_passage)
+    ends = may.where(~F.col("after_linked") & (F.col("before") > 0)).select(*place, F.lit(0).alias("side"), "group_id").unionByName(
+        may.where(~F.col("linked") & (F.col("after") > 0)).select(*place, F.lit(1).alias("side"), "group_id"))
+    ends = keep(ends.distinct(), "ends")
+    # where a passage goes on, one copy in the first and in the last document is enough to meet ends of others
+    inner = found.where("linked")
+    inner = inner.select(*place, F.lit(1).alias("side"), "group_id", F.col("next.id").alias("other")).unionByName(
+        inner.select("doc_id", "text_key", (F.col("paragraph") + 1).alias("paragraph"), F.lit(0).alias("side"),
+                     F.col("next.group_id").alias("group_id"), F.col("id").alias("other")))
+    inner = inner.join(sent_if_small(keep(ends.select("group_id", "side").distinct(), "sides")), ["group_id", "side"], "left_semi")
+    spot = F.struct(*place)
+    inner = inner.groupBy("group_id", "side", "other").agg(F.array(F.min(spot), F.max(spot)).alias("_s"))
+    inner = inner.select("group_id", "side", F.explode("_s").alias("_s")).select("_s.*", "side", "group_id")
+    all_ends = ends.unionByName(inner)
+    lists = keep(all_ends.groupBy("doc_id", "text_key").agg(
+        F.collect_set(F.struct("paragraph", F.col("side").cast("int").alias("side"), "group_id")).alias("beside")), "beside")
+    copies = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "text_key", "text")
+    listed = copies.join(sent_if_small(lists, 50_000), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "beside")
+    made = keep(listed.mapInArrow(_ends, "doc_id long, text_key long, paragraph int, side int, n_words int, start int, end int, key long"), "parts")
+    shared = made.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_d")).where("first_doc <> _d").drop("_d")
+    longest = made.join(shared, "key").groupBy(*place, "side").agg(
+        F.max(F.struct("n_words", "start", "end", "key", "first_doc")).alias("_m")).join(ends.drop("group_id"), [*place, "side"], "left_semi")
+    return longest.groupBy(*place).agg(F.collect_list(F.struct(
+        (F.col("paragraph") + 2 * F.col("side") - 1).cast("int").alias("paragraph"), "_m.start", "_m.end", "_m.n_words",
+        F.col("_m.key").alias("group_id"), F.col("_m.first_doc").alias("first_doc"))).alias("parts"))
 
 
 def repeated_paragraphs(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
                         least_passage: int = LEAST_PASSAGE) -> DataFrame:
-    """One row per paragraph of a repeated passage: its place, its component, and if it is removed."""
-    docs = documents(docs)
+    """One row per paragraph of a repeated passage, or part at its ends: its place, its component, and if it is removed."""
+    docs = documents(docs).withColumn("text_key", F.xxhash64("text"))
     banded = docs.mapInArrow(_bands, "bucket long, id long, low long, high long").repartition("bucket")
     wide = banded.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_b"), F.min("low").alias("_c"),
                                         F.max("high").alias("_d")).where("_a <> _b or _c <> _d")
@@ -175,14 +253,30 @@ def repeated_paragraphs(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     groups = keep(seen.groupBy("label").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc"))
                   .where("first_doc <> last_doc"), "groups")
     repeated = keep(seen.join(groups, "label").select("id", F.col("label").alias("group_id"), "first_doc"), "repeated")
-    places = docs.mapInArrow(_places, "doc_id long, paragraph int, start int, end int, n_words int, id long")
-    found = places.join(repeated, "id").drop("id")
-    run = F.col("paragraph") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("paragraph"))
-    found = found.withColumn("passage", run)
-    found = found.withColumn("passage_words", F.sum("n_words").over(Window.partitionBy("doc_id", "passage")))
-    return found.where(F.col("passage_words") >= least_passage).select(
-        "doc_id", "paragraph", "start", "end", "n_words", "passage_words", "group_id", "first_doc",
-        (F.col("doc_id") != F.col("first_doc")).alias("removed"))
+    places = docs.mapInArrow(_places, "doc_id long, text_key long, paragraph int, start int, end int, n_words int, "
+                             "before int, after int, id long")
+    # equal rows (same id and text) have equal places; they share each window's frames
+    order = Window.partitionBy("doc_id", "text_key").orderBy("paragraph")
+    found = keep(places.join(sent_if_small(repeated), "id").withColumn(
+        "next", F.min(F.struct("group_id", "id")).over(order.rangeBetween(1, 1))), "found")
+    links = found.where("next is not null").groupBy("group_id", F.col("next.group_id").alias("next_group")).agg(
+        F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select("group_id", "next_group", F.lit(True).alias("linked"))
+    found = found.withColumn("next_group", F.col("next.group_id")).join(
+        sent_if_small(keep(links, "links")), ["group_id", "next_group"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+    found = found.withColumn("after_linked", F.coalesce(F.max("linked").over(order.rangeBetween(-1, -1)), F.lit(False)))
+    found = keep(found.withColumn("passage", F.sum((~F.col("after_linked")).cast("int")).over(order)), "passages")
+    parts = _parts(docs, found, least_passage)
+    found = found.join(parts, ["doc_id", "text_key", "paragraph"], "left").withColumn("parts", F.coalesce(
+        "parts", F.array().cast("array<struct<paragraph:int,start:int,end:int,n_words:int,group_id:bigint,first_doc:bigint>>")))
+    whole = F.col("n_words") + F.aggregate("parts", F.lit(0), lambda n, x: n + x["n_words"])
+    passage = Window.partitionBy("doc_id", "text_key", "passage")
+    copies = F.count(F.lit(1)).over(passage) / (F.max("paragraph").over(passage) - F.min("paragraph").over(passage) + 1)
+    found = found.withColumn("passage_words", (F.sum(whole).over(passage) / copies).cast("long"))
+    own = F.array(F.struct("paragraph", "start", "end", "n_words", "group_id", "first_doc"))
+    rows = found.where(F.col("passage_words") >= least_passage).select(
+        "doc_id", "passage_words", F.explode(F.concat(own, "parts")).alias("_r"))
+    return rows.select("doc_id", "_r.paragraph", "_r.start", "_r.end", "_r.n_words", "passage_words", "_r.group_id", "_r.first_doc",
+                       (F.col("doc_id") != F.col("_r.first_doc")).alias("removed"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

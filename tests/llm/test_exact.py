@@ -240,6 +240,29 @@ def test_passages_of_short_sentences(spark, sentence):
     assert caught <= {2 * i + 1 for i in range(len(shared))} and len(caught) >= 0.95 * len(shared)
 
 
+def test_passages_to_their_last_word(spark):
+    random.seed(8)
+    prose = lambda n: " ".join(f"v{random.randrange(5000)}" for _ in range(n))
+    shared = [prose(n) for n in (51, 60, 80) for _ in range(60)]
+    rows = [(2 * i + k, f"{prose(40 + k)} {x} {prose(40)}") for i, x in enumerate(shared) for k in range(2)]
+    # the passage of 900 and 901 goes on beyond that of 902; 930 holds pieces of eight others
+    long, pieces = prose(120), [prose(12) for _ in range(8)]
+    rows += [(900, f"{prose(9)} {long}"), (901, f"{long} {prose(9)}"), (902, f"{prose(7)} {' '.join(long.split()[:63])} {prose(30)}")]
+    rows += [(910 + i, f"{prose(40)} {x} {prose(40)}") for i, x in enumerate(pieces)] + [(930, " ".join(pieces))]
+    out = passages.repeated_paragraphs(frame(spark, rows)).collect()
+    texts, covered = dict(rows), collections.defaultdict(set)
+    for r in out:
+        if r.removed:
+            covered[r.doc_id] |= set(range(r.start, r.end))
+    assert set(covered) <= {2 * i + 1 for i in range(len(shared))} | {901, 902}
+    # a near copy of a paragraph (similarity 0.8) may stand for the first or last words
+    missing = lambda d, x: sum(texts[d].index(x) + m.start() not in covered[d] for m in re.finditer(r"\S+", x))
+    left = [missing(2 * i + 1, x) for i, x in enumerate(shared)]
+    assert max(left) <= 2 and left.count(0) >= 0.9 * len(left)
+    assert {(r.doc_id, r.passage_words) for r in out if r.doc_id in (900, 901, 902)} == {(900, 120), (901, 120), (902, 63)}
+    assert missing(902, " ".join(long.split()[:63])) == 0
+
+
 def test_passages_of_repeated_words(spark):
     random.seed(6)
     prose = lambda n: " ".join(f"v{random.randrange(5000)}" for _ in range(n))
