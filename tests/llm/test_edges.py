@@ -111,3 +111,14 @@ def test_pipeline(spark):
         kept = spark.createDataFrame(after.collect(), docs.schema)
     want = {r.doc_id for r in kept.collect()}
     assert {r.doc_id for r in p.run(spark, SF).collect()} == want
+
+
+def test_quality_stage_cuts_at_the_quantile(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    ranker = quality.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    raw = {r.doc_id: r._raw for r in quality.add_scores(docs, ranker).collect()}
+    cut = sorted(raw.values())[len(raw) // 2]
+    monkeypatch.setattr(quality, "train", lambda *a: ranker._replace(cut=cut))
+    assert {r.doc_id for r in p.quality_stage(spark, docs, SF).collect()} == {i for i, x in raw.items() if x >= cut}
