@@ -43,9 +43,12 @@ from .arrays import chunks
 from .tables import documents, read
 
 TOKENIZER = "byte_bpe_50k.json"
-CACHED_WORDS = 200_000      # words remembered in each of two generations
+CACHED_WORDS = 300_000      # words remembered in each of two generations
 CACHED_BYTES = 64           # longer ones are encoded anew each time
 
+EARLY = 0x500               # Unicode's tables do not change any more before this code point
+EARLY_BYTE = 0xD4           # first UTF-8 byte of that code point
+
 # Fixed value: how the vocabulary's pre-tokenizer cuts text before merges apply.
 # (Where the regex module knows newer letters and numbers than it does: see _newer.)
 CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -176,22 +179,18 @@ def vocabulary(path: str) -> Vocabulary:
                       {raw[t]: i for t, i in spec["model"]["vocab"].items() if t in raw}, special)
 
 
-def _newer() -> regex.Pattern:
-    """Letters and numbers of the ``regex`` module that the pre-tokenizer takes for signs.
+def _newer() -> np.ndarray:
+    """Whether a code point is a letter or number to ``regex`` but a sign to the pre-tokenizer.
 
-    Only code points that Python's own, older table leaves open are asked for.
+    Only code points that Python's own, older table leaves open are asked for; there are
+    none before ``EARLY``.
     """
     cut = ByteLevel(add_prefix_space=False).pre_tokenize_str
     known = regex.compile(r"[\p{L}\p{N}]")
-    points = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn" and known.match(chr(c))
-              and len(cut("a" + chr(c))) > 1 and len(cut("1" + chr(c))) > 1]
-    ranges: list[list[int]] = []
-    for c in points:
-        if ranges and ranges[-1][1] == c - 1:
-            ranges[-1][1] = c
-        else:
-            ranges.append([c, c])
-    return regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]" if ranges else r"(?!)")
+    newer = np.zeros(0x110000, bool)
+    newer[[c for c in range(EARLY, 0x110000) if unicodedata.category(chr(c)) == "Cn" and known.match(chr(c))
+           and len(cut("a" + chr(c))) > 1 and len(cut("1" + chr(c))) > 1]] = True
+    return newer
 
 
 class Encoder(dict):
@@ -218,21 +217,27 @@ class Encoder(dict):
         self[word] = ids
         return ids
 
-    def words(self, text: str) -> list[str]:
-        """The words of a text without special tokens."""
-        if text.isascii() or not self._newer.search(text):
+    def words(self, text: str, plain: bool = False) -> list[str]:
+        """The words of a text without special tokens; ``plain``: it has no letters that are too new."""
+        if plain or not self.has_newer(text):
             return self._cut.findall(text)
         # signs instead of the letters that are too new, of the same length
-        return [text[m.start():m.end()] for m in self._cut.finditer(self._newer.sub("\uffff", text))]
+        signs = "".join("\uffff" if self._newer[ord(x)] else x for x in text)
+        return [text[m.start():m.end()] for m in self._cut.finditer(signs)]
+
+    def has_newer(self, text: str) -> bool:
+        return bool(self._newer[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: str, plain: bool = False) -> bytes:
         """Ids of a text, little-endian unsigned 32 bit."""
+        if not any(t in text for t in self.special):
+            return b"".join(map(self.__getitem__, self.words(text, plain)))
         out, at = [], 0
         for m in self._special.finditer(text):
-            out += map(self.__getitem__, self.words(text[at:m.start()]))
+            out += map(self.__getitem__, self.words(text[at:m.start()], plain))
             out.append(self.special[m[0]])
             at = m.end()
-        out += map(self.__getitem__, self.words(text[at:] if at else text))
+        out += map(self.__getitem__, self.words(text[at:], plain))
         return b"".join(out)
 
 
@@ -272,7 +277,9 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
         e = _encoder(path)
         for batch in batches:
             for c in chunks(batch.column("text")):
-                ids = [e.encode(c.text(i).decode("utf-8", "replace")) for i in range(c.rows)]
+                texts = [c.text(i).decode("utf-8", "replace") for i in range(c.rows)]
+                plain = c.data.max(initial=0) < EARLY_BYTE or not e.has_newer("".join(texts))
+                ids = [e.encode(x, plain) for x in texts]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(c.first, c.rows), pa.array([len(x) // 4 for x in ids], pa.int64()),
                      pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
