@@ -9,21 +9,20 @@
   over the whole corpus, lexical over the candidates); fused =
   ``alpha*sem + (1-alpha)*lex`` with the missing side 0; top ``max_k``.
 
-The mixed case never scores queries x corpus as rows: outside the lexical
-candidates the fused score is ``alpha*norm(sem)``, monotone in ``sem``, so per
-query only the lexical candidates, the semantic top ``max_k`` (with every
-document that could tie after rounding) and the semantic min/max are needed.
+A document's postings and vectors lie in one block (``lexical.build_index`` with vectors),
+so fusion happens where the block is: a first pass finds both sides' extremes per query
+(one partial row per task), a second ranks every weight of the grid.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenrank.operators import lexical, ranking, vector_search
-from lumenrank.operators.lexical import SCORE_DECIMALS
+from lumenrank.operators import lexical, scan, vector_search
 
 DEFAULT_ALPHAS = (0.25, 0.5, 0.75, 1.0)
 
@@ -41,102 +40,54 @@ def _norm(x: Column, mn: Column, mx: Column) -> Column:
     return F.when(mx == mn, F.lit(1.0)).otherwise((x - mn) / (mx - mn))
 
 
-def semantic_topk(doc_vecs: DataFrame, query_vecs: DataFrame, k: int, kind: str = "dense",
-                  slack: float | str = 1e-8) -> DataFrame:
-    """Superset of the semantic top ``k`` with exact (JVM, sequential) scores."""
-    cand = vector_search.search(doc_vecs, query_vecs, kind, "topk", k, slack)
-    return exact_scores(cand.select("query_id", "doc_id"), doc_vecs, query_vecs, kind)
-
-
-def exact_scores(pairs: DataFrame, doc_vecs: DataFrame, query_vecs: DataFrame,
-                 kind: str = "dense") -> DataFrame:
-    """Score given (query, doc) pairs with a sequential double dot product in
-    the JVM, so every plan produces bit-identical scores for a pair."""
-    vc = "vector" if kind == "dense" else "vectors"
-    j = (pairs.join(query_vecs.select("query_id", F.col(vc).alias("qv")), "query_id")
-         .join(doc_vecs.select("doc_id", F.col(vc).alias("dv")), "doc_id"))
-    if kind == "dense":
-        s = vector_search.dot("qv", "dv")
-    else:
-        s = F.aggregate(
-            F.transform("qv", lambda q: F.coalesce(F.array_max(F.transform(
-                "dv", lambda d: F.aggregate(F.zip_with(q, d, lambda x, y: x.cast("double") * y.cast("double")),
-                                            F.lit(0.0), lambda a, b: a + b))), F.lit(0.0))),
-            F.lit(0.0), lambda a, b: a + b)
-    return j.select("query_id", "doc_id", s.alias("sem"))
-
-
-def semantic_ranking(doc_vecs: DataFrame, query_vecs: DataFrame, k: int,
-                     kind: str = "dense") -> DataFrame:
-    """R4 / R6 at alpha 1: rank by the raw semantic score (rounded)."""
-    sem = semantic_topk(doc_vecs, query_vecs, k, kind)
-    return ranking.top_k(sem.select("query_id", "doc_id",
-                                    F.round("sem", SCORE_DECIMALS).alias("score")), k)
-
-
-def lexical_candidates(index: lexical.LexicalIndex, queries: DataFrame,
-                       cap: int | None = None) -> DataFrame:
-    """Every BM25 match of a query, or with ``cap`` the top ``min(cap, corpus)``."""
-    scores = lexical.bm25_scores(index, queries)
-    if cap is None:
-        return scores
-    limit = min(cap, index.n_docs)
-    if limit <= 0:
-        return scores.limit(0).withColumn("rank", F.lit(0))
-    return ranking.top_k(scores, limit)
-
-
-def hybrid_ranking(index: lexical.LexicalIndex, queries: DataFrame, doc_vecs: DataFrame,
-                   query_vecs: DataFrame, alphas: Sequence[float] = DEFAULT_ALPHAS,
-                   max_k: int = 10, cap: int | None = None,
-                   kind: str = "dense") -> DataFrame:
-    """R5/R10 for a whole alpha grid: ``(alpha, query_id, rank, doc_id, score)``."""
+def _union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
+def semantic_ranking(doc_vecs: DataFrame, query_vecs: DataFrame, k: int, kind: str = "dense") -> DataFrame:
+    """R4 / R6 at alpha 1: ``(query_id, rank, doc_id, score)`` by the raw semantic score (rounded)."""
+    source = scan.Source(doc_vecs=doc_vecs, kind=kind)
+    return _union([scan.best(source, q, [1.0], k) for q in scan.query_sets(None, query_vecs, kind)]).drop("alpha")
+
+
+def lexical_ranking(index: lexical.LexicalIndex, queries: DataFrame, k: int,
+                    report: scan.Report | None = None) -> DataFrame:
+    """R2 + R9: ``(query_id, rank, doc_id, score)``, the BM25 top ``k`` per query."""
+    source = scan.Source(index)
+    weights = lexical.query_weights(index, queries)
+    return _union([scan.best(source, q, [0.0], k, report) for q in scan.query_sets(weights, None, "dense")]).drop("alpha")
+
+
+def lexical_matches(index: lexical.LexicalIndex, queries: DataFrame) -> DataFrame:
+    """R2 + R7 without a limit: ``(query_id, doc_id, score, norm)`` of every match."""
+    source = scan.Source(index)
+    weights = lexical.query_weights(index, queries)
+    return _union([scan.matches(source, scan.with_scales(source, q)) for q in scan.query_sets(weights, None, "dense")])
+
+
+def hybrid_ranking(index: lexical.LexicalIndex, queries: DataFrame, query_vecs: DataFrame,
+                   alphas: Sequence[float] = DEFAULT_ALPHAS, max_k: int = 10, cap: int | None = None,
+                   kind: str = "dense", report: scan.Report | None = None) -> DataFrame:
+    """R5/R10 for a whole alpha grid: ``(alpha, query_id, rank, doc_id, score)``; ``index`` holds the vectors."""
     alphas = [float(a) for a in alphas]
     for a in alphas:
         if not 0.0 <= a <= 1.0:
             raise ValueError("alpha must lie in [0, 1]")
-    parts: list[DataFrame] = []
-    if 1.0 in alphas:
-        parts.append(semantic_ranking(doc_vecs, query_vecs, max_k, kind)
-                     .select(F.lit(1.0).alias("alpha"), "query_id", "rank", "doc_id", "score"))
-    if 0.0 in alphas:
-        bm = ranking.top_k(lexical.bm25_scores(index, queries), max_k)
-        parts.append(bm.select(F.lit(0.0).alias("alpha"), "query_id", "rank", "doc_id", "score"))
-    mixed = sorted(a for a in alphas if 0.0 < a < 1.0)
-    if mixed:
-        parts.append(_mixed(index, queries, doc_vecs, query_vecs, mixed, max_k, cap, kind))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def fused_candidates(index, queries, doc_vecs, query_vecs, alpha_min: float, max_k: int,
-                     cap: int | None, kind: str = "dense") -> DataFrame:
-    """Per query: every document that can reach the fused top ``max_k`` for any
-    alpha >= ``alpha_min``, with normalised semantic and lexical scores
-    ``(query_id, doc_id, ns, nl)``."""
-    lex = lexical_candidates(index, queries, cap)
-    lex = minmax_normalise(lex, "score", "nl").select("query_id", "doc_id", "nl")
-    mm = vector_search.search(doc_vecs, query_vecs, kind, "minmax")
-    # documents outside the lexical candidates compete on alpha*norm(sem); a gap
-    # of 2e-9*(max-min)/alpha in raw score survives rounding to 9 decimals.
-    qv = query_vecs.join(mm, "query_id").withColumn(
-        "slack", F.lit(2e-9 / alpha_min) * (F.col("smax") - F.col("smin")) + F.lit(1e-12))
-    top = vector_search.search(doc_vecs, qv, kind, "topk", max_k, "slack").select("query_id", "doc_id")
-    pairs = top.unionByName(lex.select("query_id", "doc_id")).distinct()
-    sem = exact_scores(pairs, doc_vecs, query_vecs, kind)
-    return (sem.join(mm, "query_id")
-            .withColumn("ns", _norm(F.col("sem"), F.col("smin"), F.col("smax")))
-            .join(lex, ["query_id", "doc_id"], "left")
-            .select("query_id", "doc_id", "ns", F.coalesce("nl", F.lit(0.0)).alias("nl")))
-
-
-def _mixed(index, queries, doc_vecs, query_vecs, alphas, max_k, cap, kind) -> DataFrame:
-    cand = fused_candidates(index, queries, doc_vecs, query_vecs, min(alphas), max_k, cap, kind)
-    grid = cand.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in alphas])))
-    fused = grid.select("alpha", "query_id", "doc_id",
-                        F.round(F.col("alpha") * F.col("ns") + (F.lit(1.0) - F.col("alpha")) * F.col("nl"),
-                                SCORE_DECIMALS).alias("score"))
-    return ranking.top_k(fused, max_k, group_cols=("alpha", "query_id")).select(
-        "alpha", "query_id", "rank", "doc_id", "score")
+    if cap is not None and cap < 1:
+        raise ValueError("cap must be a positive integer")
+    source = scan.Source(index, kind=kind)
+    weights = lexical.query_weights(index, queries)
+    mixed = any(0.0 < a < 1.0 for a in alphas)
+    parts = []
+    for q in scan.query_sets(weights, query_vecs, kind):
+        if mixed:
+            q = scan.with_scales(source, q, None if cap is None else min(cap, max(index.n_docs, 1)))
+        parts.append(scan.best(source, q, alphas, max_k, report))
+    return _union(parts)
+
+
+def exact_scores(pairs: DataFrame, doc_vecs: DataFrame, query_vecs: DataFrame) -> DataFrame:
+    """``(query_id, doc_id, sem)``: sequential double dot product of given pairs, in the JVM."""
+    j = (pairs.join(query_vecs.select("query_id", F.col("vector").alias("qv")), "query_id")
+         .join(doc_vecs.select("doc_id", F.col("vector").alias("dv")), "doc_id"))
+    return j.select("query_id", "doc_id", vector_search.dot("qv", "dv").alias("sem"))

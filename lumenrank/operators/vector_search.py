@@ -1,175 +1,124 @@
-"""R4/R6 exact vector search kernels: dense dot product and late-interaction MaxSim.
-
-The corpus is never paired with every query as rows.  Each corpus partition
-is scored against a block of queries with one float64 matrix product inside
-``mapInPandas`` (Arrow batches), and only two kinds of rows leave the task:
-
-* ``topk``: per query, the local best ``k`` documents plus every document
-  within ``slack`` of the local k-th score (so a tie created later by
-  rounding is never lost); the global top-k is a Spark window afterwards.
-* ``minmax``: per query, the local minimum and maximum score, reduced with a
-  ``groupBy`` (partial aggregation before the shuffle).
-
-Query blocks: when the query side is within ``QUERY_BROADCAST_ROWS`` it is
-broadcast (its size is counted first).  Larger query sets are split into
-hash blocks and scored with a ``cogroup`` of (corpus block, query block)
-groups, so no task ever holds more than one block of each side.
+"""R4/R6 vector scores: dense dot product and late-interaction MaxSim, on blocks of documents.
+
+Scores come in two kinds.  ``approximate`` is a matrix product of a tile of queries with
+a block (fast, last bits free); ``exact`` adds one dimension after the other for chosen
+(query, document) pairs, in the order a plain loop would, so a pair has the same score
+whatever block, tile or plan it is in.  Searches use the first to find what can matter
+and the second for every value that leaves a task.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-QUERY_BROADCAST_ROWS = 20_000
-CORPUS_BLOCK_ROWS = 50_000
-QUERY_BLOCK_ROWS = 20_000
-
-TOPK_SCHEMA = "query_id string, doc_id string, score double"
-MINMAX_SCHEMA = "query_id string, smin double, smax double"
-
-
-# --------------------------------------------------------------------------
-# numpy kernels
-
-def _matrix(col: pd.Series) -> np.ndarray:
-    if len(col) == 0:
-        return np.zeros((0, 0))
-    return np.stack([np.asarray(v, dtype=np.float64) for v in col])
-
-
-def _multi(col: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Concatenate token matrices; return (tokens, start offsets, token counts)."""
-    mats = [_matrix(pd.Series(list(v))) if v is not None and len(v) else None for v in col]
-    lens = np.array([0 if m is None else m.shape[0] for m in mats], dtype=np.int64)
-    if lens.sum() == 0:
-        return np.zeros((0, 0)), np.zeros(len(mats), dtype=np.int64), lens
-    toks = np.concatenate([m for m in mats if m is not None], axis=0)
-    starts = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    return toks, starts, lens
-
-
-def score_block(kind: str, qcol, dcol) -> np.ndarray:
-    """``(n_queries, n_docs)`` scores.  ``dense``: dot; ``maxsim``: sum over
-    query tokens of the best dot over document tokens."""
-    if kind == "dense":
-        q = qcol if isinstance(qcol, np.ndarray) else _matrix(qcol)
-        d = _matrix(dcol)
-        return q @ d.T
-    qt, qs, ql = qcol if isinstance(qcol, tuple) else _multi(qcol)
-    dt, ds, dl = _multi(dcol)
-    nq, nd = len(qs), len(ds)
-    out = np.zeros((nq, nd))
-    if dt.size == 0 or qt.size == 0:
+TILE_BYTES = 32 << 20       # products held at once
+ERROR = 1e-12               # relative gap between the two kinds, with room to spare
+
+
+def _sequential(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Dot products of rows of ``a`` and ``b`` (broadcast), dimension after dimension."""
+    total = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]))
+    for i in range(a.shape[-1]):
+        total += a[..., i] * b[..., i]
+    return total
+
+
+def _flat(vectors: pa.Array) -> np.ndarray:
+    """The values of nested lists, in double precision; a null or non-finite value is an error of the input."""
+    while pa.types.is_list(vectors.type) or pa.types.is_large_list(vectors.type):
+        vectors = vectors.flatten()
+    return vectors.to_numpy(zero_copy_only=False).astype(np.float64)
+
+
+class Dense:
+    """One vector per document or query.  A missing or empty vector counts as zeros."""
+
+    def __init__(self, vectors: pa.Array):
+        size = np.array([n or 0 for n in vectors.value_lengths().to_pylist()], np.int64)
+        width = int(size.max(initial=0))
+        if ((size != width) & (size > 0)).any():
+            raise ValueError("vectors have different lengths")
+        self.rows = np.zeros((len(size), width))
+        if width:
+            self.rows[size > 0] = _flat(vectors).reshape(-1, width)
+        self.missing = size == 0
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def tile(self, documents: Dense) -> int:
+        return max(1, TILE_BYTES // (8 * max(len(documents), 1)))
+
+    def approximate(self, lo: int, hi: int, documents: Dense) -> np.ndarray:
+        return self._fit(self.rows[lo:hi], documents) @ documents.rows.T
+
+    def exact(self, queries: np.ndarray, places: np.ndarray, documents: Dense) -> np.ndarray:
+        return _sequential(self._fit(self.rows[queries], documents), documents.rows[places])
+
+    @staticmethod
+    def _fit(rows: np.ndarray, documents: Dense) -> np.ndarray:
+        """Queries against documents without any vector score zero."""
+        return rows if documents.rows.shape[1] else rows[:, :0]
+
+
+class Multi:
+    """A list of vectors per document or query; MaxSim is the sum over query vectors of the best product."""
+
+    def __init__(self, vectors: pa.Array):
+        self.size = np.array([n or 0 for n in vectors.value_lengths().to_pylist()], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        flat, count = _flat(vectors), int(self.size.sum())
+        rows = flat.reshape(count, -1) if count else np.zeros((0, 0))
+        # equal vectors are multiplied once
+        self.distinct, back = (np.unique(rows, axis=0, return_inverse=True) if count
+                               else (rows, np.zeros(0, np.int64)))
+        self.of = back.reshape(-1)
+        self.missing = self.size == 0
+
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def tile(self, documents: Multi) -> int:
+        return len(self)
+
+    def approximate(self, lo: int, hi: int, documents: Multi) -> np.ndarray:
+        out = np.zeros((hi - lo, len(documents)))
+        mine = self.of[self.start[lo]:self.start[hi - 1] + self.size[hi - 1]] if hi > lo else self.of[:0]
+        if not len(mine) or not len(documents.of):
+            return out
+        used, place = np.unique(mine, return_inverse=True)
+        some = documents.size > 0
+        step = max(1, TILE_BYTES // (8 * (len(documents.of) + len(documents.distinct))))
+        best = np.zeros((len(used), len(documents)))
+        for i in range(0, len(used), step):
+            products = self.distinct[used[i:i + step]] @ documents.distinct.T
+            best[i:i + step, some] = np.maximum.reduceat(products[:, documents.of], documents.start[some], axis=1)
+        has = self.size[lo:hi] > 0
+        step = max(1, TILE_BYTES // (8 * max(len(documents), 1) * max(int(self.size[lo:hi].max()), 1)))
+        rows = np.flatnonzero(has)
+        for i in range(0, len(rows), step):
+            part = rows[i:i + step]
+            first, last = self.start[lo + part[0]] - self.start[lo], self.start[lo + part[-1]] + self.size[lo + part[-1]] - self.start[lo]
+            out[part] = np.add.reduceat(best[place[first:last]], self.start[lo + part] - self.start[lo] - first, axis=0)
+        return out
+
+    def exact(self, queries: np.ndarray, places: np.ndarray, documents: Multi) -> np.ndarray:
+        out = np.zeros(len(queries))
+        for i, (q, d) in enumerate(zip(queries.tolist(), places.tolist())):
+            a = self.distinct[self.of[self.start[q]:self.start[q] + self.size[q]]]
+            b = documents.distinct[documents.of[documents.start[d]:documents.start[d] + documents.size[d]]]
+            if len(a) and len(b):
+                total = 0.0
+                for best in _sequential(a[:, None, :], b[None, :, :]).max(axis=1).tolist():
+                    total += best
+                out[i] = total
         return out
-    sims = qt @ dt.T                               # (query tokens, doc tokens)
-    has = dl > 0
-    best = np.full((sims.shape[0], nd), 0.0)
-    if has.any():
-        best[:, has] = np.maximum.reduceat(sims, ds[has], axis=1)
-    qhas = ql > 0
-    if qhas.any():
-        out[qhas] = np.add.reduceat(best, qs[qhas], axis=0)
-    return out
-
-
-def _emit_topk(qids, dids, s: np.ndarray, k: int, slack) -> pd.DataFrame:
-    nq, nd = s.shape
-    if nq == 0 or nd == 0:
-        return pd.DataFrame({"query_id": [], "doc_id": [], "score": []})
-    kk = min(k, nd)
-    kth = -np.partition(-s, kk - 1, axis=1)[:, kk - 1]
-    thr = kth - np.asarray(slack)
-    qi, di = np.nonzero(s >= thr[:, None])
-    return pd.DataFrame({"query_id": np.asarray(qids, dtype=object)[qi],
-                         "doc_id": np.asarray(dids, dtype=object)[di],
-                         "score": s[qi, di]})
-
-
-def _emit_minmax(qids, s: np.ndarray) -> pd.DataFrame:
-    if s.shape[1] == 0:
-        return pd.DataFrame({"query_id": [], "smin": [], "smax": []})
-    return pd.DataFrame({"query_id": list(qids), "smin": s.min(axis=1), "smax": s.max(axis=1)})
-
-
-# --------------------------------------------------------------------------
-# Spark plans
-
-def _vector_col(kind: str) -> str:
-    return "vector" if kind == "dense" else "vectors"
-
-
-def search(corpus: DataFrame, queries: DataFrame, kind: str = "dense", mode: str = "topk",
-           k: int = 10, slack: float | str = 1e-8) -> DataFrame:
-    """Exact scoring of ``queries(query_id, vector|vectors[, slack])`` against
-    ``corpus(doc_id, vector|vectors)``.
-
-    ``mode='topk'`` returns a superset of each query's global top ``k`` (raw,
-    unrounded scores); ``mode='minmax'`` returns per-query global min and max.
-    ``slack`` is a number or the name of a per-query column.
-    """
-    vc = _vector_col(kind)
-    qcols = ["query_id", vc] + ([slack] if isinstance(slack, str) else [])
-    q = queries.select(*qcols)
-    d = corpus.select("doc_id", vc)
-    n_q = q.limit(QUERY_BROADCAST_ROWS + 1).count()
-    if n_q <= QUERY_BROADCAST_ROWS:
-        out = _broadcast_search(d, q, kind, mode, k, slack)
-    else:
-        out = _cogroup_search(d, q, kind, mode, k, slack)
-    if mode == "minmax":
-        out = out.groupBy("query_id").agg(F.min("smin").alias("smin"), F.max("smax").alias("smax"))
-    return out
-
-
-def _broadcast_search(d, q, kind, mode, k, slack):
-    spark = d.sparkSession
-    qpdf = q.toPandas()
-    vc = _vector_col(kind)
-    qids = qpdf["query_id"].tolist()
-    qmat = _matrix(qpdf[vc]) if kind == "dense" else _multi(qpdf[vc])
-    sl = qpdf[slack].to_numpy(dtype=np.float64) if isinstance(slack, str) else float(slack)
-    bq = spark.sparkContext.broadcast((qids, qmat, sl))
-
-    def run(batches):
-        qids_, qm, sl_ = bq.value
-        for pdf in batches:
-            if len(pdf) == 0 or len(qids_) == 0:
-                continue
-            s = score_block(kind, qm, pdf[vc])
-            yield (_emit_topk(qids_, pdf["doc_id"].tolist(), s, k, sl_) if mode == "topk"
-                   else _emit_minmax(qids_, s))
-
-    return d.mapInPandas(run, TOPK_SCHEMA if mode == "topk" else MINMAX_SCHEMA)
-
-
-def _cogroup_search(d, q, kind, mode, k, slack):
-    n_d = d.count()
-    n_q = q.count()
-    nb_d = max(1, math.ceil(n_d / CORPUS_BLOCK_ROWS))
-    nb_q = max(1, math.ceil(n_q / QUERY_BLOCK_ROWS))
-    vc = _vector_col(kind)
-    dd = (d.withColumn("cb", F.pmod(F.xxhash64("doc_id"), F.lit(nb_d)))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nb_q - 1)))))
-    qq = (q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(nb_q)))
-          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(nb_d - 1)))))
-
-    def run(dpdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(dpdf) == 0 or len(qpdf) == 0:
-            return pd.DataFrame(columns=["query_id", "doc_id", "score"] if mode == "topk"
-                                else ["query_id", "smin", "smax"])
-        s = score_block(kind, qpdf[vc], dpdf[vc])
-        if mode == "topk":
-            sl = qpdf[slack].to_numpy(dtype=np.float64) if isinstance(slack, str) else slack
-            return _emit_topk(qpdf["query_id"].tolist(), dpdf["doc_id"].tolist(), s, k, sl)
-        return _emit_minmax(qpdf["query_id"].tolist(), s)
-
-    return (dd.groupBy("cb", "qb").cogroup(qq.groupBy("cb", "qb"))
-            .applyInPandas(run, TOPK_SCHEMA if mode == "topk" else MINMAX_SCHEMA))
+
+
+KINDS = {"dense": Dense, "maxsim": Multi}
+COLUMN = {"dense": "vector", "maxsim": "vectors"}
 
 
 def dot(a: str, b: str):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenrank.operators import lexical, metrics, ranking
+from lumenrank.operators import fusion, lexical, metrics
 from lumenrank.sources.io import RetrievalSet
 
 BM25_LABEL = "BM25"
@@ -14,7 +14,7 @@ BM25_LABEL = "BM25"
 def bm25_ranking(rs: RetrievalSet, k: int, index: lexical.LexicalIndex | None = None) -> DataFrame:
     """R2 + R9: ``(query_id, rank, doc_id, score)`` for the top ``k`` per query."""
     index = index or lexical.build_index(rs.corpus)
-    return ranking.top_k(lexical.bm25_scores(index, rs.queries), k)
+    return fusion.lexical_ranking(index, rs.queries, k)
 
 
 def bm25_baseline(rs: RetrievalSet, cutoffs=metrics.DEFAULT_CUTOFFS,

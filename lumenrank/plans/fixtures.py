@@ -6,11 +6,11 @@ Ids are strings (X2), relevance judgments use ``(query_id, corpus_id, score)``.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumenrank.operators import containment
+from lumenrank.session import stored
 from lumenrank.sources.io import RetrievalSet
 
 
@@ -23,7 +23,7 @@ def known_set(spark: SparkSession, sf_dir: str) -> RetrievalSet:
     that occurs verbatim in at least one document; those documents are relevant."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
-    hits = containment.pairs(docs, bench).persist(StorageLevel.MEMORY_AND_DISK)
+    hits = stored(containment.pairs(docs, bench), "known-hits")
     corpus = docs.select(F.col("doc_id").cast("string").alias("id"), "text")
     qrels = hits.select(F.col("item_id").cast("string").alias("query_id"),
                         F.col("doc_id").cast("string").alias("corpus_id"),
@@ -63,13 +63,9 @@ def vec_set(spark: SparkSession, sf_dir: str):
 
 def hyb_vectors(rs: RetrievalSet):
     """HYB: KNOWN texts embedded with the default hashing encoder."""
-    from pyspark import StorageLevel
-
     from lumenrank.operators import embed
 
-    doc_vecs = embed.embed(rs.corpus).persist(StorageLevel.MEMORY_AND_DISK)
-    query_vecs = embed.embed(rs.queries, out_id="query_id").persist(StorageLevel.MEMORY_AND_DISK)
-    return doc_vecs, query_vecs
+    return embed.embed(rs.corpus), stored(embed.embed(rs.queries, out_id="query_id"), "query-vectors")
 
 
 def tok_set(spark: SparkSession, sf_dir: str):

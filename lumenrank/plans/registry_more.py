@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumenrank.operators import embed, fusion, lexical, metrics
 from lumenrank.plans import fixtures
+from lumenrank.session import stored
 from lumenrank.plans.registry import METRIC_COLS, register, round_metrics
 
 HASH_MODEL = "hashing-64"
@@ -40,7 +41,6 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dense_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R4 + M5: MRR / Hit Rate of the dense ranking."""
     doc_vecs, query_vecs, qrels = fixtures.vec_set(spark, sf_dir)
-    doc_vecs = doc_vecs.persist(StorageLevel.MEMORY_AND_DISK)
     n_q, n_d = query_vecs.count(), doc_vecs.count()
     ranked = fusion.semantic_ranking(doc_vecs, query_vecs, 10).withColumn("alpha", F.lit(1.0))
     return _grid_metrics(spark, ranked, qrels, n_q, n_d, [1.0], VEC_MODEL, None)
@@ -48,26 +48,25 @@ def dense_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _hyb(spark, sf_dir):
     rs = fixtures.known_set(spark, sf_dir)
-    rs.queries = rs.queries.persist(StorageLevel.MEMORY_AND_DISK)
-    idx = lexical.build_index(rs.corpus)
+    rs.queries = stored(rs.queries, "queries")
     doc_vecs, query_vecs = fixtures.hyb_vectors(rs)
-    return rs, idx, doc_vecs, query_vecs
+    return rs, lexical.build_index(rs.corpus, vectors=doc_vecs), query_vecs
 
 
 @register("hybrid_topk")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alpha 0.5 fusion of BM25 and hashed dense scores, top 10."""
-    rs, idx, dv, qv = _hyb(spark, sf_dir)
-    r = fusion.hybrid_ranking(idx, rs.queries, dv, qv, alphas=[0.5], max_k=10)
+    rs, idx, qv = _hyb(spark, sf_dir)
+    r = fusion.hybrid_ranking(idx, rs.queries, qv, alphas=[0.5], max_k=10)
     return r.select("alpha", "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
 @register("hybrid_alpha_metrics")
 def hybrid_alpha_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J7 + R10 + R13 + M5: the whole alpha grid and the BM25 row in one job."""
-    rs, idx, dv, qv = _hyb(spark, sf_dir)
+    rs, idx, qv = _hyb(spark, sf_dir)
     alphas = (0.0,) + HYBRID_ALPHAS
-    ranked = fusion.hybrid_ranking(idx, rs.queries, dv, qv, alphas=alphas, max_k=10)
+    ranked = fusion.hybrid_ranking(idx, rs.queries, qv, alphas=alphas, max_k=10)
     return _grid_metrics(spark, ranked, rs.qrels, rs.queries.count(), idx.n_docs, alphas, HASH_MODEL)
 
 
@@ -76,8 +75,7 @@ def minmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R7 + R11: all BM25 matches min-max normalised per query."""
     rs = fixtures.known_set(spark, sf_dir)
     idx = lexical.build_index(rs.corpus)
-    cand = fusion.lexical_candidates(idx, rs.queries)
-    n = fusion.minmax_normalise(cand, "score", "norm")
+    n = fusion.lexical_matches(idx, rs.queries)
     return n.select("query_id", "doc_id", "score", F.round("norm", 9).alias("norm"))
 
 
@@ -93,12 +91,10 @@ def maxsim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def late_hybrid_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MaxSim alone (alpha 1), BM25 at max K (alpha 0), fused in between."""
     dv, qv, qrels, corpus, queries = fixtures.tok_set(spark, sf_dir)
-    dv = dv.persist(StorageLevel.MEMORY_AND_DISK)
-    qv = qv.persist(StorageLevel.MEMORY_AND_DISK)
-    queries = queries.persist(StorageLevel.MEMORY_AND_DISK)
-    idx = lexical.build_index(corpus)
+    queries = stored(queries, "queries")
+    idx = lexical.build_index(corpus, vectors=dv, vector_col="vectors")
     alphas = (0.0, 0.25, 0.5, 0.75, 1.0)
-    ranked = fusion.hybrid_ranking(idx, queries, dv, qv, alphas=alphas, max_k=10, kind="maxsim")
+    ranked = fusion.hybrid_ranking(idx, queries, qv, alphas=alphas, max_k=10, kind="maxsim")
     return _grid_metrics(spark, ranked, qrels, queries.count(), idx.n_docs, alphas, TOKEN_MODEL, None)
 
 
