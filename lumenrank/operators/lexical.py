@@ -30,7 +30,7 @@ K1 = 1.2
 B = 0.75
 SCORE_DECIMALS = topk.DECIMALS
 
-BLOCK_DOCS = 64             # documents of a block
+BLOCK_DOCS = 32             # documents of a block
 SORTED_DOCS = 4096          # documents that are put in order of length together
 QUERY_WEIGHTS = 2_000_000   # (query, term) weights that are sent to the tasks at once
 CELLS = 2_000_000           # (query, document) scores that a task computes at once
@@ -76,12 +76,12 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 
 def _blocks_of(ids: list, texts: pa.ListArray, vectors: pa.Array | None) -> Iterator[dict]:
-    """Blocks of the documents of a batch, in order of length."""
+    """Blocks of the documents of a batch, the longest documents first (they raise thresholds soonest)."""
     words = texts.flatten().dictionary_encode()
     codes, names = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
     lens = np.array([0 if n is None else n for n in texts.value_lengths().to_pylist()], np.int64)
     starts = np.cumsum(lens) - lens
-    order = np.argsort(lens, kind="stable")
+    order = np.argsort(-lens, kind="stable")
     for i in range(0, len(order), BLOCK_DOCS):
         members = order[i:i + BLOCK_DOCS]
         size = lens[members]

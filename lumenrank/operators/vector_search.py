@@ -64,7 +64,10 @@ class Dense:
 
 
 class Multi:
-    """A list of vectors per document or query; MaxSim is the sum over query vectors of the best product."""
+    """A list of vectors per document or query; MaxSim is the sum over query vectors of the best product.
+
+    An empty list scores 0; a null one is missing.
+    """
 
     def __init__(self, vectors: pa.Array):
         self.size = np.array([n or 0 for n in vectors.value_lengths().to_pylist()], np.int64)
@@ -75,7 +78,7 @@ class Multi:
         self.distinct, back = (np.unique(rows, axis=0, return_inverse=True) if count
                                else (rows, np.zeros(0, np.int64)))
         self.of = back.reshape(-1)
-        self.missing = self.size == 0
+        self.missing = vectors.is_null().to_numpy(zero_copy_only=False)
 
     def __len__(self) -> int:
         return len(self.size)

@@ -68,11 +68,19 @@ def hyb_vectors(rs: RetrievalSet):
     return embed.embed(rs.corpus), stored(embed.embed(rs.queries, out_id="query_id"), "query-vectors")
 
 
+def late_vectors(rs: RetrievalSet):
+    """LATE: KNOWN texts as token vectors (U3), every document and every query."""
+    from lumenrank.operators import embed
+
+    doc_vecs = embed.embed(rs.corpus, embed.distinct_token_encoder, multi=True)
+    query_vecs = embed.embed(rs.queries, embed.token_hashing_encoder, multi=True, out_id="query_id")
+    return doc_vecs, stored(query_vecs, "query-token-vectors")
+
+
 def tok_set(spark: SparkSession, sf_dir: str):
     """TOK: multi-vector document d = embeddings with vec_id div 4 = d; the
-    query of d uses each vector's mean with the next vec_id; relevant = d.
-    Texts for the lexical side: document d's text for both.
-    Returns (doc_vecs, query_vecs, qrels, corpus, queries)."""
+    query of d uses each vector's mean with the next vec_id.
+    Returns (doc_vecs, query_vecs)."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     q = _mean_with_next(e, "vec_id", "embedding")
     grp = F.floor(F.col("vec_id") / 4).cast("long")
@@ -84,13 +92,7 @@ def tok_set(spark: SparkSession, sf_dir: str):
                   .agg(F.sort_array(F.collect_list(F.struct("vec_id", "qv"))).alias("s"))
                   .select(F.col("d").cast("string").alias("query_id"),
                           F.transform("s", lambda x: x["qv"]).alias("vectors")))
-    ids = doc_vecs.select("doc_id")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text")
-    corpus = docs.join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi")
-    queries = corpus
-    qrels = ids.select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("corpus_id"),
-                       F.lit(1.0).alias("score"))
-    return doc_vecs, query_vecs, qrels, corpus, queries
+    return doc_vecs, query_vecs
 
 
 def dirty_set(spark: SparkSession, sf_dir: str) -> RetrievalSet:

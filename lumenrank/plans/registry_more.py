@@ -82,20 +82,21 @@ def minmax_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("maxsim_topk")
 def maxsim_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """R6 + J6: late-interaction MaxSim over every query-document pair, top 10."""
-    dv, qv, _, _, _ = fixtures.tok_set(spark, sf_dir)
+    dv, qv = fixtures.tok_set(spark, sf_dir)
     return fusion.semantic_ranking(dv, qv, 10, kind="maxsim").select(
         "query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "score")
 
 
 @register("late_hybrid_metrics")
 def late_hybrid_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """MaxSim alone (alpha 1), BM25 at max K (alpha 0), fused in between."""
-    dv, qv, qrels, corpus, queries = fixtures.tok_set(spark, sf_dir)
-    queries = stored(queries, "queries")
-    idx = lexical.build_index(corpus, vectors=dv, vector_col="vectors")
+    """R10 + U3: token vectors of every document; MaxSim alone (alpha 1), BM25 (alpha 0), fused in between."""
+    rs = fixtures.known_set(spark, sf_dir)
+    rs.queries = stored(rs.queries, "queries")
+    dv, qv = fixtures.late_vectors(rs)
+    idx = lexical.build_index(rs.corpus, vectors=dv, vector_col="vectors")
     alphas = (0.0, 0.25, 0.5, 0.75, 1.0)
-    ranked = fusion.hybrid_ranking(idx, queries, qv, alphas=alphas, max_k=10, kind="maxsim")
-    return _grid_metrics(spark, ranked, qrels, queries.count(), idx.n_docs, alphas, TOKEN_MODEL, None)
+    ranked = fusion.hybrid_ranking(idx, rs.queries, qv, alphas=alphas, max_k=10, kind="maxsim")
+    return _grid_metrics(spark, ranked, rs.qrels, rs.queries.count(), idx.n_docs, alphas, TOKEN_MODEL, None)
 
 
 @register("embed_documents")
