@@ -4,7 +4,8 @@ An Aho-Corasick automaton finds every keyword of all kinds in one walk over the
 (ASCII letters lowered, so places stay the same).  Only there a kind's expression is
 tried, anchored at the keyword; since each kind's match starts with one of its keywords,
 taking hits from left to right and skipping those inside the last match gives just the
-leftmost non-overlapping matches.  Hex runs have no keyword; they are runs of a byte
+leftmost non-overlapping matches.  A kind whose match may be long remembers how far a failed
+attempt has read, so a text is read a bounded number of times whatever it repeats.  Hex runs have no keyword; they are runs of a byte
 class.  Token formats that carry a checksum are reported only if it holds.
 
 Kinds, as listed: assign, access, hex (the base), then github and npm (36 letters and
@@ -44,6 +45,10 @@ _ANCHORED = {
     "jwt": re.compile(r"(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+"),
     "pem": re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*?-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----"),
 }
+# What a failed attempt has already read: a later start inside it fails the same way.
+_JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
+_PEM_RUN = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s:,-]*")
+_READ = {"jwt": _JWT_RUN, "pem": _PEM_RUN}
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _KEYWORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign",
              "api_key": "assign", "akia": "access", "ghp_": "github", "gho_": "github", "ghu_": "github",
@@ -67,7 +72,7 @@ def _checksum(body: str, tail: str) -> bool:
 def _json_header(part: str) -> bool:
     try:
         head = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):    # no JSON, or nested deeper than any header
         return False
     return isinstance(head, dict) and "alg" in head
 
@@ -101,10 +106,13 @@ def scan(text: str) -> list[Span]:
         start = last - size + 1
         if start < reached[kind]:
             continue
-        if m := _ANCHORED[KINDS[kind]].match(text, start):
+        name = KINDS[kind]
+        if m := _ANCHORED[name].match(text, start):
             reached[kind] = m.end()
-            if _holds(KINDS[kind], m):
+            if _holds(name, m):
                 found.append(Span(start, kind, m.end()))
+        elif name in _READ and (m := _READ[name].match(text, start)):
+            reached[kind] = m.end()
     found += [Span(m.start(), KINDS.index("hex"), m.end()) for m in _HEX.finditer(text)]
     return sorted(found)
 
