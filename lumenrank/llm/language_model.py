@@ -41,13 +41,13 @@ from .tables import documents, fold, keep, read, shared_folder
 BEGIN, END = (mix(np.array([x], np.uint64))[0] for x in (0xB16B00B5, 0xE2D))
 BLOCK_TOKENS = 3_000_000
 SHARD_BYTES = 16 << 20      # of training text for each shard
-MOST_SHARD_BITS = 16
-_HIGH = np.uint64(0xFFFF << 48)
+MOST_SHARD_BITS = 20      # a million shards; with more than 16 TB of training text they grow
+_HIGH = np.uint64(0xFFFFF << 44)
 
 
 def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Hash of a pair; its 16 high bits are those of the first word, so both share a shard."""
-    return (before & _HIGH) | (join_hash(before, word) >> np.uint64(16))
+    """Hash of a pair; its 20 high bits are those of the first word, so both share a shard."""
+    return (before & _HIGH) | (join_hash(before, word) >> np.uint64(20))
 
 
 def tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -141,7 +141,7 @@ def _counts_of_counts(n: np.ndarray) -> list[int]:
 def merge_pairs(blocks: DataFrame, folder: str, bits: int) -> DataFrame:
     """Write each shard's pairs and contexts; blocks of second words (shard, key, contexts, n) go on.
 
-    A shard's row of counts of counts has shard -1 (``stats``: pairs with 1, 2, 3, 4, and tokens).
+    A shard's row of counts of counts has shard -1 (``stats``: pairs with 1, 2, 3, 4, tokens, and the shard).
     """
     names = ["shard", "key", "contexts", "n", "stats"]
 
@@ -153,11 +153,11 @@ def merge_pairs(blocks: DataFrame, folder: str, bits: int) -> DataFrame:
             key = pair_key(before, word)
             rows, n = _sum_by(key, n.astype(np.int64))
             key, before, word = key[rows], before[rows], word[rows]
-            _write(folder, f"pairs-{shard}", key=key, n=np.minimum(n, 0xFFFFFFFF).astype(np.uint32))
+            _write(folder, f"pairs-{shard}", key=key, n=n.astype(np.uint32 if n.max(initial=0) >> 32 == 0 else np.uint64))
             ones = [(n == 1).astype(np.int64), (n == 2).astype(np.int64), (n > 2).astype(np.int64)]
             rows, total, *kinds = _sum_by(before, n, *ones)
             _write(folder, f"contexts-{shard}", key=before[rows], total=total, kinds=np.stack(kinds, axis=1).astype(np.uint32))
-            stats = [*_counts_of_counts(n), int(n.sum())]
+            stats = [*_counts_of_counts(n), int(n.sum()), shard]
             rows, contexts, total = _sum_by(word, np.ones(len(word), np.int64), n)
             out = _blocks(word[rows], bits, None, contexts=contexts.astype(np.uint32), n=total)
             empty = pa.array([b""] * len(out), pa.binary())
@@ -186,7 +186,7 @@ def merge_words(blocks: DataFrame, folder: str) -> DataFrame:
             key = np.concatenate([p["key"] for p in parts])
             rows, contexts, n = _sum_by(key, *(np.concatenate([p[k] for p in parts]).astype(np.int64) for k in ("contexts", "n")))
             _write(folder, f"words-{shard}", key=key[rows], contexts=contexts, n=n)
-            stats = [*_counts_of_counts(contexts), int((contexts > 2).sum()), int(contexts.sum()), len(rows)]
+            stats = [*_counts_of_counts(contexts), int((contexts > 2).sum()), int(contexts.sum()), len(rows), shard]
             yield row(1, stats)
 
     return blocks.repartition("shard").sortWithinPartitions("shard").mapInArrow(merge, "words int, stats array<long>")
@@ -208,6 +208,8 @@ class Model(NamedTuple):
     word_discount: np.ndarray
     all_contexts: int       # C
     rest: float             # g
+    pair_shards: np.ndarray  # whether a shard of pairs and contexts was written, by number
+    word_shards: np.ndarray  # the same of words
 
 
 def _local(folder: str) -> str:
@@ -235,13 +237,21 @@ def train(docs: DataFrame) -> Model:
     *word_counts, more, contexts, n_words = _sums(stats.where("words = 1"), 7)
     d = discounts(*word_counts)
     rest = float(d[1] * word_counts[0] + d[2] * word_counts[1] + d[3] * more) / contexts if contexts else 1.0
-    return Model(folder, bits, n_tokens, n_words, discounts(*pair_counts), d, contexts, rest)
+    return Model(folder, bits, n_tokens, n_words, discounts(*pair_counts), d, contexts, rest,
+                 *(_written(stats.where(F.col("words") == k), bits) for k in (0, 1)))
+
+
+def _written(stats: DataFrame, bits: int) -> np.ndarray:
+    """Which shards there are; at most 2 ** MOST_SHARD_BITS numbers come to the driver."""
+    out = np.zeros(1 << bits, bool)
+    out[[r.shard for r in stats.select(F.element_at("stats", -1).alias("shard")).distinct().collect()]] = True
+    return out
 
 
 @lru_cache(maxsize=4096)
 def _mapped(folder: str, name: str, part: str) -> np.ndarray:
-    path = f"{folder}/{name}-{part}.npy"
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros((0, 3) if part == "kinds" else 0, np.uint64)
+    """A written array; that its file is not there is an error, not an empty shard."""
+    return np.load(f"{folder}/{name}-{part}.npy", mmap_mode="r")
 
 
 def _look_up(model: Model, table: str, key: np.ndarray, *parts: str) -> list[np.ndarray]:
@@ -249,10 +259,11 @@ def _look_up(model: Model, table: str, key: np.ndarray, *parts: str) -> list[np.
     shape = [(len(key), 3) if p == "kinds" else len(key) for p in parts]
     out = [np.zeros(s, np.int64) for s in shape]
     at = _shards(key, model.bits)
+    written = model.word_shards if table == "words" else model.pair_shards
     for s in np.flatnonzero(np.diff(at)):
-        there = _mapped(model.folder, f"{table}-{s}", "key")
-        if not len(there):
+        if not written[s]:
             continue
+        there = _mapped(model.folder, f"{table}-{s}", "key")
         needle = key[at[s]:at[s + 1]]
         place = np.minimum(np.searchsorted(there, needle), len(there) - 1)
         hit = there[place] == needle
