@@ -24,6 +24,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,7 @@ CAPACITY = 2048
 END_ID = 0
 SALTS = 64
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 200_000
+CACHED_WORDS = 250_000
 
 # What may be encoded by itself.  The vocabulary's rule cuts between letters and other
 # characters, so an ASCII or Latin-1 letter run and an ASCII sign run are whole units if
@@ -51,7 +52,8 @@ _WHOLE = re.compile(rb"[\xcc\xcd]|<\|")
 class Encoder:
     """Token ids of texts as little-endian bytes, remembering units it has met.
 
-    Two generations of at most ``CACHED_WORDS`` units bound the memory.
+    The units of a chunk of texts that are not known yet are learned together.  Two
+    generations of about ``CACHED_WORDS`` units (and one chunk's) bound the memory.
     """
 
     def __init__(self, path: str):
@@ -64,41 +66,31 @@ class Encoder:
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
 
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+    def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
+        coded = self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
+        return [np.array(x.ids, "<u4") for x in coded]
 
     def _learn(self, units: list[bytes]) -> None:
-        if len(self.young) + len(units) > CACHED_WORDS:
-            self.old, self.young = self.young, {}
         plain = [u for u in units if u.isalpha() or b"\xc3" in u and _UNIT.fullmatch(u) and b"'" not in u]
-        for i in range(0, len(plain), 256):  # letter runs end in exactly one word-end token
-            part = plain[i:i + 256]
-            ids = self._ids(b" ".join(part).decode("utf-8", "replace"))
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+        parts = [plain[i:i + 512] for i in range(0, len(plain), 512)]
+        for part, ids in zip(parts, self._ids([b" ".join(x) for x in parts])):
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()    # letter runs end in exactly one word-end token
             if len(cuts) == len(part):
-                self.young.update(zip(part, (x.tobytes() for x in np.split(ids, cuts[:-1]))))
-        for u in units:
-            if u not in self.young:
-                self.young[u] = self._ids(u.decode("utf-8", "replace")).tobytes()
-
-    def __call__(self, text: bytes) -> bytes:
-        if _WHOLE.search(text):
-            return self._ids(text.decode("utf-8", "replace")).tobytes()
-        units = _UNIT.findall(text.lower())
-        new = [u for u in set(units) if u not in self.young]
-        if new:
-            for u in new:
-                if u in self.old:
-                    self.young[u] = self.old[u]
-            new = [u for u in new if u not in self.young]
-            if new:
-                before = self.young
-                self._learn(new)
-                if self.young is not before:  # a new generation: bring the rest along
-                    for u in set(units):
-                        if u not in self.young:
-                            self.young[u] = self.old[u]
-        return b"".join(map(self.young.__getitem__, units))
+                data = ids.tobytes()
+                self.young.update(zip(part, (data[4 * i:4 * j] for i, j in zip([0, *cuts], cuts))))
+        rest = [u for u in units if u not in self.young]
+        self.young.update(zip(rest, (x.tobytes() for x in self._ids(rest))))
+
+    def __call__(self, texts: list[bytes]) -> list[bytes]:
+        units = [None if _WHOLE.search(x) else _UNIT.findall(x.lower()) for x in texts]
+        new = set(chain.from_iterable(u for u in units if u is not None)).difference(self.young)
+        self.young.update((u, self.old[u]) for u in new if u in self.old)
+        self._learn([u for u in new if u not in self.young])
+        whole = iter(self._ids([x for x, u in zip(texts, units) if u is None]))
+        out = [next(whole).tobytes() if u is None else b"".join(map(self.young.__getitem__, u)) for u in units]
+        if len(self.young) > CACHED_WORDS:
+            self.old, self.young = self.young, {}
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -124,7 +116,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
         encode = _encoder(path)
         for batch in batches:
             for c in chunks(batch.column("text")):
-                ids = [encode(c.text(i)) + end for i in range(c.rows)]
+                ids = [x + end for x in encode([c.text(i) for i in range(c.rows)])]
                 rows = [(i, p, s) for i, x in enumerate(ids)
                         for p, s in enumerate(range(0, len(x), 4 * capacity))]
                 parts = [ids[i][s:s + 4 * capacity] for i, _, s in rows]
