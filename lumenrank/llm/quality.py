@@ -7,7 +7,7 @@ between 0 and 1 a logistic curve is fitted over the training scores.
 
 Features come from the text alone: how words are spelled, repeated and punctuated.
 
-Training takes at most ``MAX_TRAIN`` labelled documents of at most ``MAX_TRAIN_BYTES``
+Training takes at most ``MAX_TRAIN`` labelled documents
 each, chosen by a hash of the id; their features (a few numbers each) go to the driver.
 Scoring is one pass over all documents without a shuffle.
 
@@ -30,7 +30,6 @@ from .arrays import LOWER, Chunk, chunks, distinct_per_row, words
 from .tables import documents, fold, pick, read
 
 MAX_TRAIN = 20_000
-MAX_TRAIN_BYTES = 1_000_000
 PAIRS_PER_DOCUMENT = 20
 CUT = 0.3
 _CLASS = np.zeros((256, 5), np.int32)  # upper, digit, mark, sign, bar
@@ -125,14 +124,14 @@ def fit(x: np.ndarray, label: np.ndarray, pairs: int = PAIRS_PER_DOCUMENT, seed:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, parts: int, held_out: int,
-             max_rows: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> DataFrame:
-    """Texts and labels outside the held-out fold, about ``max_rows`` at most, never more than 1.2 times that."""
+             max_rows: int = MAX_TRAIN) -> DataFrame:
+    """Whole texts and labels outside the held-out fold, about ``max_rows`` at most, never more than 1.2 times that."""
     rows = pick(labels, doc_id="bigint", **{column: "int"}).where(
         F.col(column).isNotNull() & (fold("doc_id", parts) != held_out)).withColumnRenamed(column, "label")
     n = rows.count()
     rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(min(1.0, max_rows / max(n, 1)) * 1_000_000))
     rows = F.broadcast(rows.limit(max_rows * 6 // 5))
-    return documents(docs).join(rows, "doc_id").where(F.octet_length("text") <= max_bytes)
+    return documents(docs).join(rows, "doc_id")
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

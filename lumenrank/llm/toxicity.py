@@ -12,8 +12,8 @@ state.  A chain is a line of text, in pieces of at most ``CHAIN`` words.  Forwar
 gives each token's marginal; a document's score is a logistic curve over its largest
 marginal and the sum of its marginals, and tokens of 1/2 or more are its spans.
 
-Training takes at most ``MAX_TRAIN`` documents of each class, of at most
-``MAX_TRAIN_BYTES`` each, chosen by a hash of the id.  Scoring is one pass, no shuffle.
+Training takes at most ``MAX_TRAIN`` documents of each class, chosen by a hash of the id,
+with their whole texts.  Scoring is one pass, no shuffle.
 
 Defined results: null text is empty and gets the score of a text without toxic tokens;
 null labels are not used; if a class is missing, every score is the share of label 1
@@ -35,7 +35,6 @@ from .quality import _logistic, _sigmoid, labelled
 from .tables import documents, fold, pick, read
 
 MAX_TRAIN = 2_000
-MAX_TRAIN_BYTES = 20_000
 CHAIN = 128
 PREFIXES = (4, 5, 6)
 BITS = 18
@@ -212,12 +211,12 @@ def fit(texts: list[str], label: np.ndarray) -> Field:
 
 
 def train(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: int = 2,
-          max_rows: int = MAX_TRAIN, max_bytes: int = MAX_TRAIN_BYTES) -> Field:
+          max_rows: int = MAX_TRAIN) -> Field:
     known = pick(labels, doc_id="bigint", toxic="int")
     rows = []
     for value in (0, 1):
-        rows += labelled(docs, known.where(F.col("toxic") == value), "toxic", parts, held_out, max_rows,
-                         max_bytes).select("text", "label").orderBy("text").collect()
+        rows += labelled(docs, known.where(F.col("toxic") == value), "toxic", parts, held_out, max_rows
+                         ).select("text", "label").orderBy("text").collect()
     return fit([r.text for r in rows], np.array([r.label for r in rows], int))
 
 
