@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from lumenrank.functions.text import tokens
@@ -138,10 +138,23 @@ def build_blocks(corpus: DataFrame, id_col: str = "id", text_col: str = "text",
     return src.mapInArrow(build, schema)
 
 
+def check_complete(documents: int, indexed: int) -> None:
+    """Every document is in the index, once."""
+    if documents != indexed:
+        raise ValueError(f"{indexed} of {documents} documents are in the index")
+
+
 def build_index(corpus: DataFrame, id_col: str = "id", text_col: str = "text", k1: float = K1, b: float = B,
                 vectors: DataFrame | None = None, vector_col: str = "vector") -> LexicalIndex:
-    """Blocks written to the shared folder, and N and the average length read from them."""
-    blocks = stored(build_blocks(corpus, id_col, text_col, vectors, vector_col), "blocks")
+    """Blocks written to the shared folder, and N and the average length read from them.
+
+    V13: documents read and documents written are counted by the write itself; a failed
+    row ends the job, and a wrong count is an error.
+    """
+    came, went = Observation(), Observation()
+    blocks = build_blocks(corpus.observe(came, F.count(F.lit(1)).alias("n")), id_col, text_col, vectors, vector_col)
+    blocks = stored(blocks.observe(went, F.coalesce(F.sum(F.size("ids")), F.lit(0)).alias("n")), "blocks")
+    check_complete(came.get["n"], went.get["n"])
     length = F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)
     n, total = blocks.agg(F.sum(F.size("ids")), F.sum(length)).first()
     return LexicalIndex(blocks, n or 0, float(total or 0) / n if n else 0.0, k1, b)

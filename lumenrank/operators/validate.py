@@ -140,22 +140,35 @@ def rejected_rows(rs: RetrievalSet) -> DataFrame:
 
     A corpus row is named by its id; ``n`` counts its rows (for ``id_unique``, those
     beyond the one that stays).  A judgment has the first rule that it breaks, in the
-    order score, document, query; a document without text does not exist for it.
+    order score, document, query; a document or query without text does not exist for it.
+    A query has the rule ``has_judgment`` if no judgment of it is left.
     """
     rs = normalised(rs)
     none = F.lit(None).cast("string")
     bad = F.when(F.col("id").isNull(), F.lit("id_not_null")).when(F.col("text").isNull(), F.lit("text_present"))
-    broken = (rs.corpus.select("id", bad.alias("rule")).where(F.col("rule").isNotNull())
-              .groupBy("rule", "id").agg(F.count(F.lit(1)).alias("n")))
-    usable = _usable(rs.corpus).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    corpus = broken.unionByName(usable.where("n > 1").select(F.lit("id_unique").alias("rule"), "id", (F.col("n") - 1).alias("n"))).select(
-        F.lit("corpus").alias("table_name"), "rule", none.alias("query_id"), F.col("id").alias("corpus_id"), "n")
+
+    def of_table(table: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Broken rows (rule, id, n), and the usable ids with their numbers of rows."""
+        broken = (table.select("id", bad.alias("rule")).where(F.col("rule").isNotNull())
+                  .groupBy("rule", "id").agg(F.count(F.lit(1)).alias("n")))
+        usable = _usable(table).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        return broken.unionByName(usable.where("n > 1").select(
+            F.lit("id_unique").alias("rule"), "id", (F.col("n") - 1).alias("n"))), usable
+
+    broken, usable = of_table(rs.corpus)
+    corpus = broken.select(F.lit("corpus").alias("table_name"), "rule", none.alias("query_id"), F.col("id").alias("corpus_id"), "n")
+    broken, usable_queries = of_table(rs.queries)
+    judged = clean(rs).qrels.select(F.col("query_id").alias("id"))
+    idle = (usable_queries.join(judged, "id", "left_anti")
+            .select(F.lit("has_judgment").alias("rule"), "id", F.lit(1).cast("long").alias("n")))
+    queries = broken.unionByName(idle).select(F.lit("queries").alias("table_name"), "rule", F.col("id").alias("query_id"),
+                                              none.alias("corpus_id"), "n")
     there = usable.select(F.col("id").alias("corpus_id"), F.lit(True).alias("_c"))
-    asked = rs.queries.select(F.col("id").alias("query_id")).distinct().withColumn("_q", F.lit(True))
+    asked = usable_queries.select(F.col("id").alias("query_id"), F.lit(True).alias("_q"))
     rule = (F.when(~_finite(F.col("score")), F.lit("score_finite")).when(F.col("_c").isNull(), F.lit("corpus_id_exists"))
             .when(F.col("_q").isNull(), F.lit("query_id_exists")))
     qrels = rs.qrels.select("query_id", "corpus_id", "score").join(there, "corpus_id", "left").join(asked, "query_id", "left")
-    return corpus.unionByName(qrels.select(F.lit("qrels").alias("table_name"), rule.alias("rule"), "query_id", "corpus_id",
+    return corpus.unionByName(queries).unionByName(qrels.select(F.lit("qrels").alias("table_name"), rule.alias("rule"), "query_id", "corpus_id",
                                            F.lit(1).cast("long").alias("n")).where(F.col("rule").isNotNull()))
 
 
@@ -163,11 +176,14 @@ def clean(rs: RetrievalSet) -> RetrievalSet:
     """Coerce and keep what the rules allow: finite scores, both ends resolved,
     queries restricted to those with a judgment (V12 / J3).  ``rejected_rows`` lists the rest."""
     rs = normalised(rs)
-    corpus = _usable(rs.corpus)
-    corpus = (corpus.groupBy("id").agg(F.min(F.struct("text", *[c for c in corpus.columns if c not in ("id", "text")])).alias("_r"))
-              .select("id", "_r.*"))  # the smallest of several rows, not an arbitrary one
+    def one_of_each(table: DataFrame) -> DataFrame:
+        """The smallest of several rows of an id, not an arbitrary one."""
+        rest = [c for c in table.columns if c not in ("id", "text")]
+        return _usable(table).groupBy("id").agg(F.min(F.struct("text", *rest)).alias("_r")).select("id", "_r.*")
+
+    corpus, asked = one_of_each(rs.corpus), one_of_each(rs.queries)
     qrels = (rs.qrels.where(_finite(F.col("score")))
              .join(corpus.select(F.col("id").alias("corpus_id")), "corpus_id", "left_semi")
-             .join(rs.queries.select(F.col("id").alias("query_id")), "query_id", "left_semi"))
-    queries = rs.queries.join(qrels.select(F.col("query_id").alias("id")), "id", "left_semi")
+             .join(asked.select(F.col("id").alias("query_id")), "query_id", "left_semi"))
+    queries = asked.join(qrels.select(F.col("query_id").alias("id")), "id", "left_semi")
     return RetrievalSet(corpus, queries, qrels)

@@ -6,6 +6,8 @@ Ids are strings (X2), relevance judgments use ``(query_id, corpus_id, score)``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -197,3 +199,42 @@ def catalog_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (g.select(F.col("source").alias("dataset"), "lang", F.explode(roles).alias("role"))
             .where(F.col("role").isNotNull())
             .select("dataset", F.concat(F.col("lang"), F.lit("-"), F.col("role")).alias("config")))
+
+
+def _datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return d.select("doc_id", "lang", F.concat("source", F.lit("/"), (F.col("doc_id") % 40).cast("string")).alias("dataset"))
+
+
+def config_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """CONFIGS: data sets (source, doc_id mod 40) with language configurations, roles left out
+    by doc_id, and standard ones (lang, doc_id mod 6); requests with none, own and unknown languages."""
+    k = _datasets(spark, sf_dir)
+    of, i = F.concat("lang", F.lit("/"), (F.col("doc_id") % 6).cast("string")), F.col("doc_id")
+
+    def named(where, dataset, config):
+        return k.where(where).select(dataset.alias("dataset"), config.alias("config"))
+
+    every, own = F.lit(True), F.col("dataset")
+    parts = [named(every, own, F.concat("lang", F.lit("-corpus"))), named(i % 5 != 0, own, F.concat("lang", F.lit("-queries"))),
+             named(i % 7 != 0, own, F.concat("lang", F.lit("-qrels"))), named(every, of, F.lit("corpus")),
+             named(i % 6 != 1, of, F.lit("queries")), named(i % 6 == 2, of, F.lit("qrels")),
+             named((i % 6).isin(2, 3), of, F.lit("default"))]
+    configs = reduce(DataFrame.unionByName, parts).distinct()
+    asked = [configs.select("dataset", F.lit(None).cast("string").alias("language")), k.select("dataset", F.col("lang").alias("language")),
+             k.where(i % 2 == 0).select(of.alias("dataset"), F.col("lang").alias("language")),
+             k.where(i % 3 == 0).select("dataset", F.lit("xx").alias("language"))]
+    return configs, reduce(DataFrame.unionByName, asked).distinct()
+
+
+def split_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """SPLITS: data sets (source, doc_id mod 40) whose roles have splits named by language or
+    by role, some none; requests without a split, for own ones and for 'test'."""
+    k, i = _datasets(spark, sf_dir), F.col("doc_id")
+    role = lambda where, name, split: k.where(where).select("dataset", F.lit(name).alias("role"), split.alias("split"))
+    splits = (role(i % 11 != 0, "corpus", F.when(i % 3 == 0, F.lit("corpus")).otherwise(F.col("lang")))
+              .unionByName(role(i % 13 != 0, "queries", F.when(i % 4 == 0, F.lit("queries")).otherwise(F.col("lang"))))
+              .unionByName(role(i % 17 != 0, "qrels", F.col("lang")))).distinct()
+    asked = [k.select("dataset", F.lit(None).cast("string").alias("split")), k.where(i % 2 == 0).select("dataset", F.col("lang").alias("split")),
+             k.where(i % 19 == 0).select("dataset", F.lit("test").alias("split"))]
+    return splits, reduce(DataFrame.unionByName, asked).distinct()

@@ -258,6 +258,12 @@ SELECT 'corpus' AS table_name, CASE WHEN id IS NULL THEN 'id_not_null' ELSE 'tex
 FROM d_corpus WHERE id IS NULL OR text IS NULL GROUP BY 2, id
 UNION ALL SELECT 'corpus', 'id_unique', NULL, CAST(id AS VARCHAR), count(*) - 1
   FROM d_corpus WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'queries', CASE WHEN id IS NULL THEN 'id_not_null' ELSE 'text_present' END,
+       CAST(id AS VARCHAR), NULL, count(*) FROM d_queries WHERE id IS NULL OR text IS NULL GROUP BY 2, id
+UNION ALL SELECT 'queries', 'id_unique', CAST(id AS VARCHAR), NULL, count(*) - 1
+  FROM d_queries WHERE id IS NOT NULL AND text IS NOT NULL GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT DISTINCT 'queries', 'has_judgment', CAST(id AS VARCHAR), NULL, 1
+  FROM d_queries WHERE id IS NOT NULL AND text IS NOT NULL AND CAST(id AS VARCHAR) NOT IN (SELECT query_id FROM c_qrels)
 UNION ALL SELECT 'qrels', rule, query_id, corpus_id, 1 FROM (
   SELECT *, CASE WHEN score IS NULL OR isnan(score) OR isinf(score) THEN 'score_finite'
                  WHEN corpus_id NOT IN (SELECT id FROM c_corpus) THEN 'corpus_id_exists'
@@ -540,3 +546,72 @@ SELECT suite, lang_n AS lang, best_name, best_rank FROM (
   SELECT suite, lang_n, name AS best_name, rank AS best_rank,
          row_number() OVER (PARTITION BY suite, lang_n ORDER BY rank DESC, name DESC) AS rn
   FROM norm) WHERE rn = 1"""
+
+# --- configurations and splits ------------------------------------------------
+
+_SQL["config_resolution"] = r"""
+WITH k AS (SELECT DISTINCT doc_id, source || '/' || (doc_id % 40) AS dataset, lang FROM documents),
+lab AS (SELECT DISTINCT doc_id FROM labels),
+c AS (
+  SELECT DISTINCT dataset, lang || '-corpus' AS config FROM k
+  UNION SELECT dataset, lang || '-queries' FROM k WHERE doc_id % 5 <> 0
+  UNION SELECT dataset, lang || '-qrels' FROM k WHERE doc_id % 7 <> 0
+  UNION SELECT lang || '/' || (doc_id % 6), 'corpus' FROM k
+  UNION SELECT lang || '/' || (doc_id % 6), 'queries' FROM k WHERE doc_id % 6 <> 1
+  UNION SELECT lang || '/' || (doc_id % 6), 'qrels' FROM k WHERE doc_id % 6 = 2
+  UNION SELECT lang || '/' || (doc_id % 6), 'default' FROM k WHERE doc_id % 6 IN (2, 3)),
+r AS (SELECT DISTINCT dataset, NULL::VARCHAR AS language FROM c
+      UNION SELECT dataset, lang FROM k UNION SELECT lang || '/' || (doc_id % 6), lang FROM k WHERE doc_id % 2 = 0
+      UNION SELECT dataset, 'xx' FROM k WHERE doc_id % 3 = 0),
+per AS (
+  SELECT dataset, bool_or(config = 'corpus') AND bool_or(config = 'queries') AS standard,
+         bool_or(config = 'qrels') AS q, bool_or(config = 'default') AS f FROM c GROUP BY dataset),
+l AS (
+  SELECT a.dataset, substr(a.config, 1, length(a.config) - 7) AS lang FROM c a
+  WHERE a.config LIKE '%-corpus'
+    AND EXISTS (SELECT 1 FROM c b WHERE b.dataset = a.dataset AND b.config = substr(a.config, 1, length(a.config) - 7) || '-queries')
+    AND EXISTS (SELECT 1 FROM c b WHERE b.dataset = a.dataset AND b.config = substr(a.config, 1, length(a.config) - 7) || '-qrels')),
+n AS (SELECT dataset, list_sort(list(lang)) AS langs FROM l GROUP BY dataset),
+e AS (
+  SELECT r.dataset, r.language, p.standard, p.q, coalesce(n.langs, []::VARCHAR[]) AS langs,
+         CASE WHEN p.standard THEN CASE WHEN r.language IS NOT NULL THEN 'language_refused' WHEN NOT p.q AND NOT p.f THEN 'qrels_missing' END
+              WHEN n.langs IS NULL THEN 'incomplete'
+              WHEN r.language IS NULL THEN CASE WHEN len(n.langs) > 1 THEN 'language_needed' END
+              WHEN NOT list_contains(n.langs, r.language) THEN 'language_unknown' END AS error
+  FROM r JOIN per p USING (dataset) LEFT JOIN n USING (dataset)),
+u AS (SELECT *, CASE WHEN error IS NULL AND NOT standard THEN coalesce(language, langs[1]) END AS resolved FROM e)
+SELECT dataset, language, resolved,
+       CASE WHEN error IS NULL THEN CASE WHEN standard THEN 'corpus' ELSE resolved || '-corpus' END END AS corpus_config,
+       CASE WHEN error IS NULL THEN CASE WHEN standard THEN 'queries' ELSE resolved || '-queries' END END AS queries_config,
+       CASE WHEN error IS NULL THEN CASE WHEN NOT standard THEN resolved || '-qrels' WHEN q THEN 'qrels' ELSE 'default' END END AS qrels_config,
+       error, CASE WHEN error IN ('language_needed', 'language_unknown') THEN langs ELSE []::VARCHAR[] END AS choices
+FROM u"""
+
+_SQL["split_matching"] = r"""
+WITH k AS (SELECT doc_id, source || '/' || (doc_id % 40) AS dataset, lang FROM documents),
+s AS (
+  SELECT DISTINCT dataset, 'corpus' AS role, CASE WHEN doc_id % 3 = 0 THEN 'corpus' ELSE lang END AS split FROM k WHERE doc_id % 11 <> 0
+  UNION SELECT dataset, 'queries', CASE WHEN doc_id % 4 = 0 THEN 'queries' ELSE lang END FROM k WHERE doc_id % 13 <> 0
+  UNION SELECT dataset, 'qrels', lang FROM k WHERE doc_id % 17 <> 0),
+r AS (SELECT DISTINCT dataset, NULL::VARCHAR AS split FROM k UNION SELECT dataset, lang FROM k WHERE doc_id % 2 = 0
+      UNION SELECT dataset, 'test' FROM k WHERE doc_id % 19 = 0),
+n AS (
+  SELECT dataset, coalesce(list_sort(list(split) FILTER (WHERE role = 'corpus')), []::VARCHAR[]) AS cs,
+         coalesce(list_sort(list(split) FILTER (WHERE role = 'queries')), []::VARCHAR[]) AS qs,
+         coalesce(list_sort(list(split) FILTER (WHERE role = 'qrels')), []::VARCHAR[]) AS js FROM s GROUP BY dataset),
+h AS (
+  SELECT r.dataset, r.split, coalesce(cs, []::VARCHAR[]) AS cs, coalesce(qs, []::VARCHAR[]) AS qs, coalesce(js, []::VARCHAR[]) AS js,
+         CASE WHEN r.split IS NULL THEN CASE WHEN len(js) = 1 THEN js[1] END WHEN list_contains(js, r.split) THEN r.split END AS j
+  FROM r LEFT JOIN n USING (dataset)),
+m AS (
+  SELECT *, CASE WHEN list_contains(qs, j) THEN j WHEN list_contains(qs, 'queries') THEN 'queries' END AS q,
+         CASE WHEN list_contains(cs, 'corpus') THEN 'corpus' WHEN list_contains(cs, j) THEN j WHEN len(cs) = 1 THEN cs[1] END AS c FROM h),
+e AS (
+  SELECT *, CASE WHEN len(cs) = 0 THEN 'corpus_missing' WHEN len(qs) = 0 THEN 'queries_missing' WHEN len(js) = 0 THEN 'qrels_missing'
+                 WHEN j IS NULL AND split IS NOT NULL THEN 'split_unknown' WHEN j IS NULL THEN 'split_needed'
+                 WHEN q IS NULL THEN 'queries_unmatched' WHEN c IS NULL THEN 'corpus_ambiguous' END AS error FROM m)
+SELECT dataset, split, CASE WHEN error IS NULL THEN j END AS qrels_split, CASE WHEN error IS NULL THEN q END AS query_split,
+       CASE WHEN error IS NULL THEN c END AS corpus_split, error,
+       CASE WHEN error IN ('split_unknown', 'split_needed') THEN js WHEN error = 'queries_unmatched' THEN qs
+            WHEN error = 'corpus_ambiguous' THEN cs ELSE []::VARCHAR[] END AS choices
+FROM e"""

@@ -383,3 +383,17 @@ def catalog_best_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = t.select(F.concat(F.lit("MTEB("), F.col("lang"), F.lit(", "), F.col("version"),
                               F.lit(")")).alias("name")).distinct()
     return catalog.best_versions(names)
+
+
+@register("config_resolution")
+def config_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The configurations that each request resolves to, or why it does not."""
+    from lumenrank.operators import configs
+    return configs.resolve(*fixtures.config_requests(spark, sf_dir))
+
+
+@register("split_matching")
+def split_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The splits that belong together per request, or why there are none."""
+    from lumenrank.operators import configs
+    return configs.match_splits(*fixtures.split_requests(spark, sf_dir))
