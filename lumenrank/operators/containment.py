@@ -12,9 +12,9 @@ the candidates with ``instr``.  The anchor keeps candidate lists short even
 when a passage is made of common words, and nothing is broadcast unless its
 size has been checked.
 
-Passages with fewer than three words have no interior word; they are matched
-by a broadcast ``instr`` scan only when their count is within the bound, else
-the call fails rather than silently dropping matches.
+Passages with fewer than three words have no interior word.  They are joined on
+their first characters (at most ``GRAM``) with the documents' character runs of
+the same lengths, and longer ones verified; this pass is made only if there are any.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lumenrank.functions.text import words
 from lumenrank.session import bounded_broadcast
 
-SHORT_PASSAGE_BOUND = 10_000
+GRAM = 16       # characters of a short passage that candidates must have
 
 
 def pairs(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
@@ -53,15 +53,22 @@ def pairs(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
                  .where(F.instr("doc_text", F.col("ptext")) > 0)
                  .select("item_id", "doc_id"))
 
-    short = p.where(F.size("pw") < 3).select("item_id", "ptext")
-    n_short = short.limit(SHORT_PASSAGE_BOUND + 1).count()
-    if n_short == 0:
-        return long_hits
-    if n_short > SHORT_PASSAGE_BOUND:
-        raise ValueError("too many passages under three words for an exact containment scan")
-    short_hits = (d.join(F.broadcast(short), F.instr("doc_text", F.col("ptext")) > 0)
-                  .select("item_id", "doc_id"))
-    return long_hits.unionByName(short_hits)
+    short = (p.where(F.size("pw") < 3).select("item_id", "ptext", F.substring("ptext", 1, GRAM).alias("gram"))
+             .withColumn("size", F.length("gram")))
+    sizes = sorted(r["size"] for r in short.select("size").distinct().collect())     # GRAM values at most
+    return long_hits.unionByName(_short_hits(d, short, sizes)) if sizes else long_hits
 
 
-__all__ = ["pairs", "bounded_broadcast"]
+def _short_hits(d: DataFrame, short: DataFrame, sizes: list[int]) -> DataFrame:
+    """Documents with each short passage: an equi-join on character runs of the given sizes."""
+    signs, n = F.col("signs"), F.size("signs")
+    runs = [F.when(n >= g, F.transform(F.sequence(F.lit(1), n - g + 1), lambda i, g=g: F.array_join(F.slice(signs, i, g), "")))
+            .otherwise(F.array().cast("array<string>")) for g in sizes]
+    grams = (d.select("doc_id", F.regexp_extract_all("doc_text", F.lit("(?s)."), F.lit(0)).alias("signs"))
+             .select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("gram")))
+    grams = grams.join(bounded_broadcast(short.select("gram").distinct()), "gram", "left_semi")
+    found = grams.join(short, "gram").select("doc_id", "item_id", "ptext", "size")
+    whole = found.where(F.length("ptext") == F.col("size")).select("item_id", "doc_id")
+    rest = (found.where(F.length("ptext") > F.col("size")).join(d, "doc_id")
+            .where(F.instr("doc_text", F.col("ptext")) > 0).select("item_id", "doc_id"))
+    return whole.unionByName(rest)

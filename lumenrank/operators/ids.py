@@ -21,8 +21,8 @@ def dense_ids(df: DataFrame, out_col: str, order_cols: list[str] | None = None,
     index, then position inside the partition), like a positional id.
     """
     if order_cols:
-        n = n_partitions or df.sparkSession.sparkContext.defaultParallelism
-        x = df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+        ranged = df.repartitionByRange(n_partitions, *order_cols) if n_partitions else df.repartitionByRange(*order_cols)
+        x = ranged.sortWithinPartitions(*order_cols)
     else:
         x = df
     # materialise once: the counts job and the numbering must see the same

@@ -113,7 +113,7 @@ def compute_metrics(ranking: DataFrame, qrels: DataFrame, n_queries: int,
     """
     validate_cutoffs(cutoffs)
     if n_queries <= 0:
-        raise ValueError("query result collection cannot be empty")
+        raise ValueError("metrics of no queries are undefined")
     fr = first_relevant(ranking, qrels, run_cols)
     cols = _metric_columns(cutoffs)
     sums = fr.groupBy(*run_cols).agg(*[F.sum(c).alias(n) for n, c in cols])

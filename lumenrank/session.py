@@ -21,11 +21,14 @@ ARROW_BYTES = "4m"
 
 def get_spark(master: str | None = None, app: str = "lumenrank",
               shuffle_partitions: int | None = None) -> SparkSession:
-    """Create or reuse a session with AQE, skew-join handling and Arrow on."""
+    """Create or reuse a session with AQE, skew-join handling and Arrow on.
+
+    The number of shuffle partitions is set only if it is given: it belongs to the size of
+    the data, not to the driver's machine, and AQE merges small partitions but splits none.
+    """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    cpus = os.cpu_count() or 8
     builder = (
         builder
         .config("spark.ui.enabled", "false")
@@ -40,13 +43,14 @@ def get_spark(master: str | None = None, app: str = "lumenrank",
         .config("spark.sql.adaptive.autoBroadcastJoinThreshold", "32MB")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
         # text rows explode ~10x into tokens: keep scan splits modest so a
         # task's exploded rows stay small and every core gets work.
         .config("spark.sql.files.maxPartitionBytes", "32MB")
         .config("spark.sql.files.openCostInBytes", "1MB")
         .config("spark.driver.memory", os.environ.get("LUMENRANK_DRIVER_MEMORY", "16g"))
     )
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -93,11 +93,13 @@ def test_dense_ids_sequential(spark):
 def test_containment_matches_brute_force(spark):
     docs = [(1, "alpha beta gamma delta"), (2, "xx beta gamma deltaz"), (3, "nothing here at all"),
             (4, "pre alpha beta gamma delta post")]
-    items = [(10, "alpha beta gamma"), (11, "beta gamma delta"), (12, "at"), (13, "zzz yyy xxx")]
+    docs += [(5, "a\U0001f600b long-unbroken-run-of-signs here"), (6, ""), (7, None)]
+    items = [(10, "alpha beta gamma"), (11, "beta gamma delta"), (12, "at"), (13, "zzz yyy xxx"), (14, "\U0001f600"), (15, "a"),
+             (16, "long-unbroken-run-of-signs"), (17, "long-unbroken-run-of-sounds"), (18, "gamma del"), (19, None), (20, "")]
     d = spark.createDataFrame(docs, "doc_id long, text string")
     b = spark.createDataFrame(items, "item_id long, text string")
     got = sorted(tuple(r) for r in containment.pairs(d, b).collect())
-    want = sorted((i, di) for i, t in items for di, dt in docs if t in dt)
+    want = sorted((i, di) for i, t in items for di, dt in docs if t and dt and t in dt)
     assert got == want
 
 
