@@ -19,7 +19,7 @@ the same lengths, and longer ones verified; this pass is made only if there are
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lumenrank.functions.text import words
@@ -62,10 +62,13 @@ def pairs(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
 def _short_hits(d: DataFrame, short: DataFrame, sizes: list[int]) -> DataFrame:
     """Documents with each short passage: an equi-join on character runs of the given sizes."""
     signs, n = F.col("signs"), F.size("signs")
-    runs = [F.when(n >= g, F.transform(F.sequence(F.lit(1), n - g + 1), lambda i, g=g: F.array_join(F.slice(signs, i, g), "")))
-            .otherwise(F.array().cast("array<string>")) for g in sizes]
+
+    def runs_of(g: int) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), n - g + 1), lambda i: F.array_join(F.slice(signs, i, g), ""))
+        return F.when(n >= g, runs).otherwise(F.array().cast("array<string>"))
+
     grams = (d.select("doc_id", F.regexp_extract_all("doc_text", F.lit("(?s)."), F.lit(0)).alias("signs"))
-             .select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*runs)))).alias("gram")))
+             .select("doc_id", F.explode(F.array_distinct(F.flatten(F.array(*[runs_of(g) for g in sizes])))).alias("gram")))
     grams = grams.join(bounded_broadcast(short.select("gram").distinct()), "gram", "left_semi")
     found = grams.join(short, "gram").select("doc_id", "item_id", "ptext", "size")
     whole = found.where(F.length("ptext") == F.col("size")).select("item_id", "doc_id")
