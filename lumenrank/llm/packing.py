@@ -38,7 +38,7 @@ CAPACITY = 2048
 END_ID = 0
 SALTS = 64
 TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 250_000
+CACHED_WORDS = 300_000
 
 # What may be encoded by itself.  The vocabulary's rule cuts between letters and other
 # characters, so an ASCII or Latin-1 letter run and an ASCII sign run are whole units if
@@ -52,8 +52,9 @@ _WHOLE = re.compile(rb"[\xcc\xcd]|<\|")
 class Encoder:
     """Token ids of texts as little-endian bytes, remembering units it has met.
 
-    The units of a chunk of texts that are not known yet are learned together.  Two
-    generations of about ``CACHED_WORDS`` units (and one chunk's) bound the memory.
+    The units of a chunk of texts that are not known yet are learned together.  With
+    ``CACHED_WORDS`` units everything is forgotten, so that many and one chunk's bound the
+    memory; frequent units are back after a chunk or two.
     """
 
     def __init__(self, path: str):
@@ -63,8 +64,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[bytes]) -> list[np.ndarray]:
         coded = self.tokenizer.encode_batch([x.decode("utf-8", "replace") for x in texts], add_special_tokens=False)
@@ -77,19 +77,17 @@ class Encoder:
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()    # letter runs end in exactly one word-end token
             if len(cuts) == len(part):
                 data = ids.tobytes()
-                self.young.update(zip(part, (data[4 * i:4 * j] for i, j in zip([0, *cuts], cuts))))
-        rest = [u for u in units if u not in self.young]
-        self.young.update(zip(rest, (x.tobytes() for x in self._ids(rest))))
+                self.known.update(zip(part, (data[4 * i:4 * j] for i, j in zip([0, *cuts], cuts))))
+        rest = [u for u in units if u not in self.known]
+        self.known.update(zip(rest, (x.tobytes() for x in self._ids(rest))))
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         units = [None if _WHOLE.search(x) else _UNIT.findall(x.lower()) for x in texts]
-        new = set(chain.from_iterable(u for u in units if u is not None)).difference(self.young)
-        self.young.update((u, self.old[u]) for u in new if u in self.old)
-        self._learn([u for u in new if u not in self.young])
+        self._learn(list(set(chain.from_iterable(u for u in units if u is not None)).difference(self.known)))
         whole = iter(self._ids([x for x, u in zip(texts, units) if u is None]))
-        out = [next(whole).tobytes() if u is None else b"".join(map(self.young.__getitem__, u)) for u in units]
-        if len(self.young) > CACHED_WORDS:
-            self.old, self.young = self.young, {}
+        out = [next(whole).tobytes() if u is None else b"".join(map(self.known.__getitem__, u)) for u in units]
+        if len(self.known) > CACHED_WORDS:
+            self.known = {}
         return out
 
 
