@@ -81,7 +81,11 @@ class Encoder:
         rest = [u for u in units if u not in self.known]
         self.known.update(zip(rest, (x.tobytes() for x in self._ids(rest))))
 
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
+    def __call__(self, text: bytes) -> bytes:
+        return self.all([text])[0]
+
+    def all(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of each text of a chunk."""
         units = [None if _WHOLE.search(x) else _UNIT.findall(x.lower()) for x in texts]
         self._learn(list(set(chain.from_iterable(u for u in units if u is not None)).difference(self.known)))
         whole = iter(self._ids([x for x, u in zip(texts, units) if u is None]))
@@ -114,7 +118,7 @@ def cut_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id:
         encode = _encoder(path)
         for batch in batches:
             for c in chunks(batch.column("text")):
-                ids = [x + end for x in encode([c.text(i) for i in range(c.rows)])]
+                ids = [x + end for x in encode.all([c.text(i) for i in range(c.rows)])]
                 rows = [(i, p, s) for i, x in enumerate(ids)
                         for p, s in enumerate(range(0, len(x), 4 * capacity))]
                 parts = [ids[i][s:s + 4 * capacity] for i, _, s in rows]
