@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -152,6 +153,36 @@ def test_greedy_sampling_matches_sequential(spark, seed):
     assert got == set(_sequential_greedy(order, pos, budget))
 
 
+def _by_seed(ids, seed):
+    import hashlib
+    return sorted(ids, key=lambda q: (hashlib.md5(f"{q}:{seed}".encode()).hexdigest(), q))
+
+
+def _greedy(spark, pos, budget, seed):
+    queries = spark.createDataFrame([(q, q) for q in pos], "id string, text string")
+    pairs = spark.createDataFrame([(q, d) for q, ds in pos.items() for d in ds], "query_id string, doc_id string")
+    rounds = [{r.query_id for r in part.collect()} for part in sampling.greedy_rounds(queries, pairs, budget, seed)]
+    return set().union(*rounds), len(rounds)
+
+
+def test_greedy_rounds_stay_logarithmic(spark):
+    """One small query, then one that needs all that was free before it: an overflow at each second query."""
+    order = _by_seed([f"q{i}" for i in range(121)], 5)
+    pos = {order[0]: {"start"}}
+    for i, q in enumerate(order[1:]):
+        pos[q] = {f"s{i}"} if i % 2 == 0 else {f"b{i}-{j}" for j in range(60 - i // 2)}
+    got, rounds = _greedy(spark, pos, 61, 5)
+    assert got == set(_sequential_greedy(order, pos, 61)) and rounds <= 8
+
+
+@pytest.mark.parametrize("seed,budget", [(4, 9), (5, 30), (6, 60)])
+def test_greedy_with_large_and_overlapping_queries(spark, seed, budget):
+    rnd = random.Random(seed)
+    pos = {f"q{i}": {f"d{rnd.randint(0, 90)}" for _ in range(rnd.choice([0, 1, 2, 9, 25]))} for i in range(60)}
+    got, rounds = _greedy(spark, pos, budget, seed)
+    assert got == set(_sequential_greedy(_by_seed(pos, seed), pos, budget)) and rounds <= math.log2(budget) + 3
+
+
 def test_sampling_keeps_positives_above_target(spark):
     corpus = spark.createDataFrame([(f"d{i}", "t") for i in range(4)], "id string, text string")
     queries = spark.createDataFrame([("q1", "t")], "id string, text string")
