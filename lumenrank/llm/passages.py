@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .arrays import WIDE, Chunk, Words, _powers, chunks, distinct_per_row, join_hash, mix, ngrams, words
 from .near_duplicates import THRESHOLD, link_in_buckets, verified
-from .tables import documents, keep, read, sent_if_small
+from .tables import documents, keep, read, scratch, sent_if_small
 
 SHINGLE = 5
 BANDS, ROWS = 3, 2
@@ -157,9 +157,17 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "text_key", "paragraph", "start", "end", "n_words", "before", "after", "id"])
 
 
+ENDS = ("doc_id long, text_key long, paragraph int, side int, passage long, least int, near int, "
+        "keys array<long>, far array<int>")
+
+
 def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words before (side 0) or after (side 1) the paragraphs listed in ``beside``, one row for each number
-    of words up to ``LEAST_WORDS`` beyond the next paragraph: its key, from component and words, and range of code points."""
+    """A row for each of the ends listed in ``beside``: words before (side 0) or after (side 1) a paragraph.
+
+    ``keys`` has, for each number of words up to ``LEAST_WORDS`` beyond the next paragraph, the key
+    of that many words and the component; ``near`` is the code point where they begin beside the
+    paragraph, ``far`` those where they end.
+    """
     for batch in batches:
         for c in chunks(batch.column("text")):
             p, w = (q := paragraphs(c)), q.words
@@ -178,19 +186,23 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo = np.where(side == 1, w.offsets[at], np.maximum(w.offsets[at] - LEAST_WORDS, w.offsets[first[of]]))
             row_end = w.offsets[np.append(first[1:], len(p.row))[of]]
             size = np.where(side == 1, np.minimum(w.offsets[at + 1] + LEAST_WORDS, row_end), w.offsets[at + 1]) - lo
+            offsets = np.concatenate([[0], np.cumsum(size)])
             one = np.repeat(np.arange(len(at)), size)
-            k = np.arange(len(one)) - np.repeat(np.cumsum(size) - size, size) + 1
+            k = np.arange(len(one)) - offsets[one] + 1
             right = side[one] == 1
             begin = np.where(right, lo[one], (lo + size)[one] - k)
             end = np.where(right, lo[one] + k, (lo + size)[one])
             key = mix((total[end] - total[begin]) * down[begin] ^ mix(group.astype(np.int64).view(np.uint64) * np.uint64(2) + side.astype(np.uint64))[one])
-            zero = points[c.offsets[of[one]]]
+            zero = points[c.offsets[of]]
+            far = np.where(right, points[w.end[end - 1]], points[w.start[begin]]) - zero[one]
+            near = np.where(side == 1, points[w.start[lo]], points[w.end[lo + size - 1]]) - zero
+            offsets = pa.array(offsets.astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_ids(batch, c)[of[one]]), batch.column("text_key").slice(c.first, c.rows).take(pa.array(of[one])),
-                 pa.array(paragraph[one].astype(np.int32)), pa.array(side[one].astype(np.int32)), pa.array(k.astype(np.int32)),
-                 pa.array((points[w.start[begin]] - zero).astype(np.int32)),
-                 pa.array((points[w.end[end - 1]] - zero).astype(np.int32)), pa.array(key.view(np.int64))],
-                names=["doc_id", "text_key", "paragraph", "side", "n_words", "start", "end", "key"])
+                [pa.array(_ids(batch, c)[of]), batch.column("text_key").slice(c.first, c.rows).take(pa.array(of)),
+                 pa.array(paragraph.astype(np.int32)), pa.array(side.astype(np.int32)), flat.field(3), flat.field(4),
+                 pa.array(near.astype(np.int32)), pa.ListArray.from_arrays(offsets, pa.array(key.view(np.int64))),
+                 pa.ListArray.from_arrays(offsets, pa.array(far.astype(np.int32)))],
+                names=["doc_id", "text_key", "paragraph", "side", "passage", "least", "near", "keys", "far"])
 
 
 def _parts(docs: DataFrame, found: DataFrame, least_passage: int) -> DataFrame:
@@ -198,10 +210,17 @@ def _parts(docs: DataFrame, found: DataFrame, least_passage: int) -> DataFrame:
     passage = Window.partitionBy("doc_id", "text_key", "passage")
     reach = F.sum(F.col("n_words") + F.when(F.col("after_linked"), 0).otherwise(F.col("before") + LEAST_WORDS)
                   + F.when(F.col("linked"), 0).otherwise(F.col("after") + LEAST_WORDS)).over(passage)
+    # a passage too short without its ends needs one with half of the missing words; of the
+    # steps the last one up to that is looked up first
+    missing = F.lit(least_passage) - F.sum("n_words").over(passage)
+    steps = [1 << i for i in range(max(1, ((least_passage + 1) // 2).bit_length()))]
+    half = F.greatest(F.lit(1), F.ceil(missing / 2))
+    least = F.greatest(*[F.when(half >= n, n).otherwise(1) for n in [1, *steps]])
     place = ["doc_id", "text_key", "paragraph"]
-    may = found.withColumn("_reach", reach).where(F.col("_reach") >= least_passage)
-    ends = may.where(~F.col("after_linked") & (F.col("before") > 0)).select(*place, F.lit(0).alias("side"), "group_id").unionByName(
-        may.where(~F.col("linked") & (F.col("after") > 0)).select(*place, F.lit(1).alias("side"), "group_id"))
+    own = [*place, F.col("passage").cast("long").alias("passage"), F.col("_least").cast("int").alias("least"), "group_id"]
+    may = found.withColumn("_reach", reach).withColumn("_least", least).where(F.col("_reach") >= least_passage)
+    ends = may.where(~F.col("after_linked") & (F.col("before") > 0)).select(*own, F.lit(0).alias("side")).unionByName(
+        may.where(~F.col("linked") & (F.col("after") > 0)).select(*own, F.lit(1).alias("side")))
     ends = keep(ends.distinct(), "ends")
     # where a passage goes on, one copy in the first and in the last document is enough to meet ends of others
     inner = found.where("linked")
@@ -211,40 +230,56 @@ def _parts(docs: DataFrame, found: DataFrame, least_passage: int) -> DataFrame:
     inner = inner.join(sent_if_small(keep(ends.select("group_id", "side").distinct(), "sides")), ["group_id", "side"], "left_semi")
     spot = F.struct(*place)
     inner = inner.groupBy("group_id", "side", "other").agg(F.array(F.min(spot), F.max(spot)).alias("_s"))
-    inner = inner.select("group_id", "side", F.explode("_s").alias("_s")).select("_s.*", "side", "group_id")
+    inner = inner.select("group_id", "side", F.explode("_s").alias("_s")).select(
+        "_s.*", "side", "group_id", F.lit(0).cast("long").alias("passage"), F.lit(0).alias("least"))
     all_ends = ends.unionByName(inner)
-    lists = keep(all_ends.groupBy("doc_id", "text_key").agg(
-        F.collect_set(F.struct("paragraph", F.col("side").cast("int").alias("side"), "group_id")).alias("beside")), "beside")
+    lists = keep(all_ends.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(
+        "paragraph", F.col("side").cast("int").alias("side"), "group_id", "passage", "least")).alias("beside")), "beside")
     copies = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "text_key", "text")
     listed = copies.join(sent_if_small(lists, 50_000), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "beside")
-    made = keep(listed.mapInArrow(_ends, "doc_id long, text_key long, paragraph int, side int, n_words int, start int, end int, key long"), "parts")
-    shared = made.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_d")).where("first_doc <> _d").drop("_d")
-    longest = made.join(shared, "key").groupBy(*place, "side").agg(
-        F.max(F.struct("n_words", "start", "end", "key", "first_doc")).alias("_m")).join(ends.drop("group_id"), [*place, "side"], "left_semi")
+    made = keep(listed.mapInArrow(_ends, ENDS), "made")
+
+    def in_two(keys: DataFrame) -> DataFrame:
+        """Keys that two documents have, with the first of them."""
+        return keys.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_d")).where(
+            "first_doc <> _d").drop("_d")
+
+    def of_words(n):
+        return F.get("keys", n - 1)
+
+    looked_up = made.select("doc_id", F.explode(F.array(*[of_words(F.lit(n)) for n in steps])).alias("key")).where("key is not null")
+    mine = ["doc_id", "text_key", "passage"]
+    alive = made.where("least > 0").select(*mine, of_words(F.col("least")).alias("key")).join(
+        in_two(looked_up), "key", "left_semi").select(*mine).distinct()
+    first = of_words(F.lit(1))
+    firsts = made.where("least > 0").join(keep(alive, "alive"), mine, "left_semi").select(first.alias("first")).distinct()
+    wanted = keep(made.withColumn("first", first).join(sent_if_small(keep(firsts, "firsts")), "first", "left_semi")
+                  .select(*place, "side", "least", "near", "keys", "far"), "wanted")
+    one = wanted.select(*place, "side", "least", "near", F.posexplode(F.arrays_zip("keys", "far")).alias("_k", "_e")).select(
+        *place, "side", "least", (F.col("_k") + 1).alias("n_words"), F.col("_e.keys").alias("key"),
+        F.when(F.col("side") == 1, F.col("near")).otherwise(F.col("_e.far")).alias("start"),
+        F.when(F.col("side") == 1, F.col("_e.far")).otherwise(F.col("near")).alias("end"))
+    longest = one.where("least > 0").join(in_two(one), "key").groupBy(*place, "side").agg(
+        F.max(F.struct("n_words", "start", "end", "key", "first_doc")).alias("_m"))
     return longest.groupBy(*place).agg(F.collect_list(F.struct(
         (F.col("paragraph") + 2 * F.col("side") - 1).cast("int").alias("paragraph"), "_m.start", "_m.end", "_m.n_words",
         F.col("_m.key").alias("group_id"), F.col("_m.first_doc").alias("first_doc"))).alias("parts"))
 
 
-def repeated_paragraphs(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
-                        least_passage: int = LEAST_PASSAGE) -> DataFrame:
-    """One row per paragraph of a repeated passage, or part at its ends: its place, its component, and if it is removed."""
-    docs = documents(docs).withColumn("text_key", F.xxhash64("text"))
-    banded = docs.mapInArrow(_bands, "bucket long, id long, low long, high long").repartition("bucket")
-    wide = banded.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_b"), F.min("low").alias("_c"),
-                                        F.max("high").alias("_d")).where("_a <> _b or _c <> _d")
-    shared = keep(banded.join(wide.select("bucket", (F.col("_a") != F.col("_b")).alias("mixed")), "bucket"), "shared")
-    seen = keep(shared.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high")), "seen")
-
-    def sets_of(ids: DataFrame) -> DataFrame:
-        sets = docs.mapInArrow(_sets, "id long, set binary").join(sent_if_small(ids), "id", "left_semi")
-        return sets.groupBy("id").agg(F.first("set").alias("set")).withColumn("signature", F.lit(b""))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        ids = keep(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "ids")
-        return verified(pairs, keep(sets_of(ids), "sets"), threshold)
-
-    labels = link_in_buckets(shared.where("mixed").select("bucket", "id").distinct(), verify, sets_of)
+def _repeated(docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """id, group_id, first_doc: digests whose component reaches over two documents."""
+    with scratch(docs.sparkSession) as save:
+        banded = docs.mapInArrow(_bands, "bucket long, id long, low long, high long").repartition("bucket")
+        wide = banded.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_b"), F.min("low").alias("_c"),
+                                            F.max("high").alias("_d")).where("_a <> _b or _c <> _d")
+        shared = keep(banded.join(wide.select("bucket", (F.col("_a") != F.col("_b")).alias("mixed")), "bucket"), "shared")
+        seen = save(shared.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high")), "seen")
+        mixed = save(shared.where("mixed").select("bucket", "id").distinct(), "mixed")
+    ids = keep(mixed.select("id").distinct(), "ids")
+    sets = keep(docs.mapInArrow(_sets, "id long, set binary").join(sent_if_small(ids), "id", "left_semi")
+                .groupBy("id").agg(F.first("set").alias("set")), "sets")
+    labels = link_in_buckets(mixed, lambda pairs: verified(pairs, sets, threshold),
+                             lambda ids: sets.join(ids, "id", "left_semi").withColumn("signature", F.lit(b"")))
     if labels is not None:
         seen = seen.join(labels, "id", "left").select("id", "low", "high", F.coalesce("label", "id").alias("label"))
     else:
@@ -252,7 +287,11 @@ def repeated_paragraphs(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     seen = keep(seen, "labelled")
     groups = keep(seen.groupBy("label").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc"))
                   .where("first_doc <> last_doc"), "groups")
-    repeated = keep(seen.join(groups, "label").select("id", F.col("label").alias("group_id"), "first_doc"), "repeated")
+    return seen.join(groups, "label").select("id", F.col("label").alias("group_id"), "first_doc")
+
+
+def _passages(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """Places of repeated paragraphs, those that follow each other in two documents numbered as one ``passage``."""
     places = docs.mapInArrow(_places, "doc_id long, text_key long, paragraph int, start int, end int, n_words int, "
                              "before int, after int, id long")
     # equal rows (same id and text) have equal places; they share each window's frames
@@ -264,8 +303,20 @@ def repeated_paragraphs(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
     found = found.withColumn("next_group", F.col("next.group_id")).join(
         sent_if_small(keep(links, "links")), ["group_id", "next_group"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
     found = found.withColumn("after_linked", F.coalesce(F.max("linked").over(order.rangeBetween(-1, -1)), F.lit(False)))
-    found = keep(found.withColumn("passage", F.sum((~F.col("after_linked")).cast("int")).over(order)), "passages")
-    parts = _parts(docs, found, least_passage)
+    return found.withColumn("passage", F.sum((~F.col("after_linked")).cast("int")).over(order))
+
+
+def repeated_paragraphs(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
+                        least_passage: int = LEAST_PASSAGE) -> DataFrame:
+    """One row per paragraph of a repeated passage, or part at its ends: its place, its component, and if it is removed."""
+    docs = documents(docs).withColumn("text_key", F.xxhash64("text"))
+    spark = docs.sparkSession
+    with scratch(spark) as save:
+        repeated = save(_repeated(docs, threshold), "repeated")
+    with scratch(spark) as save:
+        found = save(_passages(docs, repeated), "passages")
+    with scratch(spark) as save:
+        parts = save(_parts(docs, found, least_passage), "parts")
     found = found.join(parts, ["doc_id", "text_key", "paragraph"], "left").withColumn("parts", F.coalesce(
         "parts", F.array().cast("array<struct<paragraph:int,start:int,end:int,n_words:int,group_id:bigint,first_doc:bigint>>")))
     whole = F.col("n_words") + F.aggregate("parts", F.lit(0), lambda n, x: n + x["n_words"])

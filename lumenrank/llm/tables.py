@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,8 +57,32 @@ def sent_if_small(ids: DataFrame, rows: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
 
 
+_scopes: list[list[str]] = []   # folders kept inside the open scopes, innermost last
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage, outlives executors."""
     folder = shared_folder(df.sparkSession, name)
+    if _scopes:
+        _scopes[-1].append(folder)
+    return _written(df, folder)
+
+
+def _written(df: DataFrame, folder: str) -> DataFrame:
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Tables kept inside are removed at the end, so everything read later must be written inside.
+
+    Gives the function that does so: ``keep`` for a table that outlives the scope.
+    """
+    _scopes.append([])
+    try:
+        yield lambda df, name: _written(df, shared_folder(spark, name))
+    finally:
+        for folder in _scopes.pop():
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
