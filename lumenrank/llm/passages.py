@@ -80,7 +80,8 @@ def _soft(rank: np.ndarray, line: np.ndarray) -> np.ndarray:
     return least
 
 
-def paragraphs(c: Chunk) -> Paragraphs:
+def paragraphs(c: Chunk, sets_too: bool = True) -> Paragraphs:
+    """The paragraphs of a chunk; without their sets and digests if only their places are asked for."""
     w = words(c)
     n, row = len(w.start), w.row
     if not n:
@@ -95,10 +96,13 @@ def paragraphs(c: Chunk) -> Paragraphs:
     ends = np.flatnonzero(hard | _soft(rank, np.cumsum(hard) - hard))
     bounds = np.append(0, ends + 1)
     cut = w._replace(offsets=bounds)
-    sets, offsets = distinct_per_row(*ngrams(cut, SHINGLE, short=True))
-    digest = mix(np.add.reduceat(mix(sets), offsets[:-1])).view(np.int64)
     of = row[bounds[:-1]]
     first = np.searchsorted(of, of)
+    if not sets_too:
+        none = np.zeros(0, np.int64)
+        return Paragraphs(cut, of, np.arange(len(of)) - first, none.view(np.uint64), none, none)
+    sets, offsets = distinct_per_row(*ngrams(cut, SHINGLE, short=True))
+    digest = mix(np.add.reduceat(mix(sets), offsets[:-1])).view(np.int64)
     return Paragraphs(cut, of, np.arange(len(of)) - first, sets, offsets, digest)
 
 
@@ -170,7 +174,7 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
     for batch in batches:
         for c in chunks(batch.column("text")):
-            p, w = (q := paragraphs(c)), q.words
+            p, w = (q := paragraphs(c, sets_too=False)), q.words
             if not len(p.row):
                 continue
             points = np.concatenate([[0], np.cumsum((c.data & 0xC0) != 0x80)])
@@ -272,7 +276,9 @@ def _repeated(docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
         banded = docs.mapInArrow(_bands, "bucket long, id long, low long, high long").repartition("bucket")
         wide = banded.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_b"), F.min("low").alias("_c"),
                                             F.max("high").alias("_d")).where("_a <> _b or _c <> _d")
-        shared = keep(banded.join(wide.select("bucket", (F.col("_a") != F.col("_b")).alias("mixed")), "bucket"), "shared")
+        # both sides lie by bucket; the buckets that stay, one row each, are hashed rather than all rows sorted
+        wide = wide.select("bucket", (F.col("_a") != F.col("_b")).alias("mixed")).hint("shuffle_hash")
+        shared = keep(banded.join(wide, "bucket"), "shared")
         seen = save(shared.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high")), "seen")
         mixed = save(shared.where("mixed").select("bucket", "id").distinct(), "mixed")
     ids = keep(mixed.select("id").distinct(), "ids")

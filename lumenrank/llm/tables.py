@@ -73,16 +73,30 @@ def _written(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
     """Tables kept inside are removed at the end, so everything read later must be written inside.
 
-    Gives the function that does so: ``keep`` for a table that outlives the scope.
+    Gives the function that does so: ``keep`` for a table that belongs to the scope around
+    this one.  Shuffle files of a job inside are removed when the job has ended, not when the
+    driver next collects garbage: its result is a written table, which no shuffle has to make again.
     """
+    def save(df: DataFrame, name: str) -> DataFrame:
+        folder = shared_folder(spark, name)
+        if len(_scopes) > 1:
+            _scopes[-2].append(folder)
+        return _written(df, folder)
+
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
     _scopes.append([])
     try:
-        yield lambda df, name: _written(df, shared_folder(spark, name))
+        yield save
     finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
         for folder in _scopes.pop():
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
