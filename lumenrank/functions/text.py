@@ -1,7 +1,10 @@
-"""Column-level text functions (all JVM built-ins, codegen friendly)."""
+"""Column-level text functions: JVM built-ins, but for truncation by a given tokenizer."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,6 +53,45 @@ def truncate_tokens(text: Column | str, max_tokens: int) -> Column:
         F.regexp_extract(c, head, 0))
 
 
+Encode = Callable[[str], list[int]]
+Decode = Callable[[list[int]], str]
+
+
+def tokenizer_file(path: str) -> Callable[[], tuple[Encode, Decode]]:
+    """Loader of a tokenizer file (JSON) for ``truncate_by_tokenizer``; the path must be there on executors."""
+    def load() -> tuple[Encode, Decode]:
+        from tokenizers import Tokenizer
+
+        tok = Tokenizer.from_file(path)
+        tok.no_truncation()
+        tok.no_padding()
+        return (lambda text: tok.encode(text, add_special_tokens=False).ids,
+                lambda ids: tok.decode(ids, skip_special_tokens=False))
+    return load
+
+
+def truncate_by_tokenizer(text: Column | str, max_tokens: int, load: Callable[[], tuple[Encode, Decode]]) -> Column:
+    """X3 with any tokenizer: a text of more than ``max_tokens`` ids becomes what its first ids decode to.
+
+    ``load`` gives ``(encode, decode)`` and runs once per task; a shorter text is unchanged, null stays null.
+    """
+    if max_tokens < 1:
+        raise ValueError("max_tokens must be positive")
+
+    @F.pandas_udf("string")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        encode, decode = load()
+
+        def one(t):
+            ids = encode(t) if isinstance(t, str) else []
+            return t if len(ids) <= max_tokens else decode(ids[:max_tokens])
+
+        for batch in batches:
+            yield pd.Series([one(t) for t in batch], dtype=object)
+
+    return cut(F.col(text) if isinstance(text, str) else text)
+
+
 def with_prefix(text: Column | str, prefix: str | None) -> Column:
     """Prefix prepended for embedding only."""
     c = F.col(text) if isinstance(text, str) else text

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenrank.session import cut_lineage
+from lumenrank.session import bounded_broadcast, cut_lineage
 
 
 def dense_ids(df: DataFrame, out_col: str, order_cols: list[str] | None = None,
@@ -37,3 +37,20 @@ def dense_ids(df: DataFrame, out_col: str, order_cols: list[str] | None = None,
     pos = F.col("_off") + (F.col("_i") - F.col("_first"))
     return (x.withColumn(out_col, F.concat(F.lit(prefix), pos.cast("string")) if prefix else pos)
             .drop("_p", "_i", "_off", "_first"))
+
+
+def ids_in_file_order(table: DataFrame, columns: list[str], out_col: str, prefix: str = "") -> DataFrame:
+    """``columns`` of a table read from files, with 0-based positions in the order of file names and rows.
+
+    Spark deals files to partitions by size, so the partition index says nothing of their
+    order.  A block of a file is read by one task from front to back: a row's place is its
+    place in the block plus the rows of the blocks before it (a row per block).
+    """
+    rows = cut_lineage(table.select(*columns, F.struct("_metadata.file_path", "_metadata.file_block_start").alias("_block"),
+                                    F.monotonically_increasing_id().alias("_i")))
+    blocks = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_i").alias("_first"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("_block", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    rows = rows.join(bounded_broadcast(offsets), "_block")
+    pos = F.col("_off") + (F.col("_i") - F.col("_first"))
+    return rows.select(*columns, (F.concat(F.lit(prefix), pos.cast("string")) if prefix else pos).alias(out_col))

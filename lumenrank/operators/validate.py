@@ -120,17 +120,32 @@ def normalised(rs: RetrievalSet) -> RetrievalSet:
     return RetrievalSet(corpus, queries, qrels)
 
 
-def validated(rs: RetrievalSet) -> RetrievalSet:
-    """Raising wrapper: normalise, then fail on the first violated rule."""
-    rs = normalised(rs)
-    bad = violations(rs).where("n > 0").orderBy("table_name", "rule").limit(1).collect()
+def _fail_on_first(found: DataFrame) -> None:
+    bad = found.where("n > 0").orderBy("table_name", "rule").limit(1).collect()
     if bad:
         b = bad[0]
         raise ValueError(f"{b.table_name}: rule {b.rule} violated by {b.n} row(s), "
                          f"e.g. id {b.sample_id}")
+
+
+def validated(rs: RetrievalSet) -> RetrievalSet:
+    """Raising wrapper: normalise, then fail on the first violated rule."""
+    rs = normalised(rs)
+    _fail_on_first(violations(rs))
     return rs
 
 
+def prepared(rs: RetrievalSet) -> RetrievalSet:
+    """V1-V12 for a set whose query table may serve several splits: every rule must hold,
+    but queries without any judgment need no relevant document and are left out."""
+    rs = normalised(rs)
+    judged = rs.qrels.select(F.col("query_id").alias("id"))
+    bank = RetrievalSet(rs.corpus, rs.queries.join(judged, "id", "left_semi"), rs.qrels)
+    positive = F.col("rule") == "has_positive"
+    _fail_on_first(violations(rs).where(~positive).unionByName(violations(bank).where(positive)))
+    return bank
+
+
 def _usable(corpus: DataFrame) -> DataFrame:
     return corpus.where(F.col("id").isNotNull() & F.col("text").isNotNull())
 

@@ -186,6 +186,32 @@ def catalog_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(vers, (F.col("doc_id") % 4 + 1).cast("int")).alias("version"))
 
 
+def name_requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """NAMES: benchmarks of some of the (language, version) pairs of CATALOG, alias ``lang-version``;
+    requests by bare language, with and without a version, and by alias.  Returns (requests, benchmarks)."""
+    from lumenrank.operators import catalog
+
+    t = catalog_tasks(spark, sf_dir).select("lang", "version").distinct()
+    there = (F.ascii("lang") + F.ascii(F.substring("version", 2, 1))) % 3 != 0
+    benchmarks = t.where(there).select(
+        F.concat(F.lit("MTEB("), catalog.normalise_lang(F.col("lang")), F.lit(", "), F.col("version"), F.lit(")")).alias("name"),
+        F.concat_ws("-", "lang", "version").alias("alias"))
+    asked = F.array(F.col("lang"), F.concat(F.lit("MTEB("), "lang", F.lit(")")),
+                    F.concat(F.lit("MTEB("), "lang", F.lit(", "), "version", F.lit(")")), F.concat_ws("-", "lang", "version"))
+    return t.select(F.explode(asked).alias("user_value")).distinct(), benchmarks
+
+
+def metric_rows(results: DataFrame) -> DataFrame:
+    """METRICS: long rows of RUNS: an MRR at cutoff 5 to 20 by type, a Hit Rate at 1 to 7 by part, some other metric."""
+    k = F.length("model_short") % 4
+    rows = F.array(
+        F.when((k > 0) & F.col("mrr@10").isNotNull(), F.struct(F.lit("mrr").alias("metric"), (k * 5).cast("long").alias("k"))),
+        F.when(F.col("p_partkey") % 3 == 0, F.struct(F.lit("hit_rate").alias("metric"), (F.col("p_partkey") % 7 + 1).alias("k"))),
+        F.struct(F.lit("recall").alias("metric"), F.lit(100).cast("long").alias("k")))
+    return results.select("project", F.col("avg_embed_time_ms").alias("latency"), F.explode(rows).alias("_m")).where(
+        "_m is not null").select("project", "latency", "_m.*")
+
+
 def catalog_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Configs per (source, lang): corpus always, queries when any doc_id is
     even, qrels when any document is labelled."""

@@ -389,7 +389,7 @@ FROM r_res
 WHERE contains(lower(model_short), 'standard') OR contains(lower(model), 'standard')"""
 
 _SQL["report_bars"] = "WITH " + RUNS + """,
-j AS (SELECT r.*, greatest(0.0, m.peak_memory_mb) AS memory_mb FROM r_res r LEFT JOIN r_mem m USING (model_short)),
+j AS (SELECT r.*, CASE WHEN m.peak_memory_mb IS NOT NULL THEN greatest(0.0, m.peak_memory_mb) END AS memory_mb FROM r_res r LEFT JOIN r_mem m USING (model_short)),
 g AS (
   SELECT min("mrr@10") AS qmn, max("mrr@10") AS qmx,
          min(avg_embed_time_ms) FILTER (WHERE avg_embed_time_ms > 0) AS lmn,
@@ -615,3 +615,76 @@ SELECT dataset, split, CASE WHEN error IS NULL THEN j END AS qrels_split, CASE W
        CASE WHEN error IN ('split_unknown', 'split_needed') THEN js WHEN error = 'queries_unmatched' THEN qs
             WHEN error = 'corpus_ambiguous' THEN cs ELSE []::VARCHAR[] END AS choices
 FROM e"""
+
+# --- names, metric choice, report cells, whole samples, contents ------------------
+
+_SQL["catalog_resolved_names"] = "WITH " + CATALOG + """,
+lv AS (
+  SELECT DISTINCT lang, version,
+         CASE WHEN lower(trim(lang)) = 'ger' THEN 'deu'
+              WHEN length(lower(trim(lang))) = 2 THEN coalesce(map_extract_value(MAP {
+                'en': 'eng', 'de': 'deu', 'fr': 'fra', 'es': 'spa', 'it': 'ita', 'pt': 'por',
+                'nl': 'nld', 'sv': 'swe', 'no': 'nor', 'da': 'dan', 'fi': 'fin', 'ru': 'rus',
+                'pl': 'pol', 'cs': 'ces', 'tr': 'tur', 'ar': 'ara', 'he': 'heb', 'hi': 'hin',
+                'ja': 'jpn', 'ko': 'kor', 'zh': 'cmn'}, lower(trim(lang))), lower(trim(lang)))
+              ELSE lower(trim(lang)) END AS n
+  FROM ct),
+b AS (
+  SELECT 'MTEB(' || n || ', ' || version || ')' AS name, lang || '-' || version AS alias, n,
+         CASE WHEN version LIKE 'v%' THEN coalesce(100 + TRY_CAST(substr(version, 2) AS INTEGER), 10)
+              WHEN version = 'classic' THEN 1 ELSE 0 END AS rank
+  FROM lv WHERE (ascii(lang) + ascii(substr(version, 2, 1))) % 3 <> 0),
+best AS (SELECT n, name FROM b QUALIFY row_number() OVER (PARTITION BY n ORDER BY rank DESC, name DESC) = 1),
+req AS (
+  SELECT lang AS user_value, 'MTEB(' || n || ', v2)' AS cand, n FROM lv
+  UNION SELECT 'MTEB(' || lang || ')', 'MTEB(' || n || ', v2)', n FROM lv
+  UNION SELECT 'MTEB(' || lang || ', ' || version || ')', 'MTEB(' || n || ', ' || version || ')', n FROM lv
+  UNION SELECT lang || '-' || version, lang || '-' || version, NULL FROM lv)
+SELECT user_value, coalesce((SELECT max(name) FROM b WHERE b.name = cand), (SELECT max(name) FROM b WHERE b.alias = cand),
+                            (SELECT name FROM best WHERE best.n = req.n), cand) AS resolved
+FROM req"""
+
+_SQL["quality_metric_choice"] = "WITH " + RUNS + """,
+m AS (
+  SELECT project, avg_embed_time_ms AS latency, 'mrr' AS metric, length(model_short) % 4 * 5 AS k
+  FROM r_res WHERE length(model_short) % 4 > 0 AND "mrr@10" IS NOT NULL
+  UNION ALL SELECT project, avg_embed_time_ms, 'hit_rate', p_partkey % 7 + 1 FROM r_res WHERE p_partkey % 3 = 0
+  UNION ALL SELECT project, avg_embed_time_ms, 'recall', 100 FROM r_res),
+g AS (SELECT project, latency, max(k) FILTER (WHERE metric = 'mrr') AS mk, max(k) FILTER (WHERE metric = 'hit_rate') AS hk
+      FROM m GROUP BY project, latency)
+SELECT project, latency, CASE WHEN mk IS NOT NULL THEN 'mrr@' || mk WHEN hk IS NOT NULL THEN 'hit_rate@' || hk END AS quality_metric,
+       CASE WHEN mk IS NULL AND hk IS NULL THEN 'no quality column of a ranking metric' END AS error
+FROM g"""
+
+_SQL["report_cells"] = "WITH " + RUNS + """,
+j AS (
+  SELECT r.p_partkey, r.model, r."mrr@10" AS mrr, CASE WHEN r.p_partkey % 3 = 0 THEN r.avg_embed_time_ms / 50.0 END AS hit,
+         CASE WHEN r.model <> 'BM25' THEN r.avg_embed_time_ms END AS lat,
+         CASE WHEN m.peak_memory_mb IS NOT NULL THEN greatest(0.0, m.peak_memory_mb) END AS mem
+  FROM r_res r LEFT JOIN r_mem m USING (model_short)),
+c AS (
+  SELECT p_partkey, model, 'mrr@10' AS "column", 'MRR @10' AS label, mrr AS value, mrr IS NOT NULL AS counted FROM j
+  UNION ALL SELECT p_partkey, model, 'hit_rate@3', 'HIT_RATE @3', hit, hit IS NOT NULL FROM j
+  UNION ALL SELECT p_partkey, model, 'avg_embed_time_ms', 'AVG_EMBED_TIME_MS', lat, coalesce(lat > 0, false) FROM j
+  UNION ALL SELECT p_partkey, model, 'memory_mb', 'MEMORY_MB', mem, coalesce(mem > 0, false) FROM j)
+SELECT p_partkey, model, "column", label, value, round(CASE WHEN counted AND mx > mn THEN (value - mn) / (mx - mn) * 100.0 ELSE 0.0 END, 6) AS bar
+FROM (SELECT *, min(value) FILTER (WHERE counted) OVER (PARTITION BY "column") AS mn,
+             max(value) FILTER (WHERE counted) OVER (PARTITION BY "column") AS mx FROM c)"""
+
+_SQL["memory_rows"] = "WITH " + RUNS + """
+SELECT model_short, greatest(0.0, peak_memory_mb) AS peak_memory_mb, greatest(0.0, peak_memory_mb / 2.0) AS model_memory_mb
+FROM r_mem ORDER BY 2 DESC, 1"""
+
+_SQL["sample_all_queries"] = "WITH " + KNOWN + """
+SELECT 'corpus' AS kind, id FROM k_corpus UNION ALL SELECT 'query', id FROM k_queries"""
+
+_SQL["content_keys"] = r"""
+WITH d AS (SELECT source, md5(coalesce(md5(CAST(doc_id AS VARCHAR)), '-') || coalesce(md5(text), '-')) AS h FROM documents),
+c AS (
+  SELECT source, md5(count(*)::VARCHAR || ':' || sum(('0x' || substr(h, 1, 15))::BIGINT)::VARCHAR) AS content FROM d GROUP BY source)
+SELECT source, content,
+  source || '_hashing-64_documents_' || substr(md5(source || '_org/hashing-64_documents_{"max_tokens": 512}_content' || content), 1, 8)
+    AS embedding_key,
+  source || '_hashing-64_a0.5_k10_' || substr(md5(source || '_org/hashing-64__alpha0.5_k10_metrics[(''hit_rate'', [3]), (''mrr'', [1, 3, 10])]'
+    || '_content' || content), 1, 8) AS eval_key
+FROM c"""

@@ -397,3 +397,70 @@ def split_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The splits that belong together per request, or why there are none."""
     from lumenrank.operators import configs
     return configs.match_splits(*fixtures.split_requests(spark, sf_dir))
+
+
+# --- names, metric choice, report cells, whole samples, contents ------------------
+
+@register("catalog_resolved_names")
+def catalog_resolved_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K6: the benchmark that each requested name, alias or language means."""
+    from lumenrank.operators import catalog
+    return catalog.resolve_names(*fixtures.name_requests(spark, sf_dir))
+
+
+@register("quality_metric_choice")
+def quality_metric_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: the metric that compares the runs of each project and latency, or why there is none."""
+    from lumenrank.operators import compare
+    results, _ = fixtures.runs_set(spark, sf_dir)
+    return compare.quality_metric_rows(fixtures.metric_rows(results), ["project", "latency"])
+
+
+@register("report_cells")
+def report_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label, normalised value and bar of every metric, latency and memory cell."""
+    from lumenrank.operators import compare
+    results, memory = fixtures.runs_set(spark, sf_dir)
+    results = results.withColumn("hit_rate@3", F.when(F.col("p_partkey") % 3 == 0, F.col("avg_embed_time_ms") / 50.0)
+                                 .when(F.col("p_partkey") % 3 == 1, F.lit(float("nan"))))
+    return compare.report_cells(results, memory, ["p_partkey", "model"])
+
+
+@register("memory_rows")
+def memory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Memory per model, not below 0, the largest peak first."""
+    from lumenrank.operators import compare
+    _, memory = fixtures.runs_set(spark, sf_dir)
+    return compare.memory_rows(memory.withColumn("model_memory_mb", F.col("peak_memory_mb") / 2.0))
+
+
+@register("sample_all_queries")
+def sample_all_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A corpus size that the corpus does not exceed keeps every query and document."""
+    from lumenrank.operators import sampling
+    rs = fixtures.known_set(spark, sf_dir)
+    s = sampling.sample(rs, rs.corpus.count(), SAMPLE_SEED)
+    return (s.data.corpus.select(F.lit("corpus").alias("kind"), "id")
+            .unionByName(s.data.queries.select(F.lit("query").alias("kind"), "id")))
+
+
+@register("content_keys")
+def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embedding and evaluation keys of every source's documents that change with their texts."""
+    from lumenrank.functions import keys
+    docs = fixtures.table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("id"), "text")
+    c = keys.content_fingerprints(docs, ["source"], ["id", "text"])
+    model, of = F.lit("org/" + HASH_MODEL), F.col("content")
+    return c.select("source", "content",
+                    keys.embedding_key(F.col("source"), model, "documents", {"max_tokens": 512}, of).alias("embedding_key"),
+                    keys.eval_key(F.col("source"), model, F.lit(0.5), 10, None, CACHE_CUTOFFS, None, of).alias("eval_key"))
+
+
+@register("truncate_model_tokens")
+def truncate_model_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document view cut after 512 tokens of a tokenizer file."""
+    import public_tokenizers
+
+    from lumenrank.functions.text import tokenizer_file, truncate_by_tokenizer
+    cut = truncate_by_tokenizer("text", 512, tokenizer_file(public_tokenizers.path("byte_bpe_50k.json")))
+    return _docs(spark, sf_dir).select(F.col("id").alias("doc_id"), cut.alias("text"))

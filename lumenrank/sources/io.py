@@ -71,8 +71,8 @@ def load_retrieval_set(spark: SparkSession, directory: str,
 
 
 def load_documents(spark: SparkSession, path: str) -> DataFrame:
-    """S3: ``(id, text)``; ids ``doc_0…`` assigned when the file has no ``id``."""
-    from lumenrank.operators.ids import dense_ids
+    """S3: ``(id, text)``; ids ``doc_0…`` in the order of files and their rows when there is no ``id``."""
+    from lumenrank.operators.ids import ids_in_file_order
 
     suffix = os.path.splitext(path)[1].lower()
     if suffix not in (".csv",) + DOCUMENT_PARQUET_SUFFIXES:
@@ -81,7 +81,7 @@ def load_documents(spark: SparkSession, path: str) -> DataFrame:
     if "text" not in df.columns:
         raise ValueError("documents need a 'text' column")
     if "id" not in df.columns:
-        df = dense_ids(df, "id", prefix="doc_")
+        df = ids_in_file_order(df, ["text"], "id", prefix="doc_")
     return df.select(F.col("id").cast("string").alias("id"), "text")
 
 
