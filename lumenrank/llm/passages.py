@@ -9,8 +9,8 @@ the run of such equal ranks, so a passage is cut the same way wherever it stands
 the middle of a line, but for ``LEAST_WORDS`` words at its two ends.
 
 Paragraphs' distinct shingles of ``SHINGLE`` words give ``ROWS * BANDS`` MinHash values.
-Copies collapse to one digest, with the smallest and largest document id, before the
-shuffle; buckets with one digest from one document go.  Colliding digests are compared
+Copies collapse to one digest, with the smallest and largest document id, before any
+bucket is looked at; buckets with one digest go.  Colliding digests are compared
 by the leader rounds of ``near_duplicates`` and verified on their full sets; components
 of digests that reach over two documents or more are repeated paragraphs.  Neighbours are
 linked if their components follow each other in another document too; linked paragraphs
@@ -44,6 +44,7 @@ from .tables import documents, keep, read, scratch, sent_if_small
 
 SHINGLE = 5
 BANDS, ROWS = 3, 2
+BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
 LEAST_WORDS = 6
 LEAST_PASSAGE = 25
 _FACTORS = mix(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
@@ -111,7 +112,7 @@ def _ids(batch: pa.RecordBatch, c: Chunk) -> np.ndarray:
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """bucket, digest, smallest and largest document: a row per band and distinct digest of a chunk."""
+    """Digest, smallest and largest document, bucket of each band: a row per distinct digest of a chunk."""
     for batch in batches:
         for c in chunks(batch.column("text"), 4 << 20):
             p = paragraphs(c)
@@ -123,12 +124,14 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest, one = p.digest[order][first], order[first]
             low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
             least = [np.minimum.reduceat((p.sets * f) >> np.uint64(32), p.offsets[:-1])[one] for f in _FACTORS]
+            buckets = []
             for b in range(BANDS):
                 key = np.full(len(one), mix(np.array([b], np.uint64))[0])
                 for v in least[b * ROWS:(b + 1) * ROWS]:
                     key = mix(key ^ v)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(digest), pa.array(low), pa.array(high)],
-                                                 names=["bucket", "id", "low", "high"])
+                buckets.append(pa.array(key.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(low), pa.array(high), *buckets],
+                                             names=["id", "low", "high", *BAND_COLUMNS])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,24 +275,28 @@ def _parts(docs: DataFrame, found: DataFrame, least_passage: int) -> DataFrame:
 
 def _repeated(docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """id, group_id, first_doc: digests whose component reaches over two documents."""
+    # copies are one row with all its buckets before any bucket is looked at
     with scratch(docs.sparkSession) as save:
-        banded = docs.mapInArrow(_bands, "bucket long, id long, low long, high long").repartition("bucket")
-        wide = banded.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_b"), F.min("low").alias("_c"),
-                                            F.max("high").alias("_d")).where("_a <> _b or _c <> _d")
+        banded = docs.mapInArrow(_bands, "id long, low long, high long, " + ", ".join(f"{c} long" for c in BAND_COLUMNS))
+        digests = save(banded.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"),
+                                                *[F.first(c).alias(c) for c in BAND_COLUMNS]), "digests")
+    with scratch(docs.sparkSession) as save:
+        members = digests.select("id", F.explode(F.array(*BAND_COLUMNS)).alias("bucket")).repartition("bucket")
         # both sides lie by bucket; the buckets that stay, one row each, are hashed rather than all rows sorted
-        wide = wide.select("bucket", (F.col("_a") != F.col("_b")).alias("mixed")).hint("shuffle_hash")
-        shared = keep(banded.join(wide, "bucket"), "shared")
-        seen = save(shared.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high")), "seen")
-        mixed = save(shared.where("mixed").select("bucket", "id").distinct(), "mixed")
+        wide = members.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a <> _b")
+        mixed = save(members.join(wide.select("bucket").hint("shuffle_hash"), "bucket", "left_semi"), "mixed")
     ids = keep(mixed.select("id").distinct(), "ids")
     sets = keep(docs.mapInArrow(_sets, "id long, set binary").join(sent_if_small(ids), "id", "left_semi")
                 .groupBy("id").agg(F.first("set").alias("set")), "sets")
     labels = link_in_buckets(mixed, lambda pairs: verified(pairs, sets, threshold),
                              lambda ids: sets.join(ids, "id", "left_semi").withColumn("signature", F.lit(b"")))
+    # a digest of one document that is linked with no other is no repeat; ``labels`` has every linked one
+    seen = digests.select("id", "low", "high")
     if labels is not None:
-        seen = seen.join(labels, "id", "left").select("id", "low", "high", F.coalesce("label", "id").alias("label"))
+        seen = seen.join(sent_if_small(labels), "id", "left").where("low <> high or label is not null").select(
+            "id", "low", "high", F.coalesce("label", "id").alias("label"))
     else:
-        seen = seen.withColumn("label", F.col("id"))
+        seen = seen.where("low <> high").withColumn("label", F.col("id"))
     seen = keep(seen, "labelled")
     groups = keep(seen.groupBy("label").agg(F.min("low").alias("first_doc"), F.max("high").alias("last_doc"))
                   .where("first_doc <> last_doc"), "groups")
