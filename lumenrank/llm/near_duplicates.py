@@ -160,9 +160,12 @@ def _ordered(pairs: DataFrame, one: str, two: str) -> DataFrame:
 
 
 def compare_blocks(open_: DataFrame, sets_of: Callable[[DataFrame], DataFrame], threshold: tuple[int, int] = THRESHOLD,
-                   miss: float = MISS, few: int = BLOCK_FEW, many: int = BLOCK_MANY) -> DataFrame:
+                   miss: float = MISS, few: int = BLOCK_FEW, many: int = BLOCK_MANY,
+                   similar: Callable[[bytes, bytes], bool] | None = None) -> DataFrame:
     """Links (a, b) between members of a bucket with different labels, found block against block.
 
+    ``similar`` replaces the comparison of sets by one of the bytes that ``set`` holds.
+
     ``open_`` has bucket, id, label and the figures of ``_spread``.  Members outside the bucket's most common label are
     dealt into blocks of about ``few``, all members into blocks of about ``many``; each
     pair of blocks is a group with the sets of both.
@@ -172,6 +175,11 @@ def compare_blocks(open_: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
 
     def compare(group: pa.Table) -> pa.Table:
         label, side, ids = (group.column(x).to_numpy() for x in ("label", "side", "id"))
+        if similar is not None:
+            held = group.column("set").to_pylist()
+            pairs = [(int(ids[i]), int(ids[j])) for i in np.flatnonzero(side == 0) for j in np.flatnonzero(side == 1)
+                     if label[i] != label[j] and similar(held[i], held[j])]
+            return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([x for _, x in pairs], pa.int64())})
         sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
         signed = group.column("signature").to_pylist()
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
@@ -216,7 +224,7 @@ def compare_blocks(open_: DataFrame, sets_of: Callable[[DataFrame], DataFrame],
 
 def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
                     sets_of: Callable[[DataFrame], DataFrame], rounds: int = LEADER_ROUNDS,
-                    paired: int = PAIRED_BUCKET) -> DataFrame | None:
+                    paired: int = PAIRED_BUCKET, similar: Callable[[bytes, bytes], bool] | None = None) -> DataFrame | None:
     """Labels (id, label) of the components found among members of equal buckets.
 
     ``members`` has bucket and id; ``verify`` gets pairs (a, b) and returns those linked;
@@ -249,7 +257,7 @@ def link_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]
             found = few.select("bucket", "id", "label").join(rest, "bucket").where("label <> x_label")
             pairs = _ordered(found, "id", "x")
             if not many.isEmpty():
-                more = keep(compare_blocks(many, sets_of), "linked")
+                more = keep(compare_blocks(many, sets_of, similar=similar), "linked")
                 links = more if links is None else links.unionByName(more)
         if compared is not None:
             pairs = pairs.join(compared, ["a", "b"], "left_anti")

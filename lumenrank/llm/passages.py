@@ -14,7 +14,12 @@ bucket is looked at; buckets with one digest go.  Colliding digests are compared
 by the leader rounds of ``near_duplicates`` and verified on their full sets; components
 of digests that reach over two documents or more are repeated paragraphs.  Neighbours are
 linked if their components follow each other in another document too; linked paragraphs
-make a passage.  Where a passage ends it goes on word by word into the neighbouring
+make a passage.  Where it is broken by up to ``MOST_GAP`` paragraphs, the words between are
+a candidate if another document has some between the same two components; candidates of
+equal surroundings are compared by word edit distance (similarity ``THRESHOLD`` or more) and
+linked to components, and a gap whose component reaches over two documents belongs to the
+passage.  So near copies whose changed words lie between equal paragraphs are found whole.
+Where a passage ends it goes on word by word into the neighbouring
 paragraph, as far as another document has the same words beside the same component; that
 part is a row of its own, ``group_id`` the hash of its words.  Passages are reported from
 ``LEAST_PASSAGE`` words on, their ends included; the smallest document id of a component
@@ -47,6 +52,7 @@ BANDS, ROWS = 3, 2
 BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
 LEAST_WORDS = 6
 LEAST_PASSAGE = 25
+MOST_GAP = 4            # paragraphs between two repeated ones
 _FACTORS = mix(np.arange(1001, 1001 + BANDS * ROWS, dtype=np.uint64)) | np.uint64(1)
 _STOP = np.zeros(256, bool)
 _STOP[[ord(x) for x in ".!?"]] = True
@@ -212,14 +218,112 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["doc_id", "text_key", "paragraph", "side", "passage", "least", "near", "keys", "far"])
 
 
+def similar_words(x: bytes, y: bytes, threshold: tuple[int, int] = THRESHOLD) -> bool:
+    """If two sequences of word hashes have an edit similarity (1 - distance / longer length) of the threshold or more."""
+    a, b = np.frombuffer(x, np.uint64).tolist(), np.frombuffer(y, np.uint64).tolist()
+    part, whole = threshold
+    limit = max(len(a), len(b)) * (whole - part) // whole
+    while a and b and a[-1] == b[-1]:
+        a.pop(), b.pop()
+    same = next((i for i, (u, v) in enumerate(zip(a, b)) if u != v), min(len(a), len(b)))
+    a, b = a[same:], b[same:]
+    if abs(len(a) - len(b)) > limit:
+        return False
+    far = limit + 1
+    last = [min(j, far) for j in range(len(b) + 1)]
+    for i, u in enumerate(a, 1):
+        row = [far] * (len(b) + 1)     # only cells near the diagonal can stay within the limit
+        if i <= limit:
+            row[0] = i
+        for j in range(max(1, i - limit), min(len(b), i + limit) + 1):
+            row[j] = min(last[j] + 1, row[j - 1] + 1, last[j - 1] + (u != b[j - 1]), far)
+        if min(row) > limit:
+            return False
+        last = row
+    return last[-1] <= limit
+
+
+GAPS = "doc_id long, text_key long, paragraph int, upto int, start int, end int, n_words int, bucket long, id long, words binary"
+
+
+def _gap_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words between paragraphs ``paragraph`` and ``upto`` of each gap listed in ``gaps``."""
+    for batch in batches:
+        for c in chunks(batch.column("text")):
+            p, w = (q := paragraphs(c, sets_too=False)), q.words
+            if not len(p.row):
+                continue
+            points = np.concatenate([[0], np.cumsum((c.data & 0xC0) != 0x80)])
+            up, down = _powers(len(w.hash))
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(w.hash) * up[:len(w.hash)])])
+            first = np.searchsorted(p.row, np.arange(c.rows))
+            gaps = batch.column("gaps").slice(c.first, c.rows)
+            flat = gaps.flatten()
+            of = np.repeat(np.arange(c.rows), gaps.value_lengths().to_numpy(zero_copy_only=False))
+            paragraph, upto, key = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            lo, hi = w.offsets[first[of] + paragraph + 1], w.offsets[first[of] + upto]
+            zero = points[c.offsets[of]]
+            digest = mix((total[hi] - total[lo]) * down[lo] ^ mix(key.astype(np.int64).view(np.uint64)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(_ids(batch, c)[of]), batch.column("text_key").slice(c.first, c.rows).take(pa.array(of)),
+                 flat.field(0), flat.field(1), pa.array((points[w.start[lo]] - zero).astype(np.int32)),
+                 pa.array((points[w.end[hi - 1]] - zero).astype(np.int32)), pa.array((hi - lo).astype(np.int32)),
+                 flat.field(2), pa.array(digest.view(np.int64)),
+                 pa.array([w.hash[i:j].tobytes() for i, j in zip(lo, hi)], pa.binary())],
+                names=["doc_id", "text_key", "paragraph", "upto", "start", "end", "n_words", "bucket", "id", "words"])
+
+
+def _listed(docs: DataFrame, lists: DataFrame, column: str) -> DataFrame:
+    """The texts that ``lists`` names, with their lists: others are left out before texts are exchanged."""
+    copies = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "text_key", "text")
+    named = copies.join(sent_if_small(lists.select("doc_id", "text_key")), ["doc_id", "text_key"], "left_semi")
+    return named.join(sent_if_small(lists, 50_000), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", column)
+
+
+def _bridged(docs: DataFrame, found: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """doc_id, text_key, paragraph, upto, gap: gaps between repeated paragraphs that another document nearly has."""
+    gaps = found.where(~F.col("linked") & (F.col("far.paragraph") > F.col("paragraph") + 1)).select(
+        "doc_id", "text_key", "paragraph", F.col("far.paragraph").alias("upto"),
+        F.xxhash64("group_id", "far.group_id").alias("key"))
+    gaps = keep(gaps, "gaps")
+    both = gaps.groupBy("key").agg(F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select("key")
+    lists = keep(gaps.join(sent_if_small(keep(both, "gap_keys")), "key", "left_semi").groupBy("doc_id", "text_key").agg(
+        F.collect_set(F.struct("paragraph", "upto", "key")).alias("gaps")), "gap_lists")
+    made = keep(_listed(docs, lists, "gaps").mapInArrow(_gap_words, GAPS), "gap_words")
+    texts = keep(made.groupBy("id").agg(F.first("words").alias("set")), "gap_texts")
+
+    def close(pairs: DataFrame) -> DataFrame:
+        def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = (batch.column(s).to_pylist() for s in ("xa", "xb"))
+                good = pa.array([i for i in range(len(batch)) if similar_words(x[i], y[i], threshold)], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(s).take(good) for s in ("a", "b")], names=["a", "b"])
+
+        joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("set").alias("xb")), "b").join(
+            texts.select(F.col("id").alias("a"), F.col("set").alias("xa")), "a")
+        return joined.select("a", "b", "xa", "xb").mapInArrow(verify, "a long, b long")
+
+    labels = link_in_buckets(made.select("bucket", "id").distinct(), close,
+                             lambda ids: texts.join(ids, "id", "left_semi").withColumn("signature", F.lit(b"")),
+                             similar=lambda x, y: similar_words(x, y, threshold))
+    near = made.drop("words", "bucket")
+    near = near.withColumn("label", F.col("id")) if labels is None else near.join(labels, "id", "left").withColumn(
+        "label", F.coalesce("label", "id"))
+    groups = near.groupBy("label").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc <> last_doc")
+    return near.join(sent_if_small(keep(groups, "gap_groups")), "label").select(
+        "doc_id", "text_key", "paragraph", "upto", F.struct(
+            (F.col("paragraph") + 1).cast("int").alias("paragraph"), "start", "end", "n_words", F.col("label").alias("group_id"),
+            "first_doc").alias("gap")).distinct()
+
+
 def _parts(docs: DataFrame, found: DataFrame, least_passage: int) -> DataFrame:
     """doc_id, text_key, paragraph, and ``parts``: the longest repeated part on either side where its passage ends."""
     passage = Window.partitionBy("doc_id", "text_key", "passage")
-    reach = F.sum(F.col("n_words") + F.when(F.col("after_linked"), 0).otherwise(F.col("before") + LEAST_WORDS)
+    reach = F.sum(F.col("n_words") + F.col("gap_words") + F.when(F.col("after_linked"), 0).otherwise(F.col("before") + LEAST_WORDS)
                   + F.when(F.col("linked"), 0).otherwise(F.col("after") + LEAST_WORDS)).over(passage)
     # a passage too short without its ends needs one with half of the missing words; of the
     # steps the last one up to that is looked up first
-    missing = F.lit(least_passage) - F.sum("n_words").over(passage)
+    missing = F.lit(least_passage) - F.sum(F.col("n_words") + F.col("gap_words")).over(passage)
     steps = [1 << i for i in range(max(1, ((least_passage + 1) // 2).bit_length()))]
     half = F.greatest(F.lit(1), F.ceil(missing / 2))
     least = F.greatest(*[F.when(half >= n, n).otherwise(1) for n in [1, *steps]])
@@ -230,7 +334,7 @@ def _parts(docs: DataFrame, found: DataFrame, least_passage: int) -> DataFrame:
         may.where(~F.col("linked") & (F.col("after") > 0)).select(*own, F.lit(1).alias("side")))
     ends = keep(ends.distinct(), "ends")
     # where a passage goes on, one copy in the first and in the last document is enough to meet ends of others
-    inner = found.where("linked")
+    inner = found.where("linked and gap is null")
     inner = inner.select(*place, F.lit(1).alias("side"), "group_id", F.col("next.id").alias("other")).unionByName(
         inner.select("doc_id", "text_key", (F.col("paragraph") + 1).alias("paragraph"), F.lit(0).alias("side"),
                      F.col("next.group_id").alias("group_id"), F.col("id").alias("other")))
@@ -242,9 +346,7 @@ def _parts(docs: DataFrame, found: DataFrame, least_passage: int) -> DataFrame:
     all_ends = ends.unionByName(inner)
     lists = keep(all_ends.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(
         "paragraph", F.col("side").cast("int").alias("side"), "group_id", "passage", "least")).alias("beside")), "beside")
-    copies = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "text_key", "text")
-    listed = copies.join(sent_if_small(lists, 50_000), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", "beside")
-    made = keep(listed.mapInArrow(_ends, ENDS), "made")
+    made = keep(_listed(docs, lists, "beside").mapInArrow(_ends, ENDS), "made")
 
     def in_two(keys: DataFrame) -> DataFrame:
         """Keys that two documents have, with the first of them."""
@@ -303,42 +405,54 @@ def _repeated(docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return seen.join(groups, "label").select("id", F.col("label").alias("group_id"), "first_doc")
 
 
-def _passages(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """Places of repeated paragraphs, those that follow each other in two documents numbered as one ``passage``."""
+def _passages(docs: DataFrame, repeated: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Places of repeated paragraphs, those of one passage (they follow each other, or nearly, in two documents)
+    with one number ``passage``; ``gap`` is the near copy up to the passage's next paragraph, if any."""
     places = docs.mapInArrow(_places, "doc_id long, text_key long, paragraph int, start int, end int, n_words int, "
                              "before int, after int, id long")
     # equal rows (same id and text) have equal places; they share each window's frames
     order = Window.partitionBy("doc_id", "text_key").orderBy("paragraph")
-    found = keep(places.join(sent_if_small(repeated), "id").withColumn(
-        "next", F.min(F.struct("group_id", "id")).over(order.rangeBetween(1, 1))), "found")
+    found = keep(places.join(sent_if_small(repeated), "id")
+                 .withColumn("next", F.min(F.struct("group_id", "id")).over(order.rangeBetween(1, 1)))
+                 .withColumn("far", F.min(F.struct("paragraph", "group_id")).over(order.rangeBetween(1, MOST_GAP + 1))), "found")
     links = found.where("next is not null").groupBy("group_id", F.col("next.group_id").alias("next_group")).agg(
         F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select("group_id", "next_group", F.lit(True).alias("linked"))
     found = found.withColumn("next_group", F.col("next.group_id")).join(
         sent_if_small(keep(links, "links")), ["group_id", "next_group"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
-    found = found.withColumn("after_linked", F.coalesce(F.max("linked").over(order.rangeBetween(-1, -1)), F.lit(False)))
+    gaps = keep(_bridged(docs, found, threshold), "bridged")
+    found = found.join(sent_if_small(gaps), ["doc_id", "text_key", "paragraph"], "left")
+    found = found.withColumn("upto", F.when(F.col("linked"), F.col("paragraph") + 1).otherwise(F.col("upto")))
+    found = found.withColumn("linked", F.col("upto").isNotNull()).withColumn("gap_words", F.coalesce("gap.n_words", F.lit(0)))
+    found = found.withColumn("after_linked", F.coalesce(
+        F.max("upto").over(order.rangeBetween(-MOST_GAP - 1, -1)) == F.col("paragraph"), F.lit(False)))
     return found.withColumn("passage", F.sum((~F.col("after_linked")).cast("int")).over(order))
 
 
+PARTS = "array<struct<paragraph:int,start:int,end:int,n_words:int,group_id:bigint,first_doc:bigint>>"
+
+
 def repeated_paragraphs(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
                         least_passage: int = LEAST_PASSAGE) -> DataFrame:
-    """One row per paragraph of a repeated passage, or part at its ends: its place, its component, and if it is removed."""
+    """One row per paragraph of a repeated passage, near copy inside it, or part at its ends: its place, its component, and if it is removed."""
     docs = documents(docs).withColumn("text_key", F.xxhash64("text"))
     spark = docs.sparkSession
     with scratch(spark) as save:
         repeated = save(_repeated(docs, threshold), "repeated")
     with scratch(spark) as save:
-        found = save(_passages(docs, repeated), "passages")
+        found = save(_passages(docs, repeated, threshold), "passages")
     with scratch(spark) as save:
         parts = save(_parts(docs, found, least_passage), "parts")
     found = found.join(parts, ["doc_id", "text_key", "paragraph"], "left").withColumn("parts", F.coalesce(
-        "parts", F.array().cast("array<struct<paragraph:int,start:int,end:int,n_words:int,group_id:bigint,first_doc:bigint>>")))
-    whole = F.col("n_words") + F.aggregate("parts", F.lit(0), lambda n, x: n + x["n_words"])
+        "parts", F.array().cast(PARTS)))
+    whole = F.col("n_words") + F.col("gap_words") + F.aggregate("parts", F.lit(0), lambda n, x: n + x["n_words"])
     passage = Window.partitionBy("doc_id", "text_key", "passage")
-    copies = F.count(F.lit(1)).over(passage) / (F.max("paragraph").over(passage) - F.min("paragraph").over(passage) + 1)
+    within = F.when(F.col("gap").isNotNull(), F.col("upto") - F.col("paragraph") - 1).otherwise(0)     # paragraphs of the gap
+    span = F.max(F.col("paragraph") + within).over(passage) - F.min("paragraph").over(passage) + 1
+    copies = F.sum(within + 1).over(passage) / span
     found = found.withColumn("passage_words", (F.sum(whole).over(passage) / copies).cast("long"))
     own = F.array(F.struct("paragraph", "start", "end", "n_words", "group_id", "first_doc"))
     rows = found.where(F.col("passage_words") >= least_passage).select(
-        "doc_id", "passage_words", F.explode(F.concat(own, "parts")).alias("_r"))
+        "doc_id", "passage_words", F.explode(F.concat(own, F.when(F.col("gap").isNotNull(), F.array("gap")).otherwise(F.array().cast(PARTS)), "parts")).alias("_r"))
     return rows.select("doc_id", "_r.paragraph", "_r.start", "_r.end", "_r.n_words", "passage_words", "_r.group_id", "_r.first_doc",
                        (F.col("doc_id") != F.col("_r.first_doc")).alias("removed"))
 
