@@ -39,7 +39,7 @@ def pairs(docs: DataFrame, passages: DataFrame, doc_id: str = "doc_id",
     interior = (p.select("item_id", F.posexplode("pw").alias("pos", "word"), F.size("pw").alias("n"))
                 .where((F.col("pos") > 0) & (F.col("pos") < F.col("n") - 1) & (F.col("word") != ""))
                 .select("item_id", "word").distinct())
-    vocab = interior.select("word").distinct()
+    vocab = bounded_broadcast(interior.select("word").distinct())
     doc_words = (d.select("doc_id", F.explode(F.array_distinct(words("doc_text"))).alias("word"))
                  .join(vocab, "word", "left_semi"))
     df = doc_words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
