@@ -106,6 +106,21 @@ def test_truncate_by_a_tokenizer_file(spark):
     assert shorter
 
 
+def test_one_row_group_is_encoded_by_several_tasks(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    from lumenrank.plans.registry_more import truncate_model_tokens
+
+    rows = spark.range(400).selectExpr("id AS doc_id", "repeat(sha1(cast(id AS string)), 50) AS text")
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    key = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set(key, "1k")
+    try:
+        got = truncate_model_tokens(spark, str(tmp_path)).withColumn("p", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.unset(key)
+    assert len(got) == 400 and len({r.p for r in got}) > 1
+
+
 def test_ids_follow_files_and_rows(spark):
     root = tempfile.mkdtemp(prefix="lr-files-")
     sizes = [1, 400, 7, 90, 0, 3000]       # larger files come first in Spark's own order
