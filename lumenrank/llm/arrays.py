@@ -161,8 +161,15 @@ def ngrams(w: Words, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarra
 def distinct_per_row(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values of each row, with their new ranges."""
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    order = np.lexsort((values, row))
-    values, row = values[order], row[order]
+    bits = np.uint64(max(1, (len(offsets) - 1).bit_length()))
+    # by row and the values' upper bits in one sort; by both if that leaves different values in one place
+    key = row.astype(np.uint64) << (np.uint64(64) - bits) | values >> bits
+    order = np.argsort(key)
+    ordered, key = values[order], key[order]
+    if ((key[1:] == key[:-1]) & (ordered[1:] != ordered[:-1])).any():
+        order = np.lexsort((values, row))
+        ordered = values[order]
+    values, row = ordered, row[order]
     new = np.ones(len(values), bool)
     new[1:] = (values[1:] != values[:-1]) | (row[1:] != row[:-1])
     values, row = values[new], row[new]

@@ -36,11 +36,12 @@ as document -1; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .arrays import WIDE, Chunk, Words, _powers, chunks, distinct_per_row, join_hash, mix, ngrams, words
@@ -49,7 +50,7 @@ from .tables import documents, keep, read, scratch, sent_if_small
 
 SHINGLE = 5
 BANDS, ROWS = 3, 2
-BAND_COLUMNS = [f"b{i}" for i in range(BANDS)]
+BUCKET_BITS = 42        # of a band's bucket: three are two numbers
 LEAST_WORDS = 6
 LEAST_PASSAGE = 25
 MOST_GAP = 4            # paragraphs between two repeated ones
@@ -130,14 +131,35 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             digest, one = p.digest[order][first], order[first]
             low, high = np.minimum.reduceat(doc, first), np.maximum.reduceat(doc, first)
             least = [np.minimum.reduceat((p.sets * f) >> np.uint64(32), p.offsets[:-1])[one] for f in _FACTORS]
-            buckets = []
+            bucket = []
             for b in range(BANDS):
                 key = np.full(len(one), mix(np.array([b], np.uint64))[0])
                 for v in least[b * ROWS:(b + 1) * ROWS]:
                     key = mix(key ^ v)
-                buckets.append(pa.array(key.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(low), pa.array(high), *buckets],
-                                             names=["id", "low", "high", *BAND_COLUMNS])
+                bucket.append(key >> np.uint64(64 - BUCKET_BITS))
+            one_two = bucket[0] | bucket[1] << np.uint64(42)
+            two_three = bucket[1] >> np.uint64(22) | bucket[2] << np.uint64(20)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(digest), pa.array(low), pa.array(high), pa.array(one_two.view(np.int64)), pa.array(two_three.view(np.int64))],
+                names=["id", "low", "high", "one_two", "two_three"])
+
+
+def _bucket(band: int) -> Column:
+    """A band's bucket from the two numbers that hold all three, different for different bands."""
+    one_two, two_three = F.col("one_two"), F.col("two_three")
+    value = [one_two.bitwiseAND(F.lit((1 << 42) - 1)),
+             F.shiftrightunsigned(one_two, 42).bitwiseOR(F.shiftleft(two_three.bitwiseAND(F.lit((1 << 20) - 1).cast("long")), 22)),
+             F.shiftrightunsigned(two_three, 20)][band]
+    return value.bitwiseOR(F.lit(band << BUCKET_BITS).cast("long"))
+
+
+def _colliding(digests: DataFrame, band: int) -> DataFrame:
+    """bucket and id of the digests that share a band's bucket with another one."""
+    members = digests.select("id", _bucket(band).alias("bucket")).repartition("bucket")
+    # both sides lie by bucket and share one exchange (a semi join would be moved below it and read
+    # its own); the buckets that stay, one row each, are hashed rather than all rows sorted
+    wide = members.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a <> _b")
+    return members.join(wide.select("bucket").hint("shuffle_hash"), "bucket").select("bucket", "id")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,8 +167,11 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batch.column("text"), WIDE):
             p = paragraphs(c)
             digest, one = np.unique(p.digest, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(
-                [p.sets[p.offsets[i]:p.offsets[i + 1]].tobytes() for i in one], pa.binary())], names=["id", "set"])
+            size = np.diff(p.offsets)[one]
+            ends = np.concatenate([[0], np.cumsum(size)])
+            held = p.sets[np.repeat(p.offsets[one] - ends[:-1], size) + np.arange(ends[-1])]
+            sets = pa.Array.from_buffers(pa.binary(), len(one), [None, pa.py_buffer((8 * ends).astype(np.int32)), pa.py_buffer(held)])
+            yield pa.RecordBatch.from_arrays([pa.array(digest), sets], names=["id", "set"])
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,9 +355,9 @@ def _parts(docs: DataFrame, found: DataFrame, least_passage: int) -> DataFrame:
     place = ["doc_id", "text_key", "paragraph"]
     own = [*place, F.col("passage").cast("long").alias("passage"), F.col("_least").cast("int").alias("least"), "group_id"]
     may = found.withColumn("_reach", reach).withColumn("_least", least).where(F.col("_reach") >= least_passage)
-    ends = may.where(~F.col("after_linked") & (F.col("before") > 0)).select(*own, F.lit(0).alias("side")).unionByName(
-        may.where(~F.col("linked") & (F.col("after") > 0)).select(*own, F.lit(1).alias("side")))
-    ends = keep(ends.distinct(), "ends")
+    sides = F.array_compact(F.array(F.when(~F.col("after_linked") & (F.col("before") > 0), 0),
+                                    F.when(~F.col("linked") & (F.col("after") > 0), 1)))
+    ends = keep(may.select(*own, F.explode(sides).alias("side")).distinct(), "ends")
     # where a passage goes on, one copy in the first and in the last document is enough to meet ends of others
     inner = found.where("linked and gap is null")
     inner = inner.select(*place, F.lit(1).alias("side"), "group_id", F.col("next.id").alias("other")).unionByName(
@@ -379,14 +404,14 @@ def _repeated(docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """id, group_id, first_doc: digests whose component reaches over two documents."""
     # copies are one row with all its buckets before any bucket is looked at
     with scratch(docs.sparkSession) as save:
-        banded = docs.mapInArrow(_bands, "id long, low long, high long, " + ", ".join(f"{c} long" for c in BAND_COLUMNS))
+        banded = docs.mapInArrow(_bands, "id long, low long, high long, one_two long, two_three long")
         digests = save(banded.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"),
-                                                *[F.first(c).alias(c) for c in BAND_COLUMNS]), "digests")
-    with scratch(docs.sparkSession) as save:
-        members = digests.select("id", F.explode(F.array(*BAND_COLUMNS)).alias("bucket")).repartition("bucket")
-        # both sides lie by bucket; the buckets that stay, one row each, are hashed rather than all rows sorted
-        wide = members.groupBy("bucket").agg(F.min("id").alias("_a"), F.max("id").alias("_b")).where("_a <> _b")
-        mixed = save(members.join(wide.select("bucket").hint("shuffle_hash"), "bucket", "left_semi"), "mixed")
+                                                F.first("one_two").alias("one_two"), F.first("two_three").alias("two_three")), "digests")
+    mixed = []
+    for band in range(BANDS):       # one after the other: only one band's shuffle lies on disk
+        with scratch(docs.sparkSession) as save:
+            mixed.append(save(_colliding(digests, band), "mixed"))
+    mixed = reduce(DataFrame.unionByName, mixed)
     ids = keep(mixed.select("id").distinct(), "ids")
     sets = keep(docs.mapInArrow(_sets, "id long, set binary").join(sent_if_small(ids), "id", "left_semi")
                 .groupBy("id").agg(F.first("set").alias("set")), "sets")
@@ -413,8 +438,9 @@ def _passages(docs: DataFrame, repeated: DataFrame, threshold: tuple[int, int])
     # equal rows (same id and text) have equal places; they share each window's frames
     order = Window.partitionBy("doc_id", "text_key").orderBy("paragraph")
     found = keep(places.join(sent_if_small(repeated), "id")
-                 .withColumn("next", F.min(F.struct("group_id", "id")).over(order.rangeBetween(1, 1)))
-                 .withColumn("far", F.min(F.struct("paragraph", "group_id")).over(order.rangeBetween(1, MOST_GAP + 1))), "found")
+                 .withColumn("far", F.min(F.struct("paragraph", "group_id", "id")).over(order.rangeBetween(1, MOST_GAP + 1)))
+                 .withColumn("next", F.when(F.col("far.paragraph") == F.col("paragraph") + 1, F.struct("far.group_id", "far.id")))
+                 .withColumn("far", F.when(F.col("far").isNotNull(), F.struct("far.paragraph", "far.group_id"))), "found")
     links = found.where("next is not null").groupBy("group_id", F.col("next.group_id").alias("next_group")).agg(
         F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select("group_id", "next_group", F.lit(True).alias("linked"))
     found = found.withColumn("next_group", F.col("next.group_id")).join(
