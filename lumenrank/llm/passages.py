@@ -299,10 +299,14 @@ def _gap_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _listed(docs: DataFrame, lists: DataFrame, column: str) -> DataFrame:
-    """The texts that ``lists`` names, with their lists: others are left out before texts are exchanged."""
+    """The texts that ``lists`` names, with their lists: others are left out before texts are exchanged.
+
+    Lists are wide and as many as texts, so they are not broadcast, few or many: texts meet them
+    in one exchange at every size, and small tables tell what large ones will write.
+    """
     copies = docs.select(F.coalesce("doc_id", F.lit(-1)).cast("long").alias("doc_id"), "text_key", "text")
     named = copies.join(sent_if_small(lists.select("doc_id", "text_key")), ["doc_id", "text_key"], "left_semi")
-    return named.join(sent_if_small(lists, 50_000), ["doc_id", "text_key"]).select("doc_id", "text_key", "text", column)
+    return named.join(lists, ["doc_id", "text_key"]).select("doc_id", "text_key", "text", column)
 
 
 def _bridged(docs: DataFrame, found: DataFrame, threshold: tuple[int, int]) -> DataFrame:
@@ -342,19 +346,17 @@ def _bridged(docs: DataFrame, found: DataFrame, threshold: tuple[int, int]) -> D
 
 
 def _parts(docs: DataFrame, found: DataFrame, least_passage: int) -> DataFrame:
-    """doc_id, text_key, paragraph, and ``parts``: the longest repeated part on either side where its passage ends."""
-    passage = Window.partitionBy("doc_id", "text_key", "passage")
-    reach = F.sum(F.col("n_words") + F.col("gap_words") + F.when(F.col("after_linked"), 0).otherwise(F.col("before") + LEAST_WORDS)
-                  + F.when(F.col("linked"), 0).otherwise(F.col("after") + LEAST_WORDS)).over(passage)
+    """doc_id, text_key, passage, and ``parts``: the longest repeated part on either side of the paragraph ``at`` where
+    the passage ends."""
     # a passage too short without its ends needs one with half of the missing words; of the
     # steps the last one up to that is looked up first
-    missing = F.lit(least_passage) - F.sum(F.col("n_words") + F.col("gap_words")).over(passage)
+    missing = F.lit(least_passage) - F.col("words")
     steps = [1 << i for i in range(max(1, ((least_passage + 1) // 2).bit_length()))]
     half = F.greatest(F.lit(1), F.ceil(missing / 2))
     least = F.greatest(*[F.when(half >= n, n).otherwise(1) for n in [1, *steps]])
     place = ["doc_id", "text_key", "paragraph"]
     own = [*place, F.col("passage").cast("long").alias("passage"), F.col("_least").cast("int").alias("least"), "group_id"]
-    may = found.withColumn("_reach", reach).withColumn("_least", least).where(F.col("_reach") >= least_passage)
+    may = found.where(F.col("reach") >= least_passage).withColumn("_least", least)
     sides = F.array_compact(F.array(F.when(~F.col("after_linked") & (F.col("before") > 0), 0),
                                     F.when(~F.col("linked") & (F.col("after") > 0), 1)))
     ends = keep(may.select(*own, F.explode(sides).alias("side")).distinct(), "ends")
@@ -371,8 +373,6 @@ def _parts(docs: DataFrame, found: DataFrame, least_passage: int) -> DataFrame:
     all_ends = ends.unionByName(inner)
     lists = keep(all_ends.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct(
         "paragraph", F.col("side").cast("int").alias("side"), "group_id", "passage", "least")).alias("beside")), "beside")
-    made = keep(_listed(docs, lists, "beside").mapInArrow(_ends, ENDS), "made")
-
     def in_two(keys: DataFrame) -> DataFrame:
         """Keys that two documents have, with the first of them."""
         return keys.groupBy("key").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("_d")).where(
@@ -381,22 +381,26 @@ def _parts(docs: DataFrame, found: DataFrame, least_passage: int) -> DataFrame:
     def of_words(n):
         return F.get("keys", n - 1)
 
-    looked_up = made.select("doc_id", F.explode(F.array(*[of_words(F.lit(n)) for n in steps])).alias("key")).where("key is not null")
-    mine = ["doc_id", "text_key", "passage"]
-    alive = made.where("least > 0").select(*mine, of_words(F.col("least")).alias("key")).join(
-        in_two(looked_up), "key", "left_semi").select(*mine).distinct()
-    first = of_words(F.lit(1))
-    firsts = made.where("least > 0").join(keep(alive, "alive"), mine, "left_semi").select(first.alias("first")).distinct()
-    wanted = keep(made.withColumn("first", first).join(sent_if_small(keep(firsts, "firsts")), "first", "left_semi")
-                  .select(*place, "side", "least", "near", "keys", "far"), "wanted")
-    one = wanted.select(*place, "side", "least", "near", F.posexplode(F.arrays_zip("keys", "far")).alias("_k", "_e")).select(
-        *place, "side", "least", (F.col("_k") + 1).alias("n_words"), F.col("_e.keys").alias("key"),
+    with scratch(docs.sparkSession) as save:      # most ends go here, before those that stay are looked at word by word
+        made = keep(_listed(docs, lists, "beside").mapInArrow(_ends, ENDS), "made")
+        looked_up = made.select("doc_id", F.explode(F.array(*[of_words(F.lit(n)) for n in steps])).alias("key")).where("key is not null")
+        mine = ["doc_id", "text_key", "passage"]
+        own_ends = made.where("least > 0")
+        alive = own_ends.select(*mine, of_words(F.col("least")).alias("key")).join(
+            in_two(looked_up), "key", "left_semi").select(*mine).distinct()
+        first = of_words(F.lit(1))
+        # the key alone is exchanged, not all keys of an end
+        firsts = own_ends.select(*mine, first.alias("first")).join(keep(alive, "alive"), mine, "left_semi").select("first").distinct()
+        wanted = save(made.withColumn("first", first).join(sent_if_small(keep(firsts, "firsts")), "first", "left_semi")
+                      .select(*place, "side", "passage", "least", "near", "keys", "far"), "wanted")
+    one = wanted.select(*place, "side", "passage", "least", "near", F.posexplode(F.arrays_zip("keys", "far")).alias("_k", "_e")).select(
+        *place, "side", "passage", "least", (F.col("_k") + 1).alias("n_words"), F.col("_e.keys").alias("key"),
         F.when(F.col("side") == 1, F.col("near")).otherwise(F.col("_e.far")).alias("start"),
         F.when(F.col("side") == 1, F.col("_e.far")).otherwise(F.col("near")).alias("end"))
-    longest = one.where("least > 0").join(in_two(one), "key").groupBy(*place, "side").agg(
+    longest = one.where("least > 0").join(in_two(one), "key").groupBy(*place, "passage", "side").agg(
         F.max(F.struct("n_words", "start", "end", "key", "first_doc")).alias("_m"))
-    return longest.groupBy(*place).agg(F.collect_list(F.struct(
-        (F.col("paragraph") + 2 * F.col("side") - 1).cast("int").alias("paragraph"), "_m.start", "_m.end", "_m.n_words",
+    return longest.groupBy(*mine).agg(F.collect_list(F.struct(
+        F.col("paragraph").alias("at"), (F.col("paragraph") + 2 * F.col("side") - 1).cast("int").alias("paragraph"), "_m.start", "_m.end", "_m.n_words",
         F.col("_m.key").alias("group_id"), F.col("_m.first_doc").alias("first_doc"))).alias("parts"))
 
 
@@ -432,7 +436,8 @@ def _repeated(docs: DataFrame, threshold: tuple[int, int]) -> DataFrame:
 
 def _passages(docs: DataFrame, repeated: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Places of repeated paragraphs, those of one passage (they follow each other, or nearly, in two documents)
-    with one number ``passage``; ``gap`` is the near copy up to the passage's next paragraph, if any."""
+    with one number ``passage``; ``gap`` is the near copy up to the passage's next paragraph, if any.  A passage's
+    sums are on each of its rows: ``words``, ``reach`` (with all that its ends can have) and ``copies`` (equal rows)."""
     places = docs.mapInArrow(_places, "doc_id long, text_key long, paragraph int, start int, end int, n_words int, "
                              "before int, after int, id long")
     # equal rows (same id and text) have equal places; they share each window's frames
@@ -444,17 +449,26 @@ def _passages(docs: DataFrame, repeated: DataFrame, threshold: tuple[int, int])
     links = found.where("next is not null").groupBy("group_id", F.col("next.group_id").alias("next_group")).agg(
         F.min("doc_id").alias("_a"), F.max("doc_id").alias("_b")).where("_a <> _b").select("group_id", "next_group", F.lit(True).alias("linked"))
     found = found.withColumn("next_group", F.col("next.group_id")).join(
-        sent_if_small(keep(links, "links")), ["group_id", "next_group"], "left").withColumn("linked", F.coalesce("linked", F.lit(False)))
+        sent_if_small(keep(links, "links")), ["group_id", "next_group"], "left").drop("next_group").withColumn("linked", F.coalesce("linked", F.lit(False)))
     gaps = keep(_bridged(docs, found, threshold), "bridged")
-    found = found.join(sent_if_small(gaps), ["doc_id", "text_key", "paragraph"], "left")
+    found = found.drop("far").join(sent_if_small(gaps), ["doc_id", "text_key", "paragraph"], "left")
     found = found.withColumn("upto", F.when(F.col("linked"), F.col("paragraph") + 1).otherwise(F.col("upto")))
     found = found.withColumn("linked", F.col("upto").isNotNull()).withColumn("gap_words", F.coalesce("gap.n_words", F.lit(0)))
     found = found.withColumn("after_linked", F.coalesce(
         F.max("upto").over(order.rangeBetween(-MOST_GAP - 1, -1)) == F.col("paragraph"), F.lit(False)))
-    return found.withColumn("passage", F.sum((~F.col("after_linked")).cast("int")).over(order))
+    found = found.withColumn("passage", F.sum((~F.col("after_linked")).cast("int")).over(order))
+    # rows lie by text already, so a passage's sums need no exchange here, and none later
+    passage = Window.partitionBy("doc_id", "text_key", "passage")
+    own = F.col("n_words") + F.col("gap_words")
+    ends = (F.when(F.col("after_linked"), 0).otherwise(F.col("before") + LEAST_WORDS)
+            + F.when(F.col("linked"), 0).otherwise(F.col("after") + LEAST_WORDS))
+    within = F.when(F.col("gap").isNotNull(), F.col("upto") - F.col("paragraph") - 1).otherwise(0)     # paragraphs of the gap
+    span = F.max(F.col("paragraph") + within).over(passage) - F.min("paragraph").over(passage) + 1
+    return found.withColumns({"words": F.sum(own).over(passage), "reach": F.sum(own + ends).over(passage),
+                              "copies": F.sum(within + 1).over(passage) / span}).drop("upto", "gap_words")
 
 
-PARTS = "array<struct<paragraph:int,start:int,end:int,n_words:int,group_id:bigint,first_doc:bigint>>"
+PART = "paragraph:int,start:int,end:int,n_words:int,group_id:bigint,first_doc:bigint"
 
 
 def repeated_paragraphs(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
@@ -468,17 +482,16 @@ def repeated_paragraphs(docs: DataFrame, threshold: tuple[int, int] = THRESHOLD,
         found = save(_passages(docs, repeated, threshold), "passages")
     with scratch(spark) as save:
         parts = save(_parts(docs, found, least_passage), "parts")
-    found = found.join(parts, ["doc_id", "text_key", "paragraph"], "left").withColumn("parts", F.coalesce(
-        "parts", F.array().cast(PARTS)))
-    whole = F.col("n_words") + F.col("gap_words") + F.aggregate("parts", F.lit(0), lambda n, x: n + x["n_words"])
-    passage = Window.partitionBy("doc_id", "text_key", "passage")
-    within = F.when(F.col("gap").isNotNull(), F.col("upto") - F.col("paragraph") - 1).otherwise(0)     # paragraphs of the gap
-    span = F.max(F.col("paragraph") + within).over(passage) - F.min("paragraph").over(passage) + 1
-    copies = F.sum(within + 1).over(passage) / span
-    found = found.withColumn("passage_words", (F.sum(whole).over(passage) / copies).cast("long"))
+    # by passage, so that the words of its parts are on each of its rows without another exchange
+    found = found.join(parts, ["doc_id", "text_key", "passage"], "left").withColumn("parts", F.coalesce(
+        "parts", F.array().cast(f"array<struct<at:int,{PART}>>")))
+    beside = F.aggregate("parts", F.lit(0), lambda n, x: n + x["n_words"])
+    found = found.withColumn("passage_words", ((F.col("words") + F.col("copies") * beside) / F.col("copies")).cast("long"))
     own = F.array(F.struct("paragraph", "start", "end", "n_words", "group_id", "first_doc"))
+    gap = F.when(F.col("gap").isNotNull(), F.array("gap")).otherwise(F.array().cast(f"array<struct<{PART}>>"))
+    here = F.transform(F.filter("parts", lambda x: x["at"] == F.col("paragraph")), lambda x: x.dropFields("at"))
     rows = found.where(F.col("passage_words") >= least_passage).select(
-        "doc_id", "passage_words", F.explode(F.concat(own, F.when(F.col("gap").isNotNull(), F.array("gap")).otherwise(F.array().cast(PARTS)), "parts")).alias("_r"))
+        "doc_id", "passage_words", F.explode(F.concat(own, gap, here)).alias("_r"))
     return rows.select("doc_id", "_r.paragraph", "_r.start", "_r.end", "_r.n_words", "passage_words", "_r.group_id", "_r.first_doc",
                        (F.col("doc_id") != F.col("_r.first_doc")).alias("removed"))
 
