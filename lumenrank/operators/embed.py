@@ -15,7 +15,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenrank.functions.text import with_prefix
+from lumenrank.operators import vector_search
 
 _TOKEN_SPLIT = regex.compile(r"[^\p{L}\p{N}]+")
 
@@ -33,8 +34,21 @@ HASH_DIM = 64          # buckets of the single-vector encoder
 TOKEN_DIM = 16         # width of a per-token vector of the multi-vector encoder
 
 
+_ASCII_SPLIT = bytes(i if i > 127 or chr(i).isalnum() else 32 for i in range(256))
+
+
 def _tokens(text: str) -> list[str]:
-    return [t for t in _TOKEN_SPLIT.split(text.lower()) if t]
+    """Runs of letters and digits: cut at other ASCII characters first, so that the expression sees only what is left of others."""
+    pieces = text.lower().encode("utf-8", "surrogatepass").translate(_ASCII_SPLIT).decode("utf-8", "surrogatepass").split()
+    if all(map(str.isascii, pieces)):
+        return pieces
+    out = []
+    for piece in pieces:
+        if piece.isascii():
+            out.append(piece)
+        else:
+            out += [t for t in _TOKEN_SPLIT.split(piece) if t]
+    return out
 
 
 class _TokenMemory(dict):
@@ -82,8 +96,8 @@ def token_hashing_encoder(dim: int = TOKEN_DIM, distinct: bool = False) -> Calla
     signs from the bits of md5(token).  ``distinct`` keeps one of equal tokens
     (first occurrence), which leaves every maximum over a document as it is."""
     scale = np.float32(1.0 / np.sqrt(dim))
-    low = (1 << dim) - 1
-    memory = _TokenMemory(lambda t: int(hashlib.md5(t.encode("utf-8")).hexdigest(), 16) & low)
+    low, values = (1 << dim) - 1, np.array([-scale, scale], np.float32)
+    memory = _TokenMemory(lambda t: int.from_bytes(hashlib.md5(t.encode("utf-8")).digest()[-8:]) & low)
     if dim > 63:
         raise ValueError("at most 63 signs per token")
 
@@ -91,9 +105,8 @@ def token_hashing_encoder(dim: int = TOKEN_DIM, distinct: bool = False) -> Calla
         out = []
         for x in texts:
             found = _tokens(x or "")
-            bits = np.fromiter(map(memory.__getitem__, dict.fromkeys(found) if distinct else found), np.int64)
-            signs = bits[:, None] >> np.arange(dim) & 1
-            out.append(np.where(signs == 1, scale, -scale).astype(np.float32).reshape(-1, dim))
+            bits = np.fromiter(map(memory.__getitem__, dict.fromkeys(found) if distinct else found), "<i8")
+            out.append(values[np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1, count=dim, bitorder="little")])
         return out
     return encode
 
@@ -116,21 +129,27 @@ def _lists(values: list[np.ndarray], multi: bool) -> pa.Array:
     return nested(nested(flat, rows), [len(a) for a in arrays])
 
 
-def _source(df: DataFrame, id_col: str, text_col: str, prefix: str | None) -> DataFrame:
-    return df.select(F.col(id_col).cast("string").alias("_id"), with_prefix(F.col(text_col), prefix).alias("_text"))
+def _source(df: DataFrame, id_col: str, text_col: str, prefix: str | None, carry: Sequence[str] = ()) -> DataFrame:
+    return df.select(F.col(id_col).cast("string").alias("_id"), with_prefix(F.col(text_col), prefix).alias("_text"), *carry)
 
 
 def embed(df: DataFrame, encoder_factory: Callable[[], Callable] = hashing_encoder,
           id_col: str = "id", text_col: str = "text", prefix: str | None = None,
           batch_size: int = 32, multi: bool = False,
-          out_id: str = "doc_id") -> DataFrame:
+          out_id: str = "doc_id", packed: bool = False, carry: Sequence[str] = ()) -> DataFrame:
     """U1 (U3 when ``multi``): ``(out_id, vector|vectors, embed_ms)``.
 
     X5: ``prefix`` is prepended for embedding only.  ``embed_ms`` is this row's
     share of its batch's wall time, so ``sum(embed_ms)`` is the total cost.
+    ``packed`` gives a document's vectors as one binary value (``vector_search.pack``);
+    columns named by ``carry`` stay in the row, so that no join brings them back.
     """
+    if packed and not multi:
+        raise ValueError("only lists of vectors are packed")
     vcol = "vectors" if multi else "vector"
-    schema = f"{out_id} string, {vcol} {'array<array<float>>' if multi else 'array<float>'}, embed_ms double"
+    kind = "binary" if packed else "array<array<float>>" if multi else "array<float>"
+    schema = ", ".join([f"{out_id} string, {vcol} {kind}, embed_ms double",
+                        *(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carry)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder_factory()
@@ -143,11 +162,12 @@ def embed(df: DataFrame, encoder_factory: Callable[[], Callable] = hashing_encod
                 ms = (time.perf_counter() - t0) * 1000.0
                 if len(vecs) != len(texts):
                     raise ValueError("encoder returned a wrong number of vectors")
+                values = pa.array([vector_search.pack(v) for v in vecs], pa.binary()) if packed else _lists(list(vecs), multi)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_id"), _lists(list(vecs), multi), pa.array([ms / len(texts)] * len(texts), pa.float64())],
-                    names=[out_id, vcol, "embed_ms"])
+                    [part.column("_id"), values, pa.array([ms / len(texts)] * len(texts), pa.float64()),
+                     *(part.column(c) for c in carry)], names=[out_id, vcol, "embed_ms", *carry])
 
-    return _source(df, id_col, text_col, prefix).mapInArrow(run, schema)
+    return _source(df, id_col, text_col, prefix, carry).mapInArrow(run, schema)
 
 
 def embed_remote(df: DataFrame, transport_factory: Callable[[], Callable[[list[str]], list]],
